@@ -1,0 +1,4 @@
+"""The query catalogue: each entry has a Spark plan and, where SQL can express it, the SQL it must agree with."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
