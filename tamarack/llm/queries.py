@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm import exact_dedup as exact
+from tamarack.llm import language_id, quality_classifier
 from tamarack.llm import line_dedup as lines
 from tamarack.llm import quality_rules as rules
 from tamarack.llm import simhash
@@ -29,10 +30,20 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def _quality_rules_sql(risk: float = 0.02, delta: float = 0.05) -> str:
     grid = ", ".join(f"('{r.name}', {i}, {c}::double)" for r in rules.RULES for i, c in enumerate(r.grid))
     values = " union all ".join(f"select doc_id, stratum, base_failed, '{r.name}' as rule, ({r.measure})::double as value from base" for r in rules.RULES)
@@ -67,7 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
