@@ -8,18 +8,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm import exact_dedup as exact
-from tamarack.llm import language_id, quality_classifier
+from tamarack.llm import language_id, lm_scoring, mixing, quality_classifier, simhash, url_filter
 from tamarack.llm import line_dedup as lines
 from tamarack.llm import quality_rules as rules
-from tamarack.llm import simhash
+from tamarack.llm import sentencepiece_ops as pieces
 from tamarack.session import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document: a row each, with a digest of its ids."""
+    out = pieces.sample_encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(), k=2)
+    rows = out.select("doc_id", "round_trip", F.posexplode(F.arrays_zip("ids", "log_p", "perturbed", "inclusion")).alias("sample", "s"))
+    return rows.select("doc_id", "sample", F.size("s.ids").cast("long").alias("n_pieces"), F.xxhash64("s.ids").alias("ids_hash"), "s.log_p", "s.perturbed", "s.inclusion", "round_trip")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def listed_hosts(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of the pages (there is no list among the tables): about half of the hosts are added on a
+    day of 2024 by a digest of their name, most of these removed later, and some added again; so are some parent domains."""
+    names = pages.select(F.explode(F.slice(url_filter.domains(url_filter.host(F.col("url"))), 1, 2)).alias("key")).distinct()
+    digit = lambda a, n: F.conv(F.substring(F.md5("key"), a, n), 16, 10).cast("int")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    added, gone, again = digit(1, 4) % 300, digit(5, 2) % 60 + 1, digit(7, 2) % 60 + 1
+    steps = F.array(
+        F.struct(F.lit("add").alias("action"), day(added).alias("at")),
+        F.struct(F.when(digit(9, 1) < 12, "remove").otherwise("add").alias("action"), day(added + gone).alias("at")),
+        F.struct(F.when(digit(10, 1) < 8, "add").otherwise("remove").alias("action"), day(added + gone + again).alias("at")),
+    )
+    kind = F.when(digit(11, 1) < 8, "malware").otherwise("spam")
+    return names.filter(digit(12, 1) < 8).select("key", kind.alias("category"), F.explode(steps).alias("s")).select("key", "category", "s.action", "s.at")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the entries active on its day (a day of 2024 by page_id, as pages have no fetch time)."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")))
+    out = url_filter.judge(captures, listed_hosts(pages))
+    return out.select("page_id", "host", "blocked", "matched_key", "category", F.col("listed_since").cast("string").alias("listed_since"), "n_active")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
@@ -30,6 +61,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.train(docs, lm_scoring.target_texts(docs, table(spark, sf_dir, "labels"))))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -39,6 +75,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
@@ -75,15 +115,38 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
+    "op3_url_filter": op3_url_filter,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
 
+_HOST_SQL = f"nullif(lower(regexp_extract(coalesce(url, ''), '{url_filter.HOST}', 1)), '')"
+
 ORACLES: dict[str, str] = {
+    "op3_url_filter": f"""
+with p as (select page_id, {_HOST_SQL} as host, (date '2024-01-01' + (page_id % 366)::int)::date as t from pages),
+parents as (select host, t, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) as i from (select distinct host, t from p where host is not null)),
+keys as (select host, t, i, array_to_string(string_split(host, '.')[i:], '.') as key from parents),
+names as (select distinct key from keys where i <= 2),
+dig as (select key, md5(key) as m from names),
+nums as (select key, ('0x' || substr(m, 1, 4))::int % 300 as a, ('0x' || substr(m, 5, 2))::int % 60 + 1 as g, ('0x' || substr(m, 7, 2))::int % 60 + 1 as r,
+  ('0x' || substr(m, 9, 1))::int as d9, ('0x' || substr(m, 10, 1))::int as d10, ('0x' || substr(m, 11, 1))::int as d11 from dig where ('0x' || substr(m, 12, 1))::int < 8),
+entries as (select key, case when d11 < 8 then 'malware' else 'spam' end as category, 'add' as action, (date '2024-01-01' + a)::date as dt from nums
+  union all select key, case when d11 < 8 then 'malware' else 'spam' end, case when d9 < 12 then 'remove' else 'add' end, (date '2024-01-01' + a + g)::date from nums
+  union all select key, case when d11 < 8 then 'malware' else 'spam' end, case when d10 < 8 then 'add' else 'remove' end, (date '2024-01-01' + a + g + r)::date from nums),
+spans as (select *, lead(dt) over (partition by key, category order by dt, action) as til from entries),
+valid as (select key, category, dt as since, til from spans where action = 'add' and (til is null or til > dt)),
+hits as (select k.host, k.t, k.i, k.key, v.category, v.since, row_number() over (partition by k.host, k.t order by k.i, v.since desc, v.category) as rn, (count(*) over (partition by k.host, k.t))::bigint as n
+  from keys k join valid v on k.key = v.key and v.since <= k.t and (v.til is null or k.t < v.til))
+select page_id, p.host, h.key is not null as blocked, h.key as matched_key, h.category, h.since::varchar as listed_since, coalesce(h.n, 0)::bigint as n_active
+from p left join hits h on h.host = p.host and h.t = p.t and h.rn = 1""",
     "op2_quality_rules": _quality_rules_sql(),
     "op8_exact_dedup": """
 select doc_id, max(doc_id) over w as keep_id, (count(*) over w)::bigint as group_size, doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
