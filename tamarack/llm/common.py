@@ -8,15 +8,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import tamarack
-
-# Python workers get the package's code with the task, so executors need no installation of it.
-cloudpickle.register_pickle_by_value(tamarack)
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); one is set only where none is."""
