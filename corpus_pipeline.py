@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One sampled segmentation of every document: its ids, log-probability, and whether they decode to the text."""
     out = sentencepiece_ops.sample_encode(docs, sentencepiece_ops.Vocabulary.load(), k=1)
-    return out.select("doc_id", F.col("ids")[0].alias("ids"), F.size(F.col("ids")[0]).cast("long").alias("n_pieces"), F.col("log_p")[0].alias("log_p"), F.col("inclusion")[0].alias("inclusion"), "round_trip")
+    return out.select("doc_id", F.col("ids")[0].alias("ids"), F.size(F.col("ids")[0]).cast("long").alias("n_pieces"), F.col("log_p")[0].alias("log_p"), F.col("log_inclusion")[0].alias("log_inclusion"), "round_trip")
 
 
 STAGES = [

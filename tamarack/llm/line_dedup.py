@@ -20,12 +20,12 @@ def windows(docs: DataFrame, width: int = 3, min_words: int = 10, doc_id: str =
     """(doc_id, th, pos, ends, h1, h2): every window of `width` consecutive lines that have a word.
 
     pos and ends are the indexes of its first and last line among all lines. A text with fewer such lines is one
-    window. h1 and h2 are two 64-bit hashes of the trimmed lines (128 bits together). Windows of fewer than
+    window. h1 and h2 are two 64-bit hashes of the lines without white space at their ends (128 bits together). Windows of fewer than
     `min_words` words are no evidence of a copy and are left out. th tells rows with the same doc_id apart.
     """
     a = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("_text"))
     a = a.select("doc_id", F.xxhash64("_text").alias("th"), _lines().alias("_l"))
-    a = a.select("doc_id", "th", F.expr("filter(transform(_l, (x, i) -> struct(i as i, trim(x) as x)), s -> s.x rlike '[^\\\\s]')").alias("_l"))
+    a = a.select("doc_id", "th", F.expr("filter(transform(_l, (x, i) -> struct(i as i, trim(both ' \\n\\r\\t' from x) as x)), s -> s.x rlike '[^\\\\s]')").alias("_l"))
     a = a.select("doc_id", "th", F.expr("transform(_l, s -> struct(s.i as i, xxhash64(s.x) as h, xxhash64('#', s.x) as g, size(split(s.x, '[\\\\s]+')) as n))").alias("_l"))
     # the last start is the first for short texts; get() is null past the end, and hashes pass over nulls
     parts = lambda f: ", ".join(f"get(_l, j + {k}).{f}" for k in range(width))

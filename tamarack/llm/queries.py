@@ -18,8 +18,8 @@ from tamarack.session import table
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document: a row each, with a digest of its ids."""
     out = pieces.sample_encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(), k=2)
-    rows = out.select("doc_id", "round_trip", F.posexplode(F.arrays_zip("ids", "log_p", "perturbed", "inclusion")).alias("sample", "s"))
-    return rows.select("doc_id", "sample", F.size("s.ids").cast("long").alias("n_pieces"), F.xxhash64("s.ids").alias("ids_hash"), "s.log_p", "s.perturbed", "s.inclusion", "round_trip")
+    rows = out.select("doc_id", "round_trip", F.posexplode(F.arrays_zip("ids", *pieces.NUMBERS)).alias("sample", "s"))
+    return rows.select("doc_id", "sample", F.size("s.ids").cast("long").alias("n_pieces"), F.xxhash64("s.ids").alias("ids_hash"), *(f"s.{c}" for c in pieces.NUMBERS), "round_trip")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,7 +289,9 @@ class Sampler:
             todo = [t for t in (self._open(heaps[d], paths[d], d, key[d], r, threshold) for d in who.tolist()) if t]
         for d in range(docs):
             for p in paths[d]:
-                p["inclusion"] = 1.0 if threshold[d] == -np.inf else float(-np.expm1(-np.exp(min(50.0, p["log_p"] - threshold[d]))))
+                x = p["log_p"] - threshold[d]
+                p["inclusion"] = 1.0 if x > 50 else float(-np.expm1(-np.exp(x)))
+                p["log_inclusion"] = 0.0 if x > 50 else float(np.log(p["inclusion"])) if x > -30 else float(x)
         return paths
 
     def _open(self, heap: list, paths: list[dict], d: int, key: np.uint64, r: int, threshold: np.ndarray):
@@ -353,14 +355,15 @@ def decoder(pieces: list[str], byte_ids: np.ndarray):
     return decode
 
 
-SAMPLES = "ids array<array<int>>, log_p array<double>, perturbed array<double>, inclusion array<double>, round_trip boolean"
+SAMPLES = "ids array<array<int>>, log_p array<double>, perturbed array<double>, inclusion array<double>, log_inclusion array<double>, round_trip boolean"
+NUMBERS = ("log_p", "perturbed", "inclusion", "log_inclusion")
 
 
 def sample_encode(docs: DataFrame, vocab: Vocabulary, k: int = 3, seed: int = 11, doc_id: str = "doc_id", text: str = "text", run_chars: int = 200_000) -> DataFrame:
     """One row per input row: doc_id, and k distinct sampled segmentations in descending perturbed order.
 
     ids, log_p (of the segmentation given the text), perturbed, inclusion (the probability of being among the k, given
-    the next value), and round_trip (every sample decodes to the text exactly). Draws depend on the seed, the row's key
+    the next value; its logarithm too, as it underflows for long texts), and round_trip (every sample decodes to the text exactly). Draws depend on the seed, the row's key
     (doc_id; null has a key of its own) and the place in the text, so they are the same at any partitioning; rows that
     repeat key and text get the same samples. The empty text has the empty segmentation alone; null gives null.
     Whole texts are read; other columns aren't.
@@ -378,7 +381,7 @@ def sample_encode(docs: DataFrame, vocab: Vocabulary, k: int = 3, seed: int = 11
                     size += len(texts[b] or "")
                     b += 1
                 found = sampler.run(keys[a:b], [t or "" for t in texts[a:b]])
-                flat, ends, outer, numbers, trips = [], [0], [0], ([], [], []), []
+                flat, ends, outer, numbers, trips = [], [0], [0], [[] for _ in NUMBERS], []
                 for t, samples in zip(texts[a:b], found):
                     good = True
                     for p in samples if t is not None else []:
@@ -386,14 +389,14 @@ def sample_encode(docs: DataFrame, vocab: Vocabulary, k: int = 3, seed: int = 11
                         good &= decode(ids) == t
                         flat.append(ids)
                         ends.append(ends[-1] + len(ids))
-                        for out, name in zip(numbers, ("log_p", "perturbed", "inclusion")):
+                        for out, name in zip(numbers, NUMBERS):
                             out.append(p[name])
                     outer.append(len(ends) - 1)
                     trips.append(good if t is not None else None)
                 values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
                 ids = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
                 lists = [pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.array(x, pa.float64())) for x in numbers]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, *lists, pa.array(trips, pa.bool_())], ["doc_id", "ids", "log_p", "perturbed", "inclusion", "round_trip"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, *lists, pa.array(trips, pa.bool_())], ["doc_id", "ids", *NUMBERS, "round_trip"])
                 a = b
 
     kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
