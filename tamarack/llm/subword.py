@@ -138,6 +138,8 @@ class Model:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
+    if not z.shape[-1]:
+        return z
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
@@ -148,14 +150,16 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, classe
     An empty class list or no bags gives a model that answers uniformly.
     """
     rng = np.random.default_rng(seed)
-    n, k = len(bags), max(1, len(classes))
+    n, k = len(bags), len(classes)
+    if not n:
+        return Model(features, list(classes), np.zeros((1 << features.bits, k), np.float32), np.zeros(k))
     table = rng.uniform(-1 / dim, 1 / dim, (1 << features.bits, dim)).astype(np.float32)
     out = rng.normal(0, 0.3, (dim, k)).astype(np.float32)
     bias = np.zeros(k, np.float32)
     seen_rows = np.full(1 << features.bits, 1e-6, np.float32)
     seen_out = np.full(out.shape, 1e-3, np.float32)
     seen_bias = np.full(k, 1e-1, np.float32)
-    for epoch in range(epochs if n else 0):
+    for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for d in rng.permutation(n):
             rows, share = bags[d]
