@@ -127,3 +127,22 @@ def bigrams(docs: DataFrame, tokens: str, min_count: int = 1, threshold: float =
     scored = two.join(one.select(F.col("w").alias("a"), F.col("n").alias("n_a")), "a").join(one.select(F.col("w").alias("b"), F.col("n").alias("n_b")), "b")
     scored = scored.crossJoin(F.broadcast(size))  # one row
     return scored.select("a", "b", "n_ab", ((F.col("n_ab") - min_count) * F.col("v") / (F.col("n_a") * F.col("n_b"))).alias("score")).filter(F.col("score") > threshold)
+
+
+def advisory_name(title: Column) -> Column:
+    """The package in `Malicious code in name (manager)`; null for other titles."""
+    name = F.regexp_extract(title, "^\\s*Malicious code in (.+?)(?:\\s+\\((?:npm|PyPI|pypi)\\))?\\s*$", 1)
+    return F.nullif(F.trim(name), F.lit(""))
+
+
+def name_and_version(text: Column) -> Column:
+    """struct<name, version> of `name version ...`; the version is '' where there is none."""
+    clean = F.trim(F.regexp_replace(text, "\\s+", " "))
+    return F.struct(F.split_part(clean, F.lit(" "), F.lit(1)).alias("name"), F.split_part(clean, F.lit(" "), F.lit(2)).alias("version"))
+
+
+def sentence_runs(text: Column, window: int = 3) -> Column:
+    """Runs of `window` sentences, each starting one sentence later; shorter texts are one run."""
+    sentences = F.filter(F.split(text, "(?<=[.!?])\\s+"), lambda s: s != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(sentences) - window + 1, F.lit(1)))
+    return F.when(F.size(sentences) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(sentences, i, window), " ")))

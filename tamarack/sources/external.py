@@ -119,6 +119,25 @@ def token_counts(docs: DataFrame, text: str, ranks: dict[bytes, int], pattern: s
     return docs.mapInArrow(run, f"{fields}, {column} long")
 
 
+def token_slices(docs: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, ceiling: int = 110_000, slice_tokens: int = 30_000, column: str = "first_part") -> DataFrame:
+    """`docs` with the text a model is shown: the first `slice_tokens` tokens of texts over the ceiling, others whole."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
+
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for b in batches:
+            out = []
+            for t in b.column(names.index(text)).to_pylist():
+                ids = [] if t is None else enc.encode_ordinary(t)
+                out.append(enc.decode(ids[:slice_tokens]) if len(ids) > ceiling else t)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*names, column])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{fields}, {column} string")
+
+
 class ListedSource(DataSource):
     """A data source over a Python lister: spark.read.format("listed") with an option per listing page.
 

@@ -119,3 +119,12 @@ def test_list_literals(spark):
     assert value(spark, normalise.list_text(F.col("v")), v=("['a', 'b']", "string")) == "a, b"
     assert value(spark, normalise.list_text(F.col("v")), v=(None, "string")) == ""
     assert value(spark, normalise.literal_list(F.col("v")), v=("__import__('os')", "string")) is None
+
+
+def test_advisories_and_versions(spark):
+    t = F.col("t")
+    assert value(spark, text.advisory_name(t), t=("Malicious code in left-pad (npm)", "string")) == "left-pad"
+    assert value(spark, text.advisory_name(t), t=("Something else", "string")) is None
+    assert tuple(value(spark, text.name_and_version(t), t=(" left-pad   1.0 more", "string"))) == ("left-pad", "1.0")
+    assert value(spark, text.sentence_runs(t, 2), t=("A b. C d! E?", "string")) == ["A b. C d!", "C d! E?"]
+    assert value(spark, text.sentence_runs(t, 2), t=("", "string")) == []

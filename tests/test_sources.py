@@ -130,6 +130,16 @@ def test_fold_keeps_the_tail(spark):
     assert [r["memory"] for r in inc.fold(rows, "k", "o", "t", 6).orderBy("part").collect()] == ["", "aaaa", "a bbbb"]
 
 
+def test_token_slices(spark):
+    import base64
+
+    P = pytest.importorskip("public_tokenizers")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    docs = spark.createDataFrame([(" hello" * 9,), (" hello" * 3,), (None,)], "text string")
+    got = [r["first_part"] for r in external.token_slices(docs, "text", ranks, P.PATTERN, 5, 2).collect()]
+    assert got == [" hello hello", " hello" * 3, None]
+
+
 @pytest.mark.parametrize("n", [0, 3])
 def test_token_counts(spark, n):
     import base64
