@@ -25,13 +25,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
+    """Write a table to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation.
+
+    Results are lazy and may still read such tables, so they stay until discard() is called.
+    """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far; call it once the results that read them are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def text_or_empty(text: str = "text") -> F.Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
