@@ -42,6 +42,7 @@ class Vocabulary:
     byte_ids: np.ndarray
     byte_log_p: float
     longest: int
+    per_char: float = 0.0  # about what a character of text costs: keeps sums of probabilities near 1
     tables: dict = field(default_factory=dict)
 
     @classmethod
@@ -60,24 +61,33 @@ class Vocabulary:
         log_p = alpha * np.log(p / p.sum())
         out = cls(pieces, np.array(used, np.int32), log_p.astype(np.float32), byte_ids, float(log_p.min()), max(len(pieces[i]) for i in used))
         out._index()
+        out.per_char = -float(np.mean(log_p)) / 4
         return out
 
     def _index(self) -> None:
-        """Per length, sorted hashes of the pieces with their places; and a bit table that turns most misses away."""
-        by: dict[int, list] = {}
+        """Per length: sorted hashes of the pieces with their places, and two bit tables, of these hashes and of all
+        beginnings of pieces so long, which turn most misses away before they are looked up."""
+        whole: dict[int, list] = {}
+        begun: dict[int, set] = {}
+        mask = (1 << 64) - 1
         for k, i in enumerate(self.ids.tolist()):
-            h = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for c in self.pieces[i]:
-                    h = h * _BASE + np.uint64(ord(c) + 1)
-            by.setdefault(len(self.pieces[i]), []).append((int(h), k))
+            h = 0
+            for n, c in enumerate(self.pieces[i], 1):
+                h = (h * int(_BASE) + ord(c) + 1) & mask
+                begun.setdefault(n, set()).add(h)
+            whole.setdefault(n, []).append((h, k))
         self.tables = {}
-        for n, rows in by.items():
-            rows.sort()
+        for n, hashes in begun.items():
+            rows = sorted(whole.get(n, []))
             keys = np.array([r[0] for r in rows], np.uint64)
-            near = np.zeros(1 << 20, bool)
-            near[((keys * _ODD) >> np.uint64(44)).astype(np.int64)] = True
-            self.tables[n] = (keys, np.array([r[1] for r in rows], np.int64), near)
+            near, start = np.zeros(1 << 17, bool), np.zeros(1 << 17, bool)
+            near[_slot(keys)] = True
+            start[_slot(np.array(sorted(hashes), np.uint64))] = True
+            self.tables[n] = (keys, np.array([r[1] for r in rows], np.int64), near, start)
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return ((h * _ODD) >> np.uint64(47)).astype(np.int64)
 
 
 class Lattices:
@@ -92,14 +102,24 @@ class Lattices:
         self.vocab, self.most_nodes = vocab, most_nodes
         self.clear()
 
+    KINDS = {"first": np.int64, "size": np.int64, "points": np.uint32, "start": np.int32, "source": np.int32, "place": np.int32, "length": np.int8, "ends": bool, "log_q": np.float32, "upto": np.float32}
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.first = self.size = np.zeros(0, np.int64)
-        self.points = np.zeros(0, np.uint32)
-        self.start = np.zeros(1, np.int32)
-        self.source, self.place = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.length, self.ends = np.zeros(0, np.int8), np.zeros(0, bool)
-        self.log_q, self.upto = np.zeros(0, np.float32), np.zeros(0, np.float32)
+        self.room = {name: np.zeros(1 << 12, kind) for name, kind in self.KINDS.items()}
+        for name in self.KINDS:
+            setattr(self, name, self.room[name][: int(name == "start")])
+
+    def _append(self, **more: np.ndarray) -> None:
+        """Add to the arrays, which double when they are full."""
+        for name, values in more.items():
+            held = len(getattr(self, name))
+            if held + len(values) > len(self.room[name]):
+                bigger = np.zeros(2 * (held + len(values)), self.KINDS[name])
+                bigger[:held] = self.room[name][:held]
+                self.room[name] = bigger
+            self.room[name][held : held + len(values)] = values
+            setattr(self, name, self.room[name][: held + len(values)])
 
     def places(self, words: list[str]) -> np.ndarray:
         """The numbers of words, each without its leading mark; new ones are added."""
@@ -119,64 +139,95 @@ class Lattices:
         first = np.cumsum(size) - size
         raw = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         points, n = raw.astype(np.uint64) + np.uint64(1), len(raw)
-        left = np.repeat(first + size, size) - np.arange(n)  # nodes up to the word's end
+        left = (np.repeat(first + size, size) - np.arange(n)).astype(np.int32)  # nodes up to the word's end
         # a mark in the text itself (not the first of its word) is spelt in bytes, so that decoding gives it back
         inner = raw == 0x2581
         inner[first] = False
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        live, h = np.arange(n), np.zeros(n, np.uint64)
+        live, h = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64)
         for length in range(1, vocab.longest + 1):
+            keys, place, near, start = vocab.tables[length]
             keep = left[live] >= length
             live, h = live[keep], h[keep]
+            h = h * _BASE + points[live + (length - 1)]
+            slot = _slot(h)
+            keep = start[slot]  # nodes where no piece begins like this are done
+            live, h, slot = live[keep], h[keep], slot[keep]
             if not len(live):
                 break
-            h = h * _BASE + points[live + length - 1]
-            if length in vocab.tables:
-                keys, place, near = vocab.tables[length]
-                hit = np.flatnonzero(near[((h * _ODD) >> np.uint64(44)).astype(np.int64)])
+            hit = np.flatnonzero(near[slot])
+            if len(hit):
                 at = np.minimum(np.searchsorted(keys, h[hit]), len(keys) - 1)
                 ok = (keys[at] == h[hit]) & ~inner[live[hit]]
-                found.append(((live[hit[ok]] << 8) | length, place[at[ok]]))
+                found.append((live[hit[ok]].astype(np.int64) * 32 + length, place[at[ok]]))
         single = np.zeros(n, bool)
         if found:
             key = np.concatenate([f[0] for f in found])
-            single[key[(key & 255) == 1] >> 8] = True
+            single[key[(key & 31) == 1] >> 5] = True
         bare = np.flatnonzero(~single)
-        found.append(((bare << 8) | 1, np.full(len(bare), -2, np.int64)))
+        found.append((bare * 32 + 1, np.full(len(bare), -2, np.int64)))
         key, place = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key.astype(np.int32) if n < 1 << 26 else key, kind="stable")
         key, place = key[order], place[order]
-        source, length = key >> 8, key & 255
-        c = raw[source]
-        log_q = np.where(place >= 0, vocab.log_p[place], vocab.byte_log_p * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))).astype(np.float64)
+        source, length = key >> 5, key & 31
+        weight = vocab.log_p[place].astype(np.float64)
+        lone = np.flatnonzero(place < 0)
+        c = raw[source[lone]]
+        weight[lone] = vocab.byte_log_p * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
         ends = left[source] == length
-        beta = np.zeros(n + 1)
         far = left[source]
-        by = np.argsort(far, kind="stable")
+        by = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far, kind="stable")
         cut = np.searchsorted(far[by], np.arange(1, int(left.max(initial=0)) + 2))
+        target = np.where(ends, n, source + length)  # the node after the edge; n stands for the word's end
+        log_q = self._backward(n, weight + vocab.per_char * length, source, target, by, cut)
+        if log_q is None:
+            log_q = self._backward_log(n, weight, source, target, by, cut)
+        heads = np.searchsorted(source, np.arange(n + 1))
+        q = np.exp(log_q)
+        run = np.cumsum(q)
+        upto = (run - (run - q)[heads[:-1]][source]).astype(np.float32)
+        upto[heads[1:] - 1] = 2.0  # rounding must not leave the last edge out of reach
+        base, edges = len(self.points), len(self.source)
+        self._append(first=first + base, size=size, points=raw, start=heads[1:] + edges, source=source + base, place=place, length=length, ends=ends, log_q=np.minimum(log_q, 0), upto=upto)
+
+
+    @staticmethod
+    def _backward(n: int, weight: np.ndarray, source: np.ndarray, target: np.ndarray, by: np.ndarray, cut: np.ndarray) -> np.ndarray | None:
+        """log conditional probabilities by sums of probabilities, scaled per character; None if a word is too long for it."""
+        beta = np.zeros(n + 1)
+        beta[n] = 1.0
+        w, src, dst = np.exp(weight)[by], source[by], target[by]
+        q = np.empty(len(by))
+        head = np.r_[True, src[1:] != src[:-1]] if len(by) else np.zeros(0, bool)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if a < b:
+                v = w[a:b] * beta[dst[a:b]]
+                heads = np.flatnonzero(head[a:b])
+                total = np.add.reduceat(v, heads)
+                beta[src[a:b][heads]] = total
+                q[a:b] = v
+        if not (np.isfinite(beta).all() and (beta > 1e-280).all()):
+            return None
+        out = np.empty(len(by))
+        out[by] = np.log(q / beta[src])
+        return out
+
+    @staticmethod
+    def _backward_log(n: int, weight: np.ndarray, source: np.ndarray, target: np.ndarray, by: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """The same in logarithms, for words of any length."""
+        beta, log_q = np.zeros(n + 1), weight.copy()
         for a, b in zip(cut[:-1], cut[1:]):
             e = by[a:b]
             if not len(e):
                 continue
-            v = log_q[e] + np.where(ends[e], 0.0, beta[source[e] + length[e]])
+            v = log_q[e] + beta[target[e]]
             heads = np.flatnonzero(np.r_[True, source[e[1:]] != source[e[:-1]]])
             top = np.maximum.reduceat(v, heads)
             group = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(e)]))
             total = top + np.log(np.add.reduceat(np.exp(v - top[group]), heads))
             beta[source[e[heads]]] = total
             log_q[e] = v - total[group]
-        heads = np.searchsorted(source, np.arange(n + 1))
-        q = np.exp(log_q)
-        run = np.cumsum(q)
-        upto = (run - (run - q)[heads[:-1]][source]).astype(np.float32)
-        upto[heads[1:] - 1] = 2.0  # rounding must not leave the last edge out of reach
-        base, edges = len(self.points), len(self.source)
-        self.first, self.size = np.r_[self.first, first + base], np.r_[self.size, size]
-        self.points = np.r_[self.points, raw]
-        self.start = np.r_[self.start, (heads[1:] + edges).astype(np.int32)]
-        self.source, self.place = np.r_[self.source, (source + base).astype(np.int32)], np.r_[self.place, place.astype(np.int32)]
-        self.length, self.ends = np.r_[self.length, length.astype(np.int8)], np.r_[self.ends, ends]
-        self.log_q, self.upto = np.r_[self.log_q, np.minimum(log_q, 0).astype(np.float32)], np.r_[self.upto, upto]
+        return log_q
 
 
 def _log_other(log_q: np.ndarray) -> np.ndarray:
@@ -185,7 +236,7 @@ def _log_other(log_q: np.ndarray) -> np.ndarray:
         return np.where(log_q > -1e-6, -np.inf, np.log(-np.expm1(np.minimum(log_q, -1e-6))))
 
 
-def _truncated(u: np.ndarray, log_mass: np.ndarray, bound: float) -> np.ndarray:
+def _truncated(u: np.ndarray, log_mass: np.ndarray, bound: float | np.ndarray) -> np.ndarray:
     """The maximum of Gumbels with this mass, given that it is under the bound."""
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(np.isneginf(log_mass), -np.inf, -np.logaddexp(-bound, np.log(-np.log(u)) - log_mass))
@@ -266,26 +317,35 @@ class Sampler:
             total = np.r_[0, np.cumsum(count)]
             cut = np.r_[total[heads], total[-1]].tolist()
             u = uniform(key[who][:, None] + (np.arange(self.near + 1, dtype=np.uint64) + np.uint64(1000 * (r + 1)))[None, :])
-            sums = np.r_[0.0, np.cumsum(lat.log_q[edges], dtype=np.float64)]
+            log_q = lat.log_q[edges].astype(np.float64)
+            sums = np.r_[0.0, np.cumsum(log_q)]
+            cuts = np.array(cut)
+            done = np.array([0 if t[2] is None else len(t[2]) for t in todo])
+            held = np.array([0.0 if t[2] is None else float(lat.log_q[t[2]].sum(dtype=np.float64)) for t in todo])
+            own = np.diff(cuts)
+            spot = np.minimum(cuts[:-1, None] + np.arange(self.near), max(0, len(edges) - 1))
+            inside = np.arange(self.near) < own[:, None]
+            mass = np.full((len(todo), self.near + 1), -np.inf)
+            if len(edges):
+                mass[:, :-1] = np.where(inside, held[:, None] + sums[spot] - sums[cuts[:-1], None] + _log_other(log_q[spot]), -np.inf)
+            whole = held + sums[cuts[1:]] - sums[cuts[:-1]]
+            far = np.flatnonzero(own > self.near)
+            deep = held[far] + sums[cuts[far] + self.near] - sums[cuts[far]]
+            mass[far, -1] = deep + _log_other(whole[far] - deep)
+            bound = np.array([t[1] for t in todo])
+            gumbel = _truncated(u, mass, bound[:, None])
+            # no more regions of one path than are still to be opened, and the one that gives the threshold, can matter
+            many = min(self.k - r, self.near + 1)
+            best = np.argpartition(-gumbel, many - 1, axis=1)[:, :many]
             for x, (d, g, prefix, _, _) in enumerate(todo):
                 a, b = cut[x], cut[x + 1]
-                done = len(prefix) if prefix is not None else 0
-                path = np.concatenate((prefix, edges[a:b])) if done else edges[a:b]
-                held = float(lat.log_q[prefix].sum(dtype=np.float64)) if done else 0.0
-                log_p = held + float(sums[b] - sums[a])
-                paths[d].append({"edges": path, "log_p": log_p, "perturbed": g})
+                path = edges[a:b] if prefix is None else np.concatenate((prefix, edges[a:b]))
+                paths[d].append({"edges": path, "log_p": float(whole[x]), "perturbed": g})
                 m = min(self.near, b - a)
-                mass = held + sums[a : a + m] - sums[a] + _log_other(lat.log_q[edges[a : a + m]].astype(np.float64))
-                if b - a > m:
-                    deep = held + float(sums[a + m] - sums[a])
-                    mass = np.append(mass, deep + float(_log_other(np.array([log_p - deep]))[0]))
-                gumbel = _truncated(u[x, : len(mass)], mass, g).tolist()
-                for t, v in enumerate(gumbel):
+                for t in best[x].tolist():
+                    v = float(gumbel[x, t])
                     if v > -np.inf:
-                        taken = (int(edges[a + t]),) if t < m else ()
-                        heapq.heappush(heaps[d], (-v, len(paths[d]), done + t, taken))
-                if len(heaps[d]) > 4 * self.k + 8:
-                    heaps[d] = heapq.nsmallest(self.k + 1, heaps[d])
+                        heapq.heappush(heaps[d], (-v, len(paths[d]), int(done[x]) + min(t, m), (int(edges[a + t]),) if t < m else ()))
             todo = [t for t in (self._open(heaps[d], paths[d], d, key[d], r, threshold) for d in who.tolist()) if t]
         for d in range(docs):
             for p in paths[d]:
@@ -331,13 +391,24 @@ class Sampler:
 
     def token_ids(self, path: dict) -> np.ndarray:
         """The ids of a path; byte spellings take one id a byte."""
-        place = self.lattice.place[path["edges"]]
-        if (place >= 0).all():
-            return self.vocab.ids[place]
-        out: list[int] = []
-        for p, node in zip(place.tolist(), self.lattice.source[path["edges"]].tolist()):
-            out += [int(self.vocab.ids[p])] if p >= 0 else self.vocab.byte_ids[list(chr(int(self.lattice.points[node])).encode("utf-8", "surrogatepass"))].tolist()
-        return np.array(out, np.int32)
+        lat, edges = self.lattice, path["edges"]
+        place = lat.place[edges]
+        bare = np.flatnonzero(place < 0)
+        ids = self.vocab.ids[place]
+        if not len(bare):
+            return ids
+        c = lat.points[lat.source[edges[bare]]]
+        ids[bare] = self.vocab.byte_ids[np.minimum(c, 255)]
+        wide = np.flatnonzero(c > 0x7F)
+        if not len(wide):
+            return ids
+        spelt = [self.vocab.byte_ids[list(chr(x).encode("utf-8", "surrogatepass"))] for x in c[wide].tolist()]
+        n = np.ones(len(ids), np.int64)
+        n[bare[wide]] = [len(x) for x in spelt]
+        first = np.cumsum(n) - n
+        out = np.repeat(ids, n)
+        out[np.concatenate([first[k] + np.arange(len(x)) for k, x in zip(bare[wide].tolist(), spelt)])] = np.concatenate(spelt)
+        return out
 
 
 def decoder(pieces: list[str], byte_ids: np.ndarray):
