@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import materialize, text_or_empty
 
-#: No model keeps more words or bigrams than these: an entry must have a share of 1 / bound of all counts.
+#: No model of train() keeps more words or bigrams than these: an entry must have a share of 1 / bound of all counts.
 MAX_WORDS, MAX_PAIRS = 1 << 16, 1 << 20
 UNK, BOS, FREE = 0, 1, 2
 
@@ -72,8 +73,102 @@ def _word_counts(batches):
         yield out()
 
 
+def _hashed(batches, held: dict[str, int], most: int = 1_000_000):
+    """Of every text of the batches: its batch, its row, and the 64-bit hashes of its words after BOS. `held` remembers words."""
+    for batch in batches:
+        for i, text in enumerate(batch.column(0)):
+            words = tokens(text.as_py())
+            for w in words:
+                if w not in held:
+                    held[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            yield batch, i, np.array([BOS, *map(held.__getitem__, words)], np.int64)
+            if len(held) > most:
+                held.clear()
+
+
+def _all_pairs(batches):
+    """(h, w, background, target): counts of all bigrams by corpus (2: neither); sent on whenever 3,000,000 are gathered."""
+    held, many = [[], [], []], 0
+
+    def out():
+        for c, rows in enumerate(held):
+            h, w = (np.concatenate([r[s] for r in rows]) if rows else np.zeros(0, np.int64) for s in (slice(None, -1), slice(1, None)))
+            order = np.lexsort((w, h))
+            h, w = h[order], w[order]
+            starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]) if len(h) else np.zeros(0, np.int64)
+            k = np.diff(np.r_[starts, len(h)])
+            zero = np.zeros(len(starts), np.int64)
+            table = pa.table({"h": h[starts], "w": w[starts], "background": k if c == 0 else zero, "target": k if c == 1 else zero})
+            yield from table.to_batches(100_000)
+
+    for batch, i, row in _hashed(batches, {}):
+        held[batch.column(1)[i].as_py()].append(row)
+        many += len(row)
+        if many > 3_000_000:
+            yield from out()
+            held, many = [[], [], []], 0
+    if many:
+        yield from out()
+
+
+def _occurrences(batches):
+    """(h, w, row): every bigram of every text, with its row's key."""
+    held, keys, many = [], [], 0
+
+    def out():
+        h, w = (np.concatenate([r[s] for r in held]) for s in (slice(None, -1), slice(1, None)))
+        yield from pa.table({"h": h, "w": w, "row": np.repeat(np.array(keys, np.int64), [len(r) - 1 for r in held])}).to_batches(100_000)
+
+    for batch, i, row in _hashed(batches, {}):
+        held.append(row)
+        keys.append(batch.column(1)[i].as_py())
+        many += len(row)
+        if many > 500_000:
+            yield from out()
+            held, keys, many = [], [], 0
+    if held:
+        yield from out()
+
+
+def score_all(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", weight: float = 0.7, smoothing: float = 1e-3) -> DataFrame:
+    """The rows of score() under models that keep every word and every bigram of both corpora, however large they are.
+
+    Nothing of the models is gathered on the driver or sent to every task: counts are written tables, losses are worked
+    out once for each bigram by joins with the counts of its words, and the bigrams of the documents are joined with
+    these. Words are 64-bit hashes and bigrams hashes of two. Without `background` the documents are the background.
+    """
+    part = lambda df, c: df.select(text_or_empty(text).alias("t"), F.lit(c).alias("c"))
+    corpora = part(docs if background is None else background, 0).unionByName(part(target, 1))
+    if background is not None:
+        corpora = corpora.unionByName(part(docs, 2))  # their bigrams need losses too, but count nowhere
+    pairs = materialize(_folded(corpora, _all_pairs, "h long, w long, background long, target long", ["h", "w"]), "pairs")
+    sums = lambda by, b, t: pairs.groupBy(by).agg(F.sum("background").alias(b), F.sum("target").alias(t))
+    words, contexts = materialize(sums("w", "nb", "nt"), "words"), materialize(sums("h", "cb", "ct"), "contexts")
+    seen = words.agg(F.coalesce(F.sum("nb"), F.lit(0)), F.coalesce(F.sum("nt"), F.lit(0)), F.count(F.when(F.col("nb") + F.col("nt") > 0, 1))).first()
+    n = FREE + seen[2]
+
+    def loss(size, pair, word, context):
+        extra = smoothing * max(1, size)
+        uni = (F.col(word) + F.lit(extra / n)) / F.lit(size + extra)
+        near = F.when(F.col(context) > 0, F.lit(weight) * F.col(pair) / F.col(context) + F.lit(1 - weight) * uni)
+        return -F.log(F.coalesce(near, uni))
+
+    losses = pairs.join(words.hint("merge"), "w").join(contexts.hint("merge"), "h")
+    losses = losses.select(F.xxhash64("h", "w").alias("p"), loss(seen[0], "background", "nb", "cb").cast("float").alias("b"), loss(seen[1], "target", "nt", "ct").cast("float").alias("g"), (F.col("h") == BOS).alias("first"))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("t"), F.xxhash64(doc_id, text_or_empty(text)).alias("row"))
+    found = keyed.select("t", "row").mapInArrow(_occurrences, "h long, w long, row long").select(F.xxhash64("h", "w").alias("p"), "row")
+    # rows that repeat id and text share a key: each has the same means, and its part of the tokens
+    sums = found.join(losses.hint("merge"), "p").groupBy("row").agg(
+        (F.count(F.lit(1)) / F.count_if("first")).cast("long").alias("n_tokens"), F.avg(F.col("g").cast("double")).alias("ce_target"), F.avg(F.col("b").cast("double")).alias("ce_background")
+    )
+    out = keyed.select("doc_id", "row").join(materialize(sums, "losses").hint("merge"), "row", "left")
+    return out.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "ce_target", "ce_background", (F.col("ce_target") - F.col("ce_background")).alias("score"))
+
+
 def train(background: DataFrame, target: DataFrame, text: str = "text", max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS, weight: float = 0.7, smoothing: float = 1e-3) -> Models:
-    """Count words, then bigrams, of every whole text of both tables, and keep what has its share.
+    """Models held in memory, for samples and small corpora: count words, then bigrams, and keep what has its share.
+
+    score_all() is the operator without this bound.
 
     All counts are taken over all rows. The vocabulary is the words with at least 1 / max_words of all words of either
     corpus, so it has at most 2 * max_words entries however large the corpus, and others are the unknown word; likewise

@@ -153,6 +153,34 @@ def test_lm_edge_tables(spark):
     assert all(r["score"] is None or abs(r["score"]) < 1e-9 for r in lm_scoring.score(table(spark, extra=True), m).collect())
 
 
+def test_lm_scoring_keeps_every_word_and_bigram(spark, sf_dir):
+    """The query gives what models without any bound give; a bounded one would score rare words as unknown."""
+    from tamarack.llm import queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    target = lm_scoring.target_texts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    whole = lm_scoring.train(docs, target, max_words=1 << 40, max_pairs=1 << 40)
+    assert len(whole.ids) == len({w for r in docs.collect() for w in lm_scoring.tokens(r["text"] or "")})
+    want = {r["doc_id"]: r for r in lm_scoring.score(docs, whole).collect()}
+    got = queries.op6_lm_scoring(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(want)
+    for r in got:
+        for c in ("n_tokens", "ce_target", "ce_background", "score"):
+            assert r[c] == (want[r["doc_id"]][c] if want[r["doc_id"]][c] is None else pytest.approx(want[r["doc_id"]][c], rel=1e-4, abs=1e-5))
+
+
+def test_lm_scoring_of_other_documents(spark):
+    """Documents outside the background, repeated rows, null ids and texts, unknown words."""
+    docs, corpus = table(spark, extra=True), table(spark, [(i, prose(i, 50)) for i in range(9)])
+    whole = lm_scoring.train(corpus, corpus.limit(2), max_words=1 << 40, max_pairs=1 << 40)
+    order = lambda rows: sorted((tuple(r) for r in rows), key=lambda r: (key(r[0]), r[1]))
+    want = order(lm_scoring.score(docs, whole).collect())
+    got = order(lm_scoring.score_all(docs, corpus.limit(2), corpus).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(a == b if b is None else a == pytest.approx(b, rel=1e-4, abs=1e-5) for x, y in zip(got, want) for a, b in zip(x[2:], y[2:]))
+    assert lm_scoring.score_all(table(spark, []), table(spark, [])).count() == 0
+
+
 def test_raking_meets_the_marginals():
     rng = np.random.default_rng(1)
     keys = [rng.integers(0, k, 60) for k in (5, 3, 4)]
