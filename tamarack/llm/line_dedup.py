@@ -20,8 +20,8 @@ def windows(docs: DataFrame, width: int = 3, min_words: int = 10, doc_id: str =
     """(doc_id, th, pos, ends, h1, h2): every window of `width` consecutive lines that have a word.
 
     pos and ends are the indexes of its first and last line among all lines. A text with fewer such lines is one
-    window. h1 and h2 are two 64-bit hashes of the lines without white space at their ends (128 bits together). Windows of fewer than
-    `min_words` words are no evidence of a copy and are left out. th tells rows with the same doc_id apart.
+    window. h1 and h2 are two 64-bit hashes of the lines without white space at their ends (128 bits together).
+    Windows of fewer than `min_words` words are left out. th tells rows with the same doc_id apart.
     """
     a = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("_text"))
     a = a.select("doc_id", F.xxhash64("_text").alias("th"), _lines().alias("_l"))
@@ -33,11 +33,12 @@ def windows(docs: DataFrame, width: int = 3, min_words: int = 10, doc_id: str =
     each = f"struct(_l[j].i as pos, get(_l, least(j + {width}, size(_l)) - 1).i as ends, xxhash64({parts('h')}) as h1, xxhash64({parts('g')}) as h2, {words} as n)"
     starts = f"case when size(_l) = 0 then array() else transform(sequence(0, greatest(size(_l) - {width}, 0)), j -> {each}) end"
     a = a.select("doc_id", "th", F.explode(F.expr(starts)).alias("w")).select("doc_id", "th", "w.*")
-    return a.filter(F.col("n") >= min_words).drop("n")
+    return (a.filter(F.col("n") >= min_words) if min_words > 0 else a).drop("n")
 
 
 def repeated_positions(docs: DataFrame, width: int = 3, min_words: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, th, spans): lines covered by later occurrences of repeated windows, as an array of (pos, ends).
+    """(doc_id, th, spans): lines covered by later occurrences of repeated windows, as an array of (pos, ends): runs of
+    windows that share a line are merged.
 
     The first occurrence is the one with the least (doc_id, pos); a null doc_id is after all others.
     """
@@ -46,27 +47,32 @@ def repeated_positions(docs: DataFrame, width: int = 3, min_words: int = 10, doc
     heads = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("head"))
     heads = materialize(heads.filter("n > 1").select("h1", "h2", F.col("head.d").alias("hd"), F.col("head.t").alias("ht"), F.col("head.p").alias("hp")), "heads")
     later = found.join(heads, ["h1", "h2"]).filter("not (doc_id <=> hd and th = ht and pos = hp)").select("doc_id", "th", "pos", "ends")
-    return later.distinct().groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("pos", "ends"))).alias("spans"))
+    spans = later.distinct().groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("pos", "ends"))).alias("_s"))
+    # pos and ends both ascend: a run starts where the window before ends earlier, and ends where the next starts later
+    starts = "filter(_s, (s, i) -> i = 0 or s.pos > get(_s, i - 1).ends)"
+    lasts = "filter(_s, (s, i) -> i = size(_s) - 1 or get(_s, i + 1).pos > s.ends)"
+    return spans.select("doc_id", "th", F.expr(f"zip_with({starts}, {lasts}, (a, b) -> struct(a.pos as pos, b.ends as ends))").alias("spans"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, min_words: int = 10, drop_emptied: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, min_words: int = 10, drop_emptied: bool = False, run_words: int = 0) -> DataFrame:
     """Every input row and column, with `text` cleaned, and n_lines_removed added at the end.
 
     Repeated windows of `width` lines lose all but their first occurrence (in order of doc_id, then position); covered
-    positions of overlapping windows merge, and their lines go. Texts without a repeat, null and empty ones stay as they
-    are. Rows that repeat both doc_id and text lose the same lines (they are one document); with equal doc_ids but other
+    positions of overlapping windows merge into runs, and their lines go. Too few words are no evidence of a copy:
+    `min_words` is the least of a window and `run_words` the least of a run. With a floor on windows, texts of very short
+    lines have none left; with min_words=0 and a floor on runs all repeats are looked for. Texts without a repeat, null and
+    empty ones stay as they are. Rows that repeat both doc_id and text lose the same lines (they are one document); with equal doc_ids but other
     texts they are ordered by a hash of the text. `drop_emptied` leaves out rows that lost every line with a word.
     """
     spans = materialize(repeated_positions(docs, width, min_words, doc_id, text).withColumnsRenamed({"doc_id": "_sd", "th": "_st", "spans": "_spans"}), "spans")
     out = docs.join(spans, docs[doc_id].eqNullSafe(F.col("_sd")) & (F.xxhash64(text_or_empty(text)) == F.col("_st")), "left").drop("_sd", "_st")
     out = out.withColumn("_text", text_or_empty(text))
-    # merged coverage: positions p with some span (pos, ends) around them; spans are sorted by pos, and at most width long
-    covered = "array_distinct(flatten(transform(_spans, s -> sequence(s.pos, s.ends))))"
-    out = out.withColumn("_cov", F.expr(f"case when _spans is not null then map_from_arrays({covered}, transform({covered}, x -> true)) end"))
-    lines = F.when(F.col("_cov").isNotNull(), _lines())
-    out = out.withColumn("_l", lines)
-    kept = F.expr("array_join(filter(_l, (x, i) -> not map_contains_key(_cov, i)), '')")
-    out = out.withColumn("_new", F.when(F.col("_cov").isNotNull(), F.rtrim(kept)).otherwise(F.col(text).cast("string")))
+    out = out.withColumn("_l", F.when(F.col("_spans").isNotNull(), _lines()))
+    words = "regexp_count(array_join(slice(_l, r.pos + 1, r.ends - r.pos + 1), ''), '[^\\\\s]+')"
+    out = out.withColumn("_runs", F.expr(f"filter(_spans, r -> {words} >= {int(run_words)})" if run_words > 0 else "_spans"))
+    out = out.withColumn("_n", F.expr("aggregate(_runs, 0, (n, r) -> n + r.ends - r.pos + 1)"))
+    kept = F.expr("array_join(filter(_l, (x, i) -> not exists(_runs, r -> i between r.pos and r.ends)), '')")
+    out = out.withColumn("_new", F.when(F.col("_n") > 0, F.rtrim(kept)).otherwise(F.col(text).cast("string")))
     if drop_emptied:
-        out = out.filter(F.col("_cov").isNull() | F.col("_new").rlike("[^\\s]"))
-    return out.select(*(F.col("_new").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.size("_cov"), F.lit(0)).alias("n_lines_removed"))
+        out = out.filter((F.coalesce("_n", F.lit(0)) == 0) | F.col("_new").rlike("[^\\s]"))
+    return out.select(*(F.col("_new").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns), F.coalesce("_n", F.lit(0)).alias("n_lines_removed"))

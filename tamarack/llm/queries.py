@@ -58,7 +58,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.line_dedup(table(spark, sf_dir, "documents"))
+    out = lines.line_dedup(table(spark, sf_dir, "documents"), min_words=0, run_words=10)
     return out.select("doc_id", "n_lines_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 

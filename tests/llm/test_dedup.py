@@ -189,6 +189,45 @@ def test_line_dedup_on_the_small_table(spark, sf_dir):
     assert got == sorted(brute_line_dedup([tuple(r) for r in docs.collect()]))
 
 
+def brute_runs(rows, width=3, least=10):
+    """Every window is looked for; covered lines go if the run of overlapping windows they are in has `least` words."""
+    import re
+
+    split = lambda t: [x for x in re.split("(?<=\n)|(?<=[.!?] )", t or "") if x]
+    seen, out = set(), {}
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is None, key(r[0]))):
+        lines, runs = split(t), []
+        real = [i for i, x in enumerate(lines) if x.strip()]
+        for s in range(max(1, len(real) - width + 1)) if real else []:
+            part = real[s : s + width]
+            if (w := tuple(lines[i].strip(" \n\r\t") for i in part)) in seen:
+                if runs and part[0] <= runs[-1][1]:
+                    runs[-1][1] = part[-1]
+                else:
+                    runs.append([part[0], part[-1]])
+            seen.add(w)
+        gone = {i for a, b in runs if len("".join(lines[a : b + 1]).split()) >= least for i in range(a, b + 1)}
+        out[d, t] = (d, "".join(x for i, x in enumerate(lines) if i not in gone).rstrip(" ") if gone else t, len(gone))
+    return [out[r] for r in rows]
+
+
+def test_short_sentences_are_deduplicated_whole(spark, tmp_path, sf_dir):
+    """op5 and the pipeline find a copy whose every window is under ten words, and leave runs of few words alone."""
+    import corpus_pipeline
+    from tamarack.llm import queries
+
+    short = " ".join(f"{w.capitalize()} {i}!" for i, w in enumerate(prose(3, 60).split()))
+    rows = [(1, short), (2, short), (3, f"Own start is here. {short} Own end."), (4, "A. B. C. D."), (5, "A. B. C. E."), (6, None), (7, "")] + [(i, t) for i, t in line_rows() if i is None]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert {d: (r["n_lines_removed"], r["text_md5"]) for d, r in got.items()} == {d: (n, None if t is None else hashlib.md5(t.encode()).hexdigest()) for d, t, n in brute_runs(rows)}
+    assert got[2]["n_chars_left"] == 0 and got[5]["n_lines_removed"] == 0
+    assert 2 not in {r["doc_id"] for r in corpus_pipeline.dedup_lines(spark, table(spark, rows), str(tmp_path)).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    got = sorted((r["doc_id"], r["text"], r["n_lines_removed"]) for r in line_dedup.line_dedup(docs, min_words=0, run_words=10).collect())
+    assert got == sorted(brute_runs([tuple(r) for r in docs.collect()]))
+
+
 def test_hot_line(spark):
     rows = [(i, f"{PASSAGE} Own line number {i} of this text. {prose(i, 20)}") for i in range(200)]
     out = line_dedup.line_dedup(table(spark, rows)).filter(F.col("text").contains("many words")).collect()
