@@ -73,19 +73,23 @@ def fetch_pages(queue: DataFrame, fetcher: Fetcher, extractors: dict[str, Callab
     return queue.select("timestamp", "source", "link").mapInArrow(run, "timestamp string, source string, link string, text string, error string")
 
 
-def model_chain(docs: DataFrame, client: ModelClient, models: list[str], prompts: dict[tuple[str, str], str], stop: tuple[str, ...] = (), common: tuple[str, ...] = (), most_chars: int = 120_000, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def model_chain(docs: DataFrame, client: ModelClient, models: list[str], prompts: dict[tuple[str, str], str], stop: tuple[str, ...] = (), common: tuple[str, ...] = (), ranks: dict[bytes, int] | None = None, pattern: str = "", sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """(file, model, prompt, step, answer): the three steps in order for every model and prompt type.
 
     `prompts` maps (prompt type, step) to its template; each step sees the candidates and the answer before it.
+    Texts are shown whole; with a byte-pair vocabulary (`ranks`, `pattern`) those over the ceiling as token_slices() has them.
     """
     kinds = sorted({k for k, _ in prompts})
-    rows = docs.select("file", F.col("text"), F.array_join(F.array_sort(candidates(F.col("text"), common, stop)), ", ").alias("names"))
+    shown, docs = F.col("text"), docs.select("file", "text")
+    if ranks is not None:
+        shown, docs = F.col("first_part"), token_slices(docs, "text", ranks, pattern)
+    rows = docs.select("file", shown.alias("shown"), F.array_join(F.array_sort(candidates(F.col("text"), common, stop)), ", ").alias("names"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in b.to_pylist():
-                text = (r["text"] or "")[:most_chars]  # the model's window, a property of the client
+                text = r["shown"] or ""
                 for m in models:
                     for kind in kinds:
                         before = ""

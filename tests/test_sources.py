@@ -87,6 +87,23 @@ def test_model_chain(spark):
     assert len(got) == 6 and {r["answer"] for r in got if r["model"] == "m1"} == {"m1:extract", "m1:relation", "m1:verify"}
 
 
+def test_model_chain_shows_whole_texts(spark):
+    """A tail behind 120,000 characters is seen at every step; over 110,000 tokens the first 30,000 are shown."""
+
+    class Tail:
+        def ask(self, model, prompt, text):
+            return f"{len(text)} {text[-4:]}"
+
+    docs = spark.createDataFrame([("f", "word " * 40_000 + "tail"), ("g", None)], "file string, text string")
+    prompts = {("cot", s): s for s in external.STEPS}
+    bytewise = {bytes([b]): b for b in range(256)}
+    for vocabulary, want in (({}, "200004 tail"), ({"ranks": bytewise, "pattern": r"\s?\S+"}, "30000 ord ")):
+        got = external.model_chain(docs, Tail(), ["m"], prompts, **vocabulary).collect()
+        assert len(got) == 6 and {r["answer"] for r in got if r["file"] == "f"} == {want}
+    got = external.model_chain(docs.limit(1).withColumn("text", F.substring("text", 79_997, 130_000)), Tail(), ["m"], prompts).collect()
+    assert {r["answer"] for r in got} == {"120008 tail"}
+
+
 def test_retries_are_bounded():
     waits, calls = [], []
 
