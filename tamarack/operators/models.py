@@ -10,13 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def lda_topics(docs: DataFrame, doc_id: str, tokens: str, topics: int = 5, iterations: int = 10, vocabulary: int = 5000, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, topics: array<double>), (topic, term, weight)): online variational LDA with a fixed seed."""
-    counter = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocabulary).fit(docs)
-    model = LDA(k=topics, maxIter=iterations, seed=seed, featuresCol="_tf", optimizer="online").fit(tf := counter.transform(docs))
+def lda_topics(docs: DataFrame, doc_id: str, tokens: str, topics: int = 5, iterations: int = 10, vocabulary: int | None = 5000, seed: int = 17, share: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, topics: array<double>), (topic, term, weight)): online variational LDA with a fixed seed.
+
+    Without `vocabulary` every word is kept. An iteration draws a `share` of the documents, with replacement (Spark's own
+    choice where there is none; 1.0: as many draws as there are documents).
+    """
+    counter = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocabulary or (1 << 31) - 1).fit(docs)
+    lda = LDA(k=topics, maxIter=iterations, seed=seed, featuresCol="_tf", optimizer="online")
+    model = (lda if share is None else lda.setSubsamplingRate(share)).fit(tf := counter.transform(docs))
     mixed = model.transform(tf).select(doc_id, vector_to_array("topicDistribution").alias("topics"))
     top = model.describeTopics(10).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
-    table = docs.sparkSession.createDataFrame(list(enumerate(counter.vocabulary)), "i int, term string")  # at most `vocabulary` rows
+    names = counter.vocabulary
+    used = sorted({i for r in model.describeTopics(10).select("termIndices").collect() for i in r[0]})  # ten for each topic
+    table = docs.sparkSession.createDataFrame([(i, names[i]) for i in used], "i int, term string")
     terms = top.select("topic", F.col("t.termIndices").alias("i"), F.col("t.termWeights").alias("weight")).join(table, "i").select("topic", "term", "weight")
     return mixed, terms
 

@@ -149,12 +149,14 @@ def plausible_names(spark, sf_dir):
 
 @plan()
 def lda_topics(spark, sf_dir):
-    """Five topics of every document (an iterative model; a fixed seed)."""
+    """The shares of five topics in every document, and the leading one: all words, 50 rounds over all
+    documents (as many passes as the reference makes), a fixed seed."""
     from tamarack.operators.models import lda_topics as lda
 
     d = _docs(spark, sf_dir).select("doc_id", text.words(F.col("text")).alias("w"))
-    mixed, _ = lda(d, "doc_id", "w", iterations=3, vocabulary=500)
-    return mixed.select("doc_id", F.round(F.aggregate("topics", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+    mixed, _ = lda(d, "doc_id", "w", iterations=50, vocabulary=None, share=1.0)
+    leading = F.expr("array_position(topics, array_max(topics)) - 1").cast("int")
+    return mixed.select("doc_id", "topics", F.when(F.array_max("topics") > 0, leading).alias("leading"))
 
 
 @plan()

@@ -45,3 +45,16 @@ def test_query(spark, sf_dir, con, name):
 
 def test_oracles_have_queries():
     assert set(plans.ORACLES) <= set(plans.QUERIES)
+
+
+def test_lda_topics_keep_rare_words(spark, tmp_path):
+    """A document of words that are rarer than 600 others has topics, and topics are returned."""
+    common = " ".join(f"common{i}" for i in range(600))
+    texts = [(1, common), (2, common), (3, " ".join(f"rare{i}" for i in range(40))), (4, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in plans.QUERIES["lda_topics"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    for i in (1, 2, 3):
+        assert len(got[i]["topics"]) == 5 and sum(got[i]["topics"]) == pytest.approx(1)
+        assert got[i]["topics"][got[i]["leading"]] == max(got[i]["topics"])
+    assert max(got[3]["topics"]) > 0.5 and got[4]["leading"] is None
