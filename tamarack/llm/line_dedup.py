@@ -68,10 +68,11 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     out = docs.join(spans, docs[doc_id].eqNullSafe(F.col("_sd")) & (F.xxhash64(text_or_empty(text)) == F.col("_st")), "left").drop("_sd", "_st")
     out = out.withColumn("_text", text_or_empty(text))
     out = out.withColumn("_l", F.when(F.col("_spans").isNotNull(), _lines()))
-    words = "regexp_count(array_join(slice(_l, r.pos + 1, r.ends - r.pos + 1), ''), '[^\\\\s]+')"
-    out = out.withColumn("_runs", F.expr(f"filter(_spans, r -> {words} >= {int(run_words)})" if run_words > 0 else "_spans"))
+    words = "regexp_count(array_join(slice(l, r.pos + 1, r.ends - r.pos + 1), ''), '[^\\\\s]+')"
+    out = out.withColumn("_runs", F.expr(f"element_at(transform(array(_l), l -> filter(_spans, r -> {words} >= {int(run_words)})), 1)" if run_words > 0 else "_spans"))
     out = out.withColumn("_n", F.expr("aggregate(_runs, 0, (n, r) -> n + r.ends - r.pos + 1)"))
-    kept = F.expr("array_join(filter(_l, (x, i) -> not exists(_runs, r -> i between r.pos and r.ends)), '')")
+    # a filter that is pushed down puts the columns' expressions in place of their names: bound names are worked out once
+    kept = F.expr("element_at(transform(array(_runs), q -> array_join(filter(_l, (x, i) -> not exists(q, r -> i between r.pos and r.ends)), '')), 1)")
     out = out.withColumn("_new", F.when(F.col("_n") > 0, F.rtrim(kept)).otherwise(F.col(text).cast("string")))
     if drop_emptied:
         out = out.filter((F.coalesce("_n", F.lit(0)) == 0) | F.col("_new").rlike("[^\\s]"))
