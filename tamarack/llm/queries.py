@@ -16,10 +16,13 @@ from tamarack.session import table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every document: a row each, with a digest of its ids."""
+    """Two sampled segmentations of every document: a row each, with a digest of its ids.
+
+    A null text has one row, with nulls; a text with a single segmentation has one row.
+    """
     out = pieces.sample_encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(), k=2)
     digests = out.select("doc_id", "round_trip", F.transform("ids", lambda x: F.struct(F.size(x).cast("long").alias("n_pieces"), F.xxhash64(x).alias("ids_hash"))).alias("d"), *pieces.NUMBERS)
-    rows = digests.select("doc_id", "round_trip", F.posexplode(F.arrays_zip("d", *pieces.NUMBERS)).alias("sample", "s"))
+    rows = digests.select("doc_id", "round_trip", F.posexplode_outer(F.arrays_zip("d", *pieces.NUMBERS)).alias("sample", "s"))
     return rows.select("doc_id", "sample", "s.d.n_pieces", "s.d.ids_hash", *(f"s.{c}" for c in pieces.NUMBERS), "round_trip")
 
 

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding, with sampled segmentations drawn without replacement.
 
 A text's lattice has a node per code point and an edge per vocabulary piece that matches there; a segmentation is a
-path. Pieces carry log-probabilities, so each path has a probability; conditional edge probabilities come from a
+path. No piece crosses a place where it has none of the two neighbouring characters side by side, so the lattice is cut
+there into units; equal units share their lattice, and the law of a text's paths is the product of its units' laws. Pieces carry log-probabilities, so each path has a probability; conditional edge probabilities come from a
 backward pass. Gumbel top-k without replacement is a search over prefixes of paths: the space is kept as regions
 ("this prefix, then any edge but those taken"), each with the maximum of its Gumbel-perturbed log-probabilities, drawn
 top-down as a truncated Gumbel. The region with the largest maximum is opened next, as in A-star search with an exact
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 from tamarack.llm.common import splitmix, uniform
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MARK, LITERAL = "\u2581", "\ud800"  # of a space; of a mark in the text itself (no valid text has a lone surrogate)
+MASK = (1 << 64) - 1
+MOST_LETTERS = 31  # an edge's key is node * 32 + length
 _BASE = np.uint64(0x100000001B3)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,6 +48,9 @@ class Vocabulary:
     longest: int
     per_char: float = 0.0  # about what a character of text costs: keeps sums of probabilities near 1
     tables: dict = field(default_factory=dict)
+    kinds: np.ndarray = field(default_factory=lambda: np.zeros(0x110000, np.int16))  # the number of each character of a piece
+    power: np.ndarray = field(default_factory=lambda: np.ones(1, np.uint64))
+    beside: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), bool))  # whether a piece has two characters side by side
 
     @classmethod
     def load(cls, path: str = MODEL, power: float = 1.0, offset: float = 50.0, alpha: float = 0.25) -> Vocabulary:
@@ -60,6 +67,8 @@ class Vocabulary:
                 byte_ids[int(pieces[i][1:-1], 16)] = i
         log_p = alpha * np.log(p / p.sum())
         out = cls(pieces, np.array(used, np.int32), log_p.astype(np.float32), byte_ids, float(log_p.min()), max(len(pieces[i]) for i in used))
+        if out.longest > MOST_LETTERS:
+            raise ValueError(f"pieces of over {MOST_LETTERS} characters don't fit an edge's key")
         out._index()
         out.per_char = -float(np.mean(log_p)) / 4
         return out
@@ -69,11 +78,10 @@ class Vocabulary:
         beginnings of pieces so long, which turn most misses away before they are looked up."""
         whole: dict[int, list] = {}
         begun: dict[int, set] = {}
-        mask = (1 << 64) - 1
         for k, i in enumerate(self.ids.tolist()):
             h = 0
             for n, c in enumerate(self.pieces[i], 1):
-                h = (h * int(_BASE) + ord(c) + 1) & mask
+                h = (h * int(_BASE) + ord(c) + 1) & MASK
                 begun.setdefault(n, set()).add(h)
             whole.setdefault(n, []).append((h, k))
         self.tables = {}
@@ -84,6 +92,44 @@ class Vocabulary:
             near[_slot(keys)] = True
             start[_slot(np.array(sorted(hashes), np.uint64))] = True
             self.tables[n] = (keys, np.array([r[1] for r in rows], np.int64), near, start)
+        used = [self.pieces[i] for i in self.ids.tolist()]
+        for k, c in enumerate(sorted({c for p in used for c in p}), 1):
+            self.kinds[ord(c)] = k
+        self.beside = np.zeros((int(self.kinds.max()) + 1,) * 2, bool)
+        for p in used:
+            k = self.kinds[[ord(c) for c in p]]
+            self.beside[k[:-1], k[1:]] = True
+
+    def units(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct units of texts (spaces, and the one before a text, as marks), the number of every unit among
+        these in order of the texts, and how many units each text has."""
+        whole = [MARK + t.replace(MARK, LITERAL).replace(" ", MARK) if t else "" for t in texts]
+        line = "".join(whole)
+        ends = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))
+        raw = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kinds[raw]
+        cut = np.zeros(len(line) + 1, bool)
+        cut[1:-1] = ~self.beside[kind[:-1], kind[1:]]
+        cut[ends] = cut[0] = True
+        at = np.flatnonzero(cut)
+        count = np.diff(np.searchsorted(at, np.r_[0, ends]))
+        if not len(line):
+            return [], np.zeros(0, np.int64), count
+        if len(self.power) < len(raw):
+            self.power = np.full(len(raw) + 1, _ODD)
+            self.power[0] = 1
+            self.power = np.multiply.accumulate(self.power)
+        a, b = at[:-1], at[1:]
+        total = np.r_[np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.power[: len(raw)], dtype=np.uint64)]
+        _, lead, same = np.unique((total[b] - total[a]) * self.power[len(raw) - 1 - a], return_index=True, return_inverse=True)
+        size = b - a
+        like = lead[same]
+        twin = raw[np.arange(len(raw)) + np.repeat((a[like] - a), size).clip(-len(raw), len(raw))] if (size == size[like]).all() else raw + np.uint32(1)
+        if not (twin == raw).all():  # two different units with one hash: compare them as text
+            places = {}
+            same = np.array([places.setdefault(line[x:y], len(places)) for x, y in zip(a.tolist(), b.tolist())])
+            return list(places), same, count
+        return [line[x:y] for x, y in zip(a[lead].tolist(), b[lead].tolist())], same, count
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -91,18 +137,19 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """The lattices of distinct words laid end to end, one node per code point, edges in order of (node, length).
+    """The lattices of distinct units ("words" below) laid end to end, one node per code point, edges in order of (node, length).
 
     Per node: `start`, its first edge (the next node's is the end). Per edge: `source`, `length`, `place` (of the piece;
-    -2 for a byte spelling), `ends` (whether it ends the word), `log_q` (log of its conditional probability) and `upto`
-    (the sum of conditional probabilities up to it). Words stay for later runs; `most_nodes` bounds what is held.
+    -2 for a byte spelling), `ends` (whether it ends the word), `log_q` (log of its conditional probability), `log_r` (of
+    the node's other edges together) and `upto` (the sum of conditional probabilities up to it). Words stay for later
+    runs; `most_nodes` bounds what is held.
     """
 
-    def __init__(self, vocab: Vocabulary, most_nodes: int = 1_000_000):
+    def __init__(self, vocab: Vocabulary, most_nodes: int = 2_000_000):
         self.vocab, self.most_nodes = vocab, most_nodes
         self.clear()
 
-    KINDS = {"first": np.int64, "size": np.int64, "points": np.uint32, "start": np.int32, "source": np.int32, "place": np.int32, "length": np.int8, "ends": bool, "log_q": np.float32, "upto": np.float32}
+    KINDS = {"first": np.int64, "size": np.int64, "points": np.uint32, "start": np.int32, "source": np.int32, "place": np.int32, "length": np.int8, "ends": bool, "log_q": np.float32, "log_r": np.float32, "upto": np.float32}
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
@@ -122,14 +169,14 @@ class Lattices:
             setattr(self, name, self.room[name][: held + len(values)])
 
     def places(self, words: list[str]) -> np.ndarray:
-        """The numbers of words, each without its leading mark; new ones are added."""
+        """The numbers of distinct words; new ones are added."""
         if len(self.points) > self.most_nodes:
             self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
+        new = [w for w in words if w not in self.index]
         if new:
             held = len(self.index)
             self.index.update(zip(new, range(held, held + len(new))))
-            self._add(["▁" + w for w in new])
+            self._add(new)
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def _add(self, words: list[str]) -> None:
@@ -140,9 +187,6 @@ class Lattices:
         raw = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         points, n = raw.astype(np.uint64) + np.uint64(1), len(raw)
         left = (np.repeat(first + size, size) - np.arange(n)).astype(np.int32)  # nodes up to the word's end
-        # a mark in the text itself (not the first of its word) is spelt in bytes, so that decoding gives it back
-        inner = raw == 0x2581
-        inner[first] = False
         found: list[tuple[np.ndarray, np.ndarray]] = []
         live, h = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64)
         for length in range(1, vocab.longest + 1):
@@ -158,7 +202,7 @@ class Lattices:
             hit = np.flatnonzero(near[slot])
             if len(hit):
                 at = np.minimum(np.searchsorted(keys, h[hit]), len(keys) - 1)
-                ok = (keys[at] == h[hit]) & ~inner[live[hit]]
+                ok = keys[at] == h[hit]
                 found.append((live[hit[ok]].astype(np.int64) * 32 + length, place[at[ok]]))
         single = np.zeros(n, bool)
         if found:
@@ -172,7 +216,7 @@ class Lattices:
         source, length = key >> 5, key & 31
         weight = vocab.log_p[place].astype(np.float64)
         lone = np.flatnonzero(place < 0)
-        c = raw[source[lone]]
+        c = raw[source[lone]]  # a mark in the text itself is spelt in bytes too, so that decoding gives it back
         weight[lone] = vocab.byte_log_p * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
         ends = left[source] == length
         far = left[source]
@@ -187,9 +231,14 @@ class Lattices:
         run = np.cumsum(q)
         upto = (run - (run - q)[heads[:-1]][source]).astype(np.float32)
         upto[heads[1:] - 1] = 2.0  # rounding must not leave the last edge out of reach
+        # 1 - q, but for a node's likeliest edge the sum of the others, which stays exact where q is almost 1
+        top = np.maximum.reduceat(q, heads[:-1])[source] == q
+        rest = np.add.reduceat(np.where(top, 0, q), heads[:-1])[source]
+        tied = np.add.reduceat(top.astype(np.int64), heads[:-1])[source] > 1
+        with np.errstate(divide="ignore"):
+            log_r = np.log(np.where(top & ~tied, rest, 1 - q))
         base, edges = len(self.points), len(self.source)
-        self._append(first=first + base, size=size, points=raw, start=heads[1:] + edges, source=source + base, place=place, length=length, ends=ends, log_q=np.minimum(log_q, 0), upto=upto)
-
+        self._append(first=first + base, size=size, points=raw, start=heads[1:] + edges, source=source + base, place=place, length=length, ends=ends, log_q=np.minimum(log_q, 0), log_r=np.minimum(log_r, 0), upto=upto)
 
     @staticmethod
     def _backward(n: int, weight: np.ndarray, source: np.ndarray, target: np.ndarray, by: np.ndarray, cut: np.ndarray) -> np.ndarray | None:
@@ -230,12 +279,6 @@ class Lattices:
         return log_q
 
 
-def _log_other(log_q: np.ndarray) -> np.ndarray:
-    """log(1 - q) from log q, -inf where q is 1."""
-    with np.errstate(divide="ignore"):
-        return np.where(log_q > -1e-6, -np.inf, np.log(-np.expm1(np.minimum(log_q, -1e-6))))
-
-
 def _truncated(u: np.ndarray, log_mass: np.ndarray, bound: float | np.ndarray) -> np.ndarray:
     """The maximum of Gumbels with this mass, given that it is under the bound."""
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -260,11 +303,19 @@ class Sampler:
         end = lat.first[word] + lat.size[word]
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         count = np.zeros(len(word), np.int64)
-        active = np.flatnonzero(node < end)
+        lone = lat.size[word] == 1  # one node, one edge: nothing to draw
+        only = np.flatnonzero(lone & (node < end))
+        if len(only):
+            steps.append((only, start[node[only]]))
+            count[only] = 1
+        active = np.flatnonzero(~lone & (node < end))
         at = node[active]
-        draw = state - lat.first[word].astype(np.uint64) * _ODD
+        bits, step = None, 0
         while len(active):
-            u = uniform(draw[active] + at.astype(np.uint64) * _ODD).astype(np.float32)
+            # 24 bits a draw, two draws of each 64 bits; what is likelier than that to go unseen is reached over its region
+            bits = splitmix(state[active] + np.uint64(step * int(_ODD) & MASK)) if bits is None else bits << np.uint64(24)
+            u = (bits >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
+            step += 1
             edge = start[at]
             more = np.flatnonzero(u > upto[edge])
             while len(more):
@@ -275,10 +326,11 @@ class Sampler:
             at = at + size[edge]
             keep = at < end[active]
             active, at = active[keep], at[keep]
+            bits = bits[keep] if step % 2 else None
         begin = np.cumsum(count) - count
         edges = np.empty(int(count.sum()), np.int32)
-        for s, (who, edge) in enumerate(steps):
-            edges[begin[who] + s] = edge
+        for s, (who, edge) in enumerate(steps, -1 if len(only) else 0):
+            edges[begin[who] + max(s, 0)] = edge
         return count, edges
 
     def run(self, keys: np.ndarray, texts: list[str]) -> list[list[dict]]:
@@ -287,10 +339,9 @@ class Sampler:
         Fewer than k where the text has fewer segmentations.
         """
         lat, docs = self.lattice, len(texts)
-        split = [t.split(" ") if t else [] for t in texts]
-        n_words = np.fromiter(map(len, split), np.int64, docs)
+        units, which, n_words = self.vocab.units(texts)
         base = np.cumsum(n_words) - n_words
-        words = lat.places([w for ws in split for w in ws])
+        words = lat.places(units)[which]
         key = splitmix(keys.astype(np.uint64) ^ splitmix(np.array([self.seed], np.uint64)))
         root = -np.log(-np.log(uniform(key + np.uint64(1))))
         heaps: list[list] = [[] for _ in range(docs)]
@@ -317,7 +368,7 @@ class Sampler:
             total = np.r_[0, np.cumsum(count)]
             cut = np.r_[total[heads], total[-1]].tolist()
             u = uniform(key[who][:, None] + (np.arange(self.near + 1, dtype=np.uint64) + np.uint64(1000 * (r + 1)))[None, :])
-            log_q = lat.log_q[edges].astype(np.float64)
+            log_q, log_r = lat.log_q[edges].astype(np.float64), lat.log_r[edges]
             sums = np.r_[0.0, np.cumsum(log_q)]
             cuts = np.array(cut)
             done = np.array([0 if t[2] is None else len(t[2]) for t in todo])
@@ -327,11 +378,16 @@ class Sampler:
             inside = np.arange(self.near) < own[:, None]
             mass = np.full((len(todo), self.near + 1), -np.inf)
             if len(edges):
-                mass[:, :-1] = np.where(inside, held[:, None] + sums[spot] - sums[cuts[:-1], None] + _log_other(log_q[spot]), -np.inf)
+                mass[:, :-1] = np.where(inside, held[:, None] + sums[spot] - sums[cuts[:-1], None] + log_r[spot], -np.inf)
             whole = held + sums[cuts[1:]] - sums[cuts[:-1]]
             far = np.flatnonzero(own > self.near)
             deep = held[far] + sums[cuts[far] + self.near] - sums[cuts[far]]
-            mass[far, -1] = deep + _log_other(whole[far] - deep)
+            left = np.minimum(whole[far] - deep, 0)
+            with np.errstate(divide="ignore"):
+                mass[far, -1] = deep + np.log(-np.expm1(left))
+            for x in np.flatnonzero(left > -1e-3).tolist():  # all but certain: the sum over its edges is exact
+                a, b = cuts[far[x]] + self.near, cuts[far[x] + 1]
+                mass[far[x], -1] = deep[x] + np.logaddexp.reduce(sums[a:b] - sums[a] + log_r[a:b])
             bound = np.array([t[1] for t in todo])
             gumbel = _truncated(u, mass, bound[:, None])
             # no more regions of one path than are still to be opened, and the one that gives the threshold, can matter
@@ -365,7 +421,7 @@ class Sampler:
         draws = uniform(key + np.arange(4, dtype=np.uint64) + np.uint64(500_000 + 10 * r))
         if not taken:  # the regions from t on together: which one has the maximum, and the others under it
             log_q = lat.log_q[path].astype(np.float64)
-            mass = (np.cumsum(log_q) - log_q)[t:] + _log_other(log_q[t:])
+            mass = (np.cumsum(log_q) - log_q)[t:] + lat.log_r[path[t:]]
             p = np.exp(mass - mass.max())
             here = int(min(np.searchsorted(np.cumsum(p), draws[2] * p.sum()), len(p) - 1))
             others = _truncated(uniform(key + np.arange(len(mass), dtype=np.uint64) + np.uint64(1_000_000 * (r + 1))), mass, g)
@@ -378,52 +434,73 @@ class Sampler:
         first, last = int(lat.start[node]), int(lat.start[node + 1])
         row = lat.log_q[first:last].astype(np.float64)
         row[[e - first for e in taken]] = -np.inf
-        p = np.exp(row)
+        top = row.max()
+        p = np.exp(row - top)
         pick = int(min(np.searchsorted(np.cumsum(p), draws[0] * p.sum(), side="right"), len(p) - 1))
         before = float(lat.log_q[path[:t]].sum(dtype=np.float64))
-        rest = float(p.sum() - p[pick])
+        p[pick] = 0
+        rest = float(p.sum())
         if len(taken) + 1 < last - first and rest > 0:
-            again = float(_truncated(draws[1:2], np.array([before + np.log(rest)]), g)[0])
+            again = float(_truncated(draws[1:2], np.array([before + top + np.log(rest)]), g)[0])
             heapq.heappush(heap, (-again, nth, t, (*taken, first + pick)))
         edge = first + pick
         prefix = np.append(path[:t], np.int32(edge))
         return d, g, prefix, int(lat.ends[path[:t]].sum()), node + int(lat.length[edge])
 
     def token_ids(self, path: dict) -> np.ndarray:
-        """The ids of a path; byte spellings take one id a byte."""
-        lat, edges = self.lattice, path["edges"]
+        """The ids of one path; byte spellings take one id a byte."""
+        return self.ids_of([path])[0]
+
+    def ids_of(self, paths: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of paths end to end, and where each path's begin (and the last ends)."""
+        lat = self.lattice
+        edges = np.concatenate([p["edges"] for p in paths]) if paths else np.zeros(0, np.int32)
+        cuts = np.cumsum([0, *(len(p["edges"]) for p in paths)])
         place = lat.place[edges]
-        bare = np.flatnonzero(place < 0)
         ids = self.vocab.ids[place]
+        bare = np.flatnonzero(place < 0)
         if not len(bare):
-            return ids
+            return ids, cuts
         c = lat.points[lat.source[edges[bare]]]
         ids[bare] = self.vocab.byte_ids[np.minimum(c, 255)]
         wide = np.flatnonzero(c > 0x7F)
         if not len(wide):
-            return ids
-        spelt = [self.vocab.byte_ids[list(chr(x).encode("utf-8", "surrogatepass"))] for x in c[wide].tolist()]
+            return ids, cuts
+        spelt = [self.vocab.byte_ids[list((MARK if x == ord(LITERAL) else chr(x)).encode())] for x in c[wide].tolist()]
         n = np.ones(len(ids), np.int64)
         n[bare[wide]] = [len(x) for x in spelt]
-        first = np.cumsum(n) - n
+        ends = np.r_[0, np.cumsum(n)]
         out = np.repeat(ids, n)
-        out[np.concatenate([first[k] + np.arange(len(x)) for k, x in zip(bare[wide].tolist(), spelt)])] = np.concatenate(spelt)
-        return out
+        out[np.concatenate([ends[k] + np.arange(len(x)) for k, x in zip(bare[wide].tolist(), spelt)])] = np.concatenate(spelt)
+        return out, ends[cuts]
 
 
-def decoder(pieces: list[str], byte_ids: np.ndarray):
+class Decoder:
     """ids -> text: pieces joined, marks as spaces, the first space (the dummy prefix) taken off."""
-    raw = [p.replace("▁", " ").encode() for p in pieces]
-    for b, i in enumerate(byte_ids.tolist()):
-        if i >= 0:
-            raw[i] = bytes([b])
-    table = np.array(raw, dtype=object)
 
-    def decode(ids: np.ndarray) -> str:
-        text = b"".join(table[ids].tolist())
-        return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
+    def __init__(self, pieces: list[str], byte_ids: np.ndarray):
+        raw = [p.replace(MARK, " ").encode() for p in pieces]
+        for b, i in enumerate(byte_ids.tolist()):
+            if i >= 0:
+                raw[i] = bytes([b])
+        self.size = np.array([len(r) for r in raw], np.int32)
+        self.first = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
 
-    return decode
+    def joined(self, ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        """The bytes of each run of ids between two cuts, without the dummy prefix."""
+        n = self.size[ids]
+        ends = np.r_[0, np.cumsum(n, dtype=np.int64)]
+        whole = self.bytes[np.arange(ends[-1]) + np.repeat(self.first[ids] - ends[:-1], n)].tobytes()
+        edges = ends[cuts].tolist()
+        return [whole[a + (whole[a : a + 1] == b" " and b > a) : b] for a, b in zip(edges, edges[1:])]
+
+    def __call__(self, ids: np.ndarray) -> str:
+        return self.joined(ids, np.array([0, len(ids)]))[0].decode("utf-8", "replace")
+
+
+def decoder(pieces: list[str], byte_ids: np.ndarray) -> Decoder:
+    return Decoder(pieces, byte_ids)
 
 
 SAMPLES = "ids array<array<int>>, log_p array<double>, perturbed array<double>, inclusion array<double>, log_inclusion array<double>, round_trip boolean"
@@ -436,8 +513,9 @@ def sample_encode(docs: DataFrame, vocab: Vocabulary, k: int = 3, seed: int = 11
     ids, log_p (of the segmentation given the text), perturbed, inclusion (the probability of being among the k, given
     the next value; its logarithm too, as it underflows for long texts), and round_trip (every sample decodes to the text exactly). Draws depend on the seed, the row's key
     (doc_id; null has a key of its own) and the place in the text, so they are the same at any partitioning; rows that
-    repeat key and text get the same samples. The empty text has the empty segmentation alone; null gives null.
-    Whole texts are read; other columns aren't.
+    repeat key and text get the same samples. The empty text has the empty segmentation alone; a null text gives null in
+    every column but doc_id. Whole texts are read, in runs of about `run_chars` characters (a longer text is a run of its
+    own, and its lattice is held whole); other columns aren't. An empty table gives an empty result.
     """
     sampler, decode = Sampler(vocab, k, seed), decoder(vocab.pieces, vocab.byte_ids)
 
@@ -452,21 +530,19 @@ def sample_encode(docs: DataFrame, vocab: Vocabulary, k: int = 3, seed: int = 11
                     size += len(texts[b] or "")
                     b += 1
                 found = sampler.run(keys[a:b], [t or "" for t in texts[a:b]])
-                flat, ends, outer, numbers, trips = [], [0], [0], [[] for _ in NUMBERS], []
+                known = [t is not None for t in texts[a:b]]
+                paths = [p for samples, yes in zip(found, known) if yes for p in samples]
+                flat, cuts = sampler.ids_of(paths)
+                spelt, at, trips = decode.joined(flat, cuts), 0, []
                 for t, samples in zip(texts[a:b], found):
-                    good = True
-                    for p in samples if t is not None else []:
-                        ids = sampler.token_ids(p)
-                        good &= decode(ids) == t
-                        flat.append(ids)
-                        ends.append(ends[-1] + len(ids))
-                        for out, name in zip(numbers, NUMBERS):
-                            out.append(p[name])
-                    outer.append(len(ends) - 1)
-                    trips.append(good if t is not None else None)
-                values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
-                ids = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
-                lists = [pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.array(x, pa.float64())) for x in numbers]
+                    raw = None if t is None else t.encode()
+                    trips.append(None if t is None else all(x == raw for x in spelt[at : at + len(samples)]))
+                    at += len(samples) * (t is not None)
+                outer = pa.array(np.cumsum([0, *(len(x) if yes else 0 for x, yes in zip(found, known))]).astype(np.int32))
+                void = pa.array(np.logical_not(known))
+                numbers = [[p[name] for p in paths] for name in NUMBERS]
+                ids = pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat, pa.int32())), mask=void)
+                lists = [pa.ListArray.from_arrays(outer, pa.array(x, pa.float64()), mask=void) for x in numbers]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, *lists, pa.array(trips, pa.bool_())], ["doc_id", "ids", *NUMBERS, "round_trip"])
                 a = b
 
@@ -476,7 +552,10 @@ def sample_encode(docs: DataFrame, vocab: Vocabulary, k: int = 3, seed: int = 11
 
 
 def encode(docs: DataFrame, path: str = MODEL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): the library's deterministic encoding of each whole text; null gives null."""
+    """(doc_id, ids): the library's deterministic encoding of each whole text; null gives null, the empty text no ids.
+
+    Repeated rows are encoded each by itself; other columns aren't read.
+    """
     from sentencepiece import SentencePieceProcessor
 
     proto = SentencePieceProcessor(model_file=path).serialized_model_proto()
@@ -495,7 +574,10 @@ def encode(docs: DataFrame, path: str = MODEL, doc_id: str = "doc_id", text: str
 
 
 def decode(encoded: DataFrame, vocab: Vocabulary, ids: str = "ids") -> DataFrame:
-    """The input with `text` decoded from the column of ids; null gives null. Other columns stay."""
+    """The input with `text` decoded from the column of ids; null gives null, no ids the empty text.
+
+    Other columns stay (but one named `text` is replaced); repeated rows are decoded each by itself.
+    """
     turn = decoder(vocab.pieces, vocab.byte_ids)
     keep = [c for c in encoded.columns if c != "text"]
 

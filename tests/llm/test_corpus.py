@@ -75,13 +75,69 @@ def test_few_segmentations_are_all_emitted(vocab):
     assert s.run(np.array([3], np.uint64), [""])[0][0]["log_p"] == 0.0
 
 
+@pytest.mark.parametrize("alpha", [0.1, 0.25, 1.0, 2.0])
+def test_every_segmentation_comes_at_any_alpha(alpha):
+    """With k over their number, all segmentations come, however unlikely, each once and with its probability."""
+    v = sp.Vocabulary.load(alpha=alpha)
+    for word, k in (("a", 10), ("theo", 20), ("information", 1100)):
+        paths = all_paths("▁" + word, v)
+        s = sp.Sampler(v, k)
+        got = {tuple(v.pieces[i] for i in s.token_ids(p)): p["log_p"] for p in s.run(np.array([5], np.uint64), [word])[0]}
+        assert got.keys() == paths.keys()
+        assert all(got[p] == pytest.approx(math.log(q), rel=1e-3, abs=1e-3) for p, q in paths.items())
+
+
+def test_units_keep_the_law(vocab):
+    """Cut into units, a text has the segmentations of its whole lattice, with the same probabilities."""
+    text, n = "a,b an.", 4000
+    paths = all_paths("▁" + text.replace(" ", "▁"), vocab)
+    units, which, count = vocab.units([text, "", text])
+    assert count.tolist()[1] == 0 and "".join(units[i] for i in which[: count[0]]) == "▁" + text.replace(" ", "▁") and count[0] > 2
+    s = sp.Sampler(vocab, 1)
+    firsts = collections.Counter(tuple(vocab.pieces[i] for i in s.token_ids(x[0])) for x in s.run(np.arange(n, dtype=np.uint64), [text] * n))
+    for p, q in paths.items():
+        assert firsts[p] / n == pytest.approx(q, abs=4 * math.sqrt(q / n) + 1e-3)
+
+
+def test_units_of_one_hash_are_told_apart(vocab):
+    """If hashes of different units were equal (here: all of them), units are compared as text."""
+    import copy
+
+    v = copy.copy(vocab)
+    v.power = np.zeros(1 << 12, np.uint64)
+    units, which, _ = v.units(["ab, ab. x", "x ab"])
+    plain, order, _ = vocab.units(["ab, ab. x", "x ab"])
+    assert [units[i] for i in which] == [plain[i] for i in order]
+
+
+def test_the_query_equals_brute_force(spark, tmp_path, vocab):
+    """Through Spark: of every short text two different segmentations with their probabilities; null, empty and very long texts."""
+    from tamarack.llm import queries
+
+    texts = {i: t for i, t in enumerate(["theo", "a", "to be", "", None, "x▁y", "a" * 30_000, "zq" * 20 + " " + "漢" * 5])}
+    table(spark, list(texts.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.defaultdict(list)
+    for r in queries.op1_sentencepiece(spark, str(tmp_path)).collect():
+        got[r["doc_id"]].append(r)
+    assert got.keys() == texts.keys()
+    assert len(got[4]) == 1 and got[4][0]["n_pieces"] is None and got[4][0]["round_trip"] is None
+    assert len(got[3]) == 1 and got[3][0]["n_pieces"] == 0 and got[3][0]["log_p"] == 0.0
+    for i in (0, 1, 2):
+        paths = all_paths("▁" + texts[i].replace(" ", "▁"), vocab)
+        sampled = sp.sample_encode(table(spark, [(i, texts[i])]), vocab, k=2).first()
+        assert len(got[i]) == min(2, len(paths)) and [r["n_pieces"] for r in got[i]] == [len(x) for x in sampled["ids"]]
+        for r, ids in zip(got[i], sampled["ids"]):
+            assert math.exp(r["log_p"]) == pytest.approx(paths[tuple(vocab.pieces[x] for x in ids)], rel=1e-3)
+    assert all(r["round_trip"] and len(got[i]) == 2 for i in (5, 6, 7) for r in got[i])
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_sample_encode(spark, vocab, extra):
     out = sp.sample_encode(table(spark, extra=extra), vocab, k=2, run_chars=500).collect()
     assert len(out) == len(awkward())
     for r in out:
         if r["doc_id"] == 3:
-            assert r["ids"] is None or r["ids"] == []
+            assert all(r[c] is None for c in ("ids", *sp.NUMBERS, "round_trip"))
             continue
         assert r["round_trip"] and len(r["ids"]) == len(r["inclusion"]) and all(0 <= x <= 1 for x in r["inclusion"]) and all(-1e9 < x <= 0 for x in r["log_inclusion"])
     twins = [r["ids"] for r in out if r["doc_id"] == 2]
