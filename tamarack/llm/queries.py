@@ -61,7 +61,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.line_dedup(table(spark, sf_dir, "documents"), min_words=0, run_words=10)
+    out = lines.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
@@ -118,6 +118,25 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def _line_dedup_sql() -> str:
+    """Windows compared as text; the first occurrence is the least (doc_id, place)."""
+    marked = "t"
+    for end in lines.ENDS:
+        shown = end.replace("\n", "' || chr(10) || '")
+        marked = f"replace({marked}, '{shown}', '{shown}' || chr(1))"
+    blank = "' ' || chr(10) || chr(13) || chr(9)"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+l as (select doc_id, unnest(ls) as x, generate_subscripts(ls, 1) as i from (select doc_id, string_split({marked}, chr(1)) as ls from d where t <> '')),
+r as (select doc_id, i, trim(x, {blank}) as x from l where trim(x, {blank}) <> ''),
+w as (select doc_id, i, row_number() over o as k, count(*) over (partition by doc_id) as m, x as a, lead(x, 1) over o as b, lead(x, 2) over o as c, coalesce(lead(i, 2) over o, lead(i, 1) over o, i) as e
+  from r window o as (partition by doc_id order by i)),
+later as (select doc_id, i, e from (select *, row_number() over (partition by a, b, c order by doc_id, i) as n from w where k <= greatest(m - 2, 1)) where n > 1),
+gone as (select distinct doc_id, unnest(range(i, e + 1)) as i from later),
+left_over as (select l.doc_id, count(g.i)::bigint as n, rtrim(coalesce(string_agg(case when g.i is null then x end, '' order by l.i), ''), ' ') as x from l left join gone g on l.doc_id = g.doc_id and l.i = g.i group by l.doc_id having count(g.i) > 0)
+select doc_id, coalesce(n, 0)::int as n_lines_removed, length(case when n > 0 then x else text end)::bigint as n_chars_left, md5(case when n > 0 then x else text end) as text_md5 from documents left join left_over using (doc_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
@@ -152,6 +171,7 @@ hits as (select k.host, k.t, k.i, k.key, v.category, v.since, row_number() over
 select page_id, p.host, h.key is not null as blocked, h.key as matched_key, h.category, h.since::varchar as listed_since, coalesce(h.n, 0)::bigint as n_active
 from p left join hits h on h.host = p.host and h.t = p.t and h.rn = 1""",
     "op2_quality_rules": _quality_rules_sql(),
+    "op5_line_dedup": _line_dedup_sql(),
     "op8_exact_dedup": """
 select doc_id, max(doc_id) over w as keep_id, (count(*) over w)::bigint as group_size, doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))""",

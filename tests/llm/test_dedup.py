@@ -134,7 +134,7 @@ def test_components(spark):
 PASSAGE = "This passage has many words in it. It goes on for a while so that it counts. And then it ends here at last."
 
 
-def brute_line_dedup(rows, width=3, least=10):
+def brute_line_dedup(rows, width=3, least=1):
     """Lines by the documented rule, windows as tuples of trimmed lines, later occurrences covered."""
     import re
 
@@ -189,7 +189,7 @@ def test_line_dedup_on_the_small_table(spark, sf_dir):
     assert got == sorted(brute_line_dedup([tuple(r) for r in docs.collect()]))
 
 
-def brute_runs(rows, width=3, least=10):
+def brute_runs(rows, width=3, least=1):
     """Every window is looked for; covered lines go if the run of overlapping windows they are in has `least` words."""
     import re
 
@@ -217,15 +217,38 @@ def test_short_sentences_are_deduplicated_whole(spark, tmp_path, sf_dir):
     from tamarack.llm import queries
 
     short = " ".join(f"{w.capitalize()} {i}!" for i, w in enumerate(prose(3, 60).split()))
-    rows = [(1, short), (2, short), (3, f"Own start is here. {short} Own end."), (4, "A. B. C. D."), (5, "A. B. C. E."), (6, None), (7, "")] + [(i, t) for i, t in line_rows() if i is None]
+    menu = "Home\nAbout\nContact\n"
+    rows = [(1, short), (2, short), (3, f"Own start is here. {short} Own end."), (4, "A. B. C. D."), (5, "A. B. C. E."), (6, None), (7, ""), (8, menu), (9, menu + "One."), (10, "\x01" + menu)] + [(i, t) for i, t in line_rows() if i is None]
     table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
     assert {d: (r["n_lines_removed"], r["text_md5"]) for d, r in got.items()} == {d: (n, None if t is None else hashlib.md5(t.encode()).hexdigest()) for d, t, n in brute_runs(rows)}
-    assert got[2]["n_chars_left"] == 0 and got[5]["n_lines_removed"] == 0
-    assert 2 not in {r["doc_id"] for r in corpus_pipeline.dedup_lines(spark, table(spark, rows), str(tmp_path)).collect()}
+    assert got[2]["n_chars_left"] == 0 and got[5]["n_lines_removed"] == 3 and got[9]["n_chars_left"] == 4
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, table(spark, rows), str(tmp_path)).collect()}
+    assert 2 not in left and sum("Home\nAbout\nContact" in (t or "") for t in left.values()) == 2  # of 10 the first line differs
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    got = sorted((r["doc_id"], r["text"], r["n_lines_removed"]) for r in line_dedup.line_dedup(docs, min_words=0, run_words=10).collect())
-    assert got == sorted(brute_runs([tuple(r) for r in docs.collect()]))
+    for least in (1, 10):  # a floor on runs is a caller's choice
+        got = sorted((r["doc_id"], r["text"], r["n_lines_removed"]) for r in line_dedup.line_dedup(docs, run_words=least).collect())
+        assert got == sorted(brute_runs([tuple(r) for r in docs.collect()], least=least))
+
+
+def test_line_dedup_carries_columns_of_any_name(spark):
+    """Columns with the names the operator once used for itself come through with their values."""
+    names = ["_text", "_cov", "_l", "_new", "_sd", "_st", "_spans", "spans", "lines", "runs", "n", "new", "th", "c0", "Text2"]
+    rows = line_rows()
+    df = table(spark, rows)
+    for i, c in enumerate(names):
+        df = df.withColumn(c, F.concat(F.lit(f"{c}-{i}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    out = line_dedup.line_dedup(df, drop_emptied=True)
+    assert out.columns == [*df.columns, "n_lines_removed"]
+    want = {r["doc_id"]: tuple(r[c] for c in names) for r in df.collect()}
+    got = out.collect()
+    assert len(got) > 5 and all(tuple(r[c] for c in names) == want[r["doc_id"]] for r in got)
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    text = prose(5, 60_000)
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(table(spark, [(1, text), (2, text + " own end."), (3, "x" * 2_000_000)])).collect()}
+    assert got[1]["text"] == text and got[3]["n_lines_removed"] == 0 and got[2]["text"].endswith("own end.") and got[2]["n_lines_removed"] > 8000
 
 
 def test_hot_line(spark):
