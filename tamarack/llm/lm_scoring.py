@@ -1,257 +1,258 @@
-"""LM scoring by cross-entropy difference between matched target and background bigram models."""
+"""LM scoring by cross-entropy difference between matched target and background bigram models.
+
+Texts are packed into blocks of a few million tokens: the block's distinct words and a stream of their numbers. A block
+sends each of its distinct words and bigrams once, with its counts, to the part of the key space that adds up all
+blocks' counts, and gets the totals of just its own entries back. So the models keep every word and bigram, grow with the
+corpus, and are never held in one place, while no token is shuffled by itself.
+"""
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from tamarack.llm.common import materialize, text_or_empty
+from tamarack.llm.common import materialize, splitmix, text_or_empty
 
-#: No model of train() keeps more words or bigrams than these: an entry must have a share of 1 / bound of all counts.
-MAX_WORDS, MAX_PAIRS = 1 << 16, 1 << 20
-UNK, BOS, FREE = 0, 1, 2
+#: Marks of target documents are broadcast up to this number (8 bytes each), and joined by a shuffle beyond it.
+MAX_MARKS = 1 << 22
+BLOCK_TOKENS = 1_500_000
+#: Entries that meet in one task that adds up.
+PART_ENTRIES = 1_000_000
+#: Bits of a gram's key: 10**12 different ones have about one in 10**5 share a key with another.
+KEY_BITS = 56
+BOS, EOS = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 
 
-@dataclass
-class Models:
-    """Both models over one vocabulary: word -> id (0 unknown, 1 start), log-probabilities of words, and the kept bigrams.
+def tokens(text: str) -> list[str]:
+    return text.lower().split()
 
-    `pairs` holds ascending codes first * size + second, `near` each bigram's own probability, `held` the share of each
-    context's bigrams that was kept. P(w | h) = weight * near + (1 - weight * held[h]) * P(w): sums to 1 over w.
-    """
 
-    ids: dict[str, int]
-    uni: np.ndarray  # (2, size) probabilities
-    pairs: np.ndarray
-    near: np.ndarray  # (2, pairs)
-    held: np.ndarray  # (2, size)
-    weight: float = 0.7
+class _Numbers(dict):
+    """word -> its number, in order of first occurrence."""
 
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """Natural-log losses (2, tokens) of one document's ids."""
-        before = np.r_[BOS, ids[:-1]]
-        at = np.minimum(np.searchsorted(self.pairs, code := before * self.uni.shape[1] + ids), max(0, len(self.pairs) - 1))
-        p = (1 - self.weight * self.held[:, before]) * self.uni[:, ids]
-        if len(self.pairs):
-            p = p + self.weight * self.near[:, at] * (self.pairs[at] == code)
-        return -np.log(p)
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
-def tokens(text: str) -> list[str]:
-    return text.lower().split()
+def _packed(x: np.ndarray) -> bytes:
+    """The planes of bytes of an array, compressed: small numbers and small differences take few."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return planes.size.to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def _folded(rows: DataFrame, count, schema: str, keys: list[str]) -> DataFrame:
-    """Sums of both corpora's counts per key: `count` adds up within a task, the shuffle joins the tasks' sums."""
-    return rows.mapInArrow(count, schema).groupBy(*keys).agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _word_counts(batches):
-    """Counts of words by corpus; what a task has gathered is sent on whenever it holds 200,000 words."""
-    held: dict[str, list[int]] = {}
+def _encode(batches, block_tokens: int):
+    """Blocks of the rows (doc_id, text, scored); scored and unscored rows are in blocks of their own."""
+    task, made = TaskContext.get().partitionId(), 0
+    held: dict[bool, tuple] = {}
+    size: dict[bool, int] = {}
 
-    def out():
-        words = list(held)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([held[w][c] for w in words], pa.int64()) for c in (0, 1))], ["word", "background", "target"])
+    def out(scored: bool):
+        nonlocal made
+        ids, lens, stream, numbers = held.pop(scored)
+        words = np.fromiter((xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in numbers), np.uint64, len(numbers))
+        made, size[scored] = made + 1, 0
+        one = [[task << 32 | made], [sum(lens)], [len(words)], [scored]]
+        packed = [[_packed(x)] for x in (np.array(lens, np.int64), words, np.concatenate(stream))]
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in one), pa.array([ids], pa.list_(kind)), *(pa.array(x, pa.binary()) for x in packed)], BLOCK)
 
     for batch in batches:
-        for text, corpus in zip(batch.column(0), batch.column(1).to_pylist()):
-            for w in tokens(text.as_py()):
-                if w in held:
-                    held[w][corpus] += 1
-                else:
-                    held[w] = [1 - corpus, corpus]
-            if len(held) > 200_000:
-                yield out()
-                held.clear()
-    if held:
-        yield out()
-
-
-def _hashed(batches, held: dict[str, int], most: int = 1_000_000):
-    """Of every text of the batches: its batch, its row, and the 64-bit hashes of its words after BOS. `held` remembers words."""
-    for batch in batches:
-        for i, text in enumerate(batch.column(0)):
+        kind = batch.column(0).type
+        for i, text in enumerate(batch.column(1)):
+            scored = batch.column(2)[i].as_py()
+            ids, lens, stream, numbers = held.setdefault(scored, ([], [], [], _Numbers()))
             words = tokens(text.as_py())
-            for w in words:
-                if w not in held:
-                    held[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-            yield batch, i, np.array([BOS, *map(held.__getitem__, words)], np.int64)
-            if len(held) > most:
-                held.clear()
-
-
-def _all_pairs(batches):
-    """(h, w, background, target): counts of all bigrams by corpus (2: neither); sent on whenever 3,000,000 are gathered."""
-    held, many = [[], [], []], 0
-
-    def out():
-        for c, rows in enumerate(held):
-            h, w = (np.concatenate([r[s] for r in rows]) if rows else np.zeros(0, np.int64) for s in (slice(None, -1), slice(1, None)))
-            order = np.lexsort((w, h))
-            h, w = h[order], w[order]
-            starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]) if len(h) else np.zeros(0, np.int64)
-            k = np.diff(np.r_[starts, len(h)])
-            zero = np.zeros(len(starts), np.int64)
-            table = pa.table({"h": h[starts], "w": w[starts], "background": k if c == 0 else zero, "target": k if c == 1 else zero})
-            yield from table.to_batches(100_000)
-
-    for batch, i, row in _hashed(batches, {}):
-        held[batch.column(1)[i].as_py()].append(row)
-        many += len(row)
-        if many > 3_000_000:
-            yield from out()
-            held, many = [[], [], []], 0
-    if many:
-        yield from out()
-
-
-def _occurrences(batches):
-    """(h, w, row): every bigram of every text, with its row's key."""
-    held, keys, many = [], [], 0
-
-    def out():
-        h, w = (np.concatenate([r[s] for r in held]) for s in (slice(None, -1), slice(1, None)))
-        yield from pa.table({"h": h, "w": w, "row": np.repeat(np.array(keys, np.int64), [len(r) - 1 for r in held])}).to_batches(100_000)
-
-    for batch, i, row in _hashed(batches, {}):
-        held.append(row)
-        keys.append(batch.column(1)[i].as_py())
-        many += len(row)
-        if many > 500_000:
-            yield from out()
-            held, keys, many = [], [], 0
-    if held:
-        yield from out()
-
-
-def score_all(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", weight: float = 0.7, smoothing: float = 1e-3) -> DataFrame:
-    """The rows of score() under models that keep every word and every bigram of both corpora, however large they are.
-
-    Nothing of the models is gathered on the driver or sent to every task: counts are written tables, losses are worked
-    out once for each bigram by joins with the counts of its words, and the bigrams of the documents are joined with
-    these. Words are 64-bit hashes and bigrams hashes of two. Without `background` the documents are the background.
-    """
-    part = lambda df, c: df.select(text_or_empty(text).alias("t"), F.lit(c).alias("c"))
-    corpora = part(docs if background is None else background, 0).unionByName(part(target, 1))
-    if background is not None:
-        corpora = corpora.unionByName(part(docs, 2))  # their bigrams need losses too, but count nowhere
-    pairs = materialize(_folded(corpora, _all_pairs, "h long, w long, background long, target long", ["h", "w"]), "pairs")
-    sums = lambda by, b, t: pairs.groupBy(by).agg(F.sum("background").alias(b), F.sum("target").alias(t))
-    words, contexts = materialize(sums("w", "nb", "nt"), "words"), materialize(sums("h", "cb", "ct"), "contexts")
-    seen = words.agg(F.coalesce(F.sum("nb"), F.lit(0)), F.coalesce(F.sum("nt"), F.lit(0)), F.count(F.when(F.col("nb") + F.col("nt") > 0, 1))).first()
-    n = FREE + seen[2]
-
-    def loss(size, pair, word, context):
-        extra = smoothing * max(1, size)
-        uni = (F.col(word) + F.lit(extra / n)) / F.lit(size + extra)
-        near = F.when(F.col(context) > 0, F.lit(weight) * F.col(pair) / F.col(context) + F.lit(1 - weight) * uni)
-        return -F.log(F.coalesce(near, uni))
-
-    losses = pairs.join(words.hint("merge"), "w").join(contexts.hint("merge"), "h")
-    losses = losses.select(F.xxhash64("h", "w").alias("p"), loss(seen[0], "background", "nb", "cb").cast("float").alias("b"), loss(seen[1], "target", "nt", "ct").cast("float").alias("g"), (F.col("h") == BOS).alias("first"))
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("t"), F.xxhash64(doc_id, text_or_empty(text)).alias("row"))
-    found = keyed.select("t", "row").mapInArrow(_occurrences, "h long, w long, row long").select(F.xxhash64("h", "w").alias("p"), "row")
-    # rows that repeat id and text share a key: each has the same means, and its part of the tokens
-    sums = found.join(losses.hint("merge"), "p").groupBy("row").agg(
-        (F.count(F.lit(1)) / F.count_if("first")).cast("long").alias("n_tokens"), F.avg(F.col("g").cast("double")).alias("ce_target"), F.avg(F.col("b").cast("double")).alias("ce_background")
-    )
-    out = keyed.select("doc_id", "row").join(materialize(sums, "losses").hint("merge"), "row", "left")
-    return out.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "ce_target", "ce_background", (F.col("ce_target") - F.col("ce_background")).alias("score"))
-
-
-def train(background: DataFrame, target: DataFrame, text: str = "text", max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS, weight: float = 0.7, smoothing: float = 1e-3) -> Models:
-    """Models held in memory, for samples and small corpora: count words, then bigrams, and keep what has its share.
-
-    score_all() is the operator without this bound.
-
-    All counts are taken over all rows. The vocabulary is the words with at least 1 / max_words of all words of either
-    corpus, so it has at most 2 * max_words entries however large the corpus, and others are the unknown word; likewise
-    for bigrams. Rare bigrams back off to words. The models are matched: same vocabulary, same bigrams, same weight, and
-    additive smoothing by the same share of each corpus' size. An empty target or background is uniform over words.
-    """
-    corpora = background.select(text_or_empty(text).alias("t"), F.lit(0).alias("c")).unionByName(target.select(text_or_empty(text).alias("t"), F.lit(1).alias("c")))
-    words = materialize(_folded(corpora, _word_counts, "word string, background long, target long", ["word"]), "words")
-    sizes = words.agg(F.coalesce(F.sum("background"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
-    kept = words.filter((F.col("background") * max_words >= max(1, sizes[0])) | (F.col("target") * max_words >= max(1, sizes[1]))).orderBy("word").toArrow()
-    ids = {w: FREE + i for i, w in enumerate(kept.column("word").to_pylist())}
-    n = FREE + len(ids)
-    uni = np.zeros((2, n))
-    for c, name in enumerate(("background", "target")):
-        uni[c, FREE:] = kept.column(name).to_numpy()
-        uni[c, UNK] = sizes[c] - uni[c].sum()
-        uni[c] += smoothing * max(1, sizes[c]) / n
-        uni[c] /= uni[c].sum()
-
-    def pair_counts(batches):
-        held, many = [[], []], 0
-
-        def out():
-            parts = []
-            for c in (0, 1):
-                code, k = np.unique(np.concatenate(held[c]) if held[c] else np.zeros(0, np.int64), return_counts=True)
-                zero = np.zeros(len(code), np.int64)
-                parts.append(pa.table({"pair": code, "background": zero if c else k, "target": k if c else zero}))
-            return pa.concat_tables(parts).to_batches()
-
-        for batch in batches:
-            for text, corpus in zip(batch.column(0), batch.column(1).to_pylist()):
-                row = np.array([BOS, *[ids.get(w, UNK) for w in tokens(text.as_py())]], np.int64)
-                held[corpus].append(row[:-1] * n + row[1:])
-                many += len(row)
-                if many > 3_000_000:
-                    yield from out()
-                    held, many = [[], []], 0
-        if many:
-            yield from out()
-
-    pairs = materialize(_folded(corpora, pair_counts, "pair long, background long, target long", ["pair"]), "pairs")
-    frequent = (F.col("background") * max_pairs >= max(1, sizes[0])) | (F.col("target") * max_pairs >= max(1, sizes[1]))
-    top = pairs.filter(frequent).toArrow().sort_by("pair")
-    first = pairs.groupBy(F.expr(f"pair div {n}").alias("first")).agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
-    code = top.column("pair").to_numpy()
-    near, held = np.zeros((2, len(code)), np.float64), np.zeros((2, n), np.float64)
-    for c, name in enumerate(("background", "target")):
-        context = np.zeros(n)
-        context[first.column("first").to_numpy()] = first.column(name).to_numpy()
-        near[c] = top.column(name).to_numpy() / np.maximum(context[code // n], 1)
-        held[c] = np.bincount(code // n, near[c], n)
-    return Models(ids, uni, code, near.astype(np.float32), held, weight)
-
-
-def score(docs: DataFrame, models: Models, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ce_target, ce_background, score (nats a token; lower: more like the target).
+            ids.append(batch.column(0)[i].as_py())
+            lens.append(len(words))
+            stream.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+            size[scored] = size.get(scored, 0) + len(words)
+            if size[scored] >= block_tokens:
+                yield out(scored)
+    for scored in list(held):
+        yield out(scored)
 
-    The score is the mean over tokens of the loss under the target model less that under the background model. Null and
-    empty texts have no token and null losses. Repeated rows are scored each by itself.
-    """
 
-    def run(batches):
-        for batch in batches:
-            rows = [(0, None, None, None)] * batch.num_rows
-            for i, t in enumerate(batch.column(1)):
-                w = tokens(t.as_py())
-                if w:
-                    b, g = models.losses(np.fromiter((models.ids.get(x, UNK) for x in w), np.int64, len(w)))
-                    rows[i] = (len(w), float(g.mean()), float(b.mean()), float((g - b).mean()))
-            cols = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[1:])], ["doc_id", "n_tokens", "ce_target", "ce_background", "score"])
+BLOCK = ["block", "n_tokens", "n_words", "scored", "ids", "lens", "words", "stream"]
+
 
-    kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ce_target double, ce_background double, score double")
+@dataclass
+class _Block:
+    """The grams of a block: words, then different bigrams (`code` ascending), then every word with EOS, whose count says how
+    often it is the last, and the start with EOS, whose count is the number of documents that have a token. `inverse` is
+    each token's bigram."""
+
+    lens: np.ndarray
+    words: np.ndarray
+    stream: np.ndarray
+
+    def __post_init__(self):
+        self.stream = self.stream.astype(np.int64)
+        v = len(self.words)
+        full = np.flatnonzero(self.lens)
+        self.doc = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens)
+        ends = np.cumsum(self.lens)[full]
+        self.starts, self.last = ends - self.lens[full], np.zeros(len(self.lens), np.int64)
+        self.last[full] = self.stream[ends - 1]
+        self.before = np.r_[v, self.stream[:-1]][: len(self.stream)]
+        self.before[self.starts] = v
+        self.code, self.inverse, self.count = np.unique(self.before * (v + 1) + self.stream, return_inverse=True, return_counts=True)
+        heads = np.r_[self.words, BOS]
+        first = np.r_[heads[self.code // (v + 1)] if v else heads[:0], self.words, BOS]
+        second = np.r_[self.words[self.code % (v + 1)], np.full(v + 1, EOS)]
+        # the lowest bit tells words from pairs, so that words can be counted
+        pair = splitmix(splitmix(first) + second) >> np.uint64(64 - KEY_BITS) & ~np.uint64(1)
+        word = splitmix(self.words) >> np.uint64(64 - KEY_BITS) | np.uint64(1)
+        self.keys = np.r_[word, pair]
+        self.order = np.argsort(self.keys, kind="stable")
+
+    def counts(self, docs: np.ndarray | None = None) -> np.ndarray:
+        """Counts of the grams in order of `keys`, of all documents or of those marked."""
+        v = len(self.words)
+        if docs is None:
+            stream, count, last, n = self.stream, self.count, self.last[self.lens > 0], int((self.lens > 0).sum())
+        else:
+            mine = docs[self.doc]
+            stream, count = self.stream[mine], np.bincount(self.inverse[mine], minlength=len(self.code))
+            last = self.last[docs & (self.lens > 0)]
+            n = len(last)
+        return np.r_[np.bincount(stream, minlength=v), count, np.bincount(last, minlength=v), n].astype(np.int64)
+
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per token, how often its own document has the bigram, its first word as a context, and the word."""
+        def repeats(key: np.ndarray) -> np.ndarray:
+            _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+            return count[inverse]
+
+        word = repeats(self.doc.astype(np.int64) * max(1, len(self.words)) + self.stream)
+        context = np.r_[1, word[:-1]][: len(word)] - (self.last[self.doc] == self.before)
+        context[self.starts] = 1
+        return repeats(self.doc.astype(np.int64) * max(1, len(self.code)) + self.inverse), context, word
+
+
+def _marked(n: int, places) -> np.ndarray:
+    out = np.zeros(n, bool)
+    if places is not None:
+        out[np.array(places, np.int64)] = True
+    return out
+
+
+def _send(batches, bits: int, counted: bool | None):
+    """(part, block, keys, background, target): a block's sorted keys and counts, cut at the parts' borders.
+
+    `counted`: blocks of which kind (scored or not) are background; null for both.
+    """
+    for batch in batches:
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+            b = _Block(_unpacked(row["lens"], np.int64), _unpacked(row["words"], np.uint64), _unpacked(row["stream"], np.uint32))
+            keys = b.keys[b.order]
+            background = b.counts()[b.order] if counted in (None, row["scored"]) else np.zeros(len(keys), np.int64)
+            target = b.counts(_marked(len(b.lens), row["places"]))[b.order]
+            part = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64)
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+            step = np.diff(keys, prepend=keys[:1])
+            step[cuts[:-1]] = keys[cuts[:-1]]
+            rows = [(int(part[x]), row["block"], *(_packed(z[x:y]) for z in (step, background.astype(np.int32), target.astype(np.int32)))) for x, y in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_pylist([dict(zip(("part", "block", "keys", "background", "target"), r)) for r in rows], pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("background", pa.binary()), ("target", pa.binary())]))
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """For each block that has entries in this part their totals, and once the number and the counts of the words."""
+    blocks = table.sort_by("block")
+    keys = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in blocks.column("keys").to_pylist()]
+    sizes = np.cumsum([0, *map(len, keys)])
+    known, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = ([_unpacked(x, np.int32) for x in blocks.column(name).to_pylist()] for name in ("background", "target"))
+    total = [np.bincount(inverse, np.concatenate(c), len(known)).astype(np.int64) for c in counts]
+    word = (known & np.uint64(1) > 0) & (total[0] + total[1] > 0)
+    once = [int(word.sum()), int(total[0][word].sum()), int(total[1][word].sum())]
+    zeros = [0] * (len(keys) - 1)
+    totals = [[_packed(t[inverse[a:b]]) for a, b in zip(sizes[:-1], sizes[1:])] for t in total]
+    return pa.table({"block": blocks.column("block"), "part": blocks.column("part"), **{n: pa.array([x, *zeros], pa.int64()) for n, x in zip(("words", "nb", "nt"), once)}, "background": pa.array(totals[0], pa.binary()), "target": pa.array(totals[1], pa.binary())})
+
+
+def _finish(blocks: pa.Table, totals: pa.Table, sizes: tuple[int, int, int], counted: bool | None, leave_out: bool, weight: float, smoothing: float) -> pa.Table:
+    """The losses of the documents of one block."""
+    if not blocks.num_rows:  # of the background only
+        return pa.table({"doc_id": pa.array([], blocks.schema.field("ids").type.value_type), "n_tokens": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("ce_target", "ce_background", "score")}})
+    row = blocks.to_pylist()[0]
+    b = _Block(_unpacked(row["lens"], np.int64), _unpacked(row["words"], np.uint64), _unpacked(row["stream"], np.uint32))
+    v, n = len(b.words), sizes[0]
+    own = b.own() if leave_out else None
+    mine = (np.full(len(b.lens), counted in (None, True)), _marked(len(b.lens), row["places"]))
+    totals = totals.sort_by("part")
+    full = b.lens > 0
+    means = []
+    for name, size, docs in zip(("background", "target"), sizes[1:], mine):
+        total = np.empty(len(b.keys), np.float64)
+        total[b.order] = np.concatenate([_unpacked(x, np.int64) for x in totals.column(name).to_pylist()])
+        words, pairs, final, start = np.split(total, [v, v + len(b.code), len(total) - 1])
+        context = np.r_[words - final, start]  # a word is a context wherever it isn't the last
+        pair, context, word, size = pairs[b.inverse], context[b.before], words[b.stream], np.full(len(b.lens), float(size))
+        if leave_out:
+            less = docs[b.doc]
+            pair, context, word = (x - np.where(less, o, 0) for x, o in zip((pair, context, word), own))
+            size -= np.where(docs, b.lens, 0)
+        extra = smoothing * np.maximum(1, size)
+        uni = (word + (extra / max(1, n))[b.doc]) / (size + extra)[b.doc]
+        p = np.where(context > 0, weight * pair / np.maximum(context, 1) + (1 - weight) * uni, uni)
+        means.append(np.full(len(b.lens), np.nan))
+        means[-1][full] = np.add.reduceat(-np.log(p), b.starts) / b.lens[full] if full.any() else 0
+    none = ~full
+    out = [pa.array(x, pa.float64(), mask=none) for x in (means[1], means[0], means[1] - means[0])]
+    return pa.table({"doc_id": blocks.column("ids").combine_chunks().flatten(), "n_tokens": pa.array(b.lens), **dict(zip(("ce_target", "ce_background", "score"), out))})
+
+
+def score(docs: DataFrame, target_ids: DataFrame, background: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", leave_out: bool = True, weight: float = 0.7, smoothing: float = 1e-3, block_tokens: int = BLOCK_TOKENS, part_entries: int = PART_ENTRIES, max_marks: int = MAX_MARKS) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ce_target, ce_background, score (nats a token; lower: more like the target).
 
+    The target model is counted over the rows of `docs` whose id is in `target_ids` (its first column; ids it has twice
+    count once), the background model over `docs`, or over `background` if it is given. Both keep every word (lower-cased,
+    split at white space) and bigram, and share vocabulary, interpolation `weight` and additive `smoothing`:
+    P(w | h) = weight c(hw) / c(h) + (1 - weight) P(w). With `leave_out` a document's own counts are taken off the models
+    that have counted it, so that no document is scored by a model that knows it; a copy still knows its twin.
 
-def target_texts(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The texts of documents labelled good and not toxic, as a written table (two counting passes read it).
+    Null and empty texts have no token and null losses. Repeated rows are documents of their own. A null id is in no
+    target. An empty target or background gives every word the same probability; an empty table an empty result. A word of
+    any length is one token; a text longer than a block is a block of its own. Other columns aren't read.
 
-    The join is a merge join at every size: labels grow with the documents, so a plan that broadcasts a small label table
-    would say nothing about a large one.
+    A block's entries are cut by key into parts of about `part_entries`; the rows sent are never more than the entries, however
+    many blocks and parts there are. Only ids meet the target's ids; their marks return to the blocks by broadcast up to
+    `max_marks`, else by a shuffle of the packed blocks.
     """
-    good = labels.filter("quality = 1 and toxic = 0").select(F.col("doc_id").alias("_good"))
-    return materialize(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(good.hint("merge"), F.col("_id") == F.col("_good"), "left_semi").select("text"), "target")
+    rows = lambda df, scored: df.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("_text"), F.lit(scored).alias("_scored"))
+    every = rows(docs, True) if background is None else rows(docs, True).unionByName(background.select(F.lit(None).cast(docs.schema[doc_id].dataType).alias("doc_id"), text_or_empty(text).alias("_text"), F.lit(False).alias("_scored")))
+    counted = None if background is None else False
+    kind = docs.schema[doc_id].dataType.simpleString()
+    schema = f"block long, n_tokens long, n_words long, scored boolean, ids array<{kind}>, lens binary, words binary, stream binary"
+    blocks = materialize(every.mapInArrow(lambda batches: _encode(batches, block_tokens), schema), "blocks")
+    good = target_ids.select(F.col(target_ids.columns[0]).alias("id"))
+    marks = materialize(blocks.filter("scored").select("block", F.posexplode("ids").alias("place", "id")).join(good, "id", "left_semi").select("block", "place"), "marks")
+    places = marks.groupBy("block").agg(F.collect_list("place").alias("places"))  # no more than a block has documents
+    places = F.broadcast(places) if marks.count() <= max_marks else places.hint("shuffle_hash")
+    marked = blocks.join(places, "block", "left")
+    entries = blocks.agg(F.coalesce(F.sum(F.col("n_tokens") + F.col("n_words")), F.lit(0))).first()[0]
+    bits = max(5, int(np.ceil(np.log2(max(1, entries / part_entries)))))
+    sent = marked.select("block", "scored", "lens", "words", "stream", "places").mapInArrow(lambda batches: _send(batches, bits, counted), "part long, block long, keys binary, background binary, target binary")
+    totals = materialize(sent.groupBy("part").applyInArrow(_add_up, "block long, part long, words long, nb long, nt long, background binary, target binary"), "totals")
+    sizes = tuple(totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "nb", "nt"))).first())
+    finish = lambda mine, back: _finish(mine, back, sizes, counted, leave_out, weight, smoothing)
+    ours = marked.filter("scored").select("block", "ids", "lens", "words", "stream", "places")
+    out = ours.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, n_tokens long, ce_target double, ce_background double, score double")
+    return out.withColumnRenamed("doc_id", doc_id) if doc_id != "doc_id" else out
+
+
+def target_ids(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The ids of documents labelled good and not toxic."""
+    return labels.filter("quality = 1 and toxic = 0").select(doc_id)

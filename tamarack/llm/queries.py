@@ -67,7 +67,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_scoring.score_all(docs, lm_scoring.target_texts(docs, table(spark, sf_dir, "labels")))
+    return lm_scoring.score(docs, lm_scoring.target_ids(table(spark, sf_dir, "labels")))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

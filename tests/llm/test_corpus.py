@@ -158,83 +158,74 @@ def test_encode_and_decode(spark, vocab):
     assert sorted(((r["doc_id"], r["text"]) for r in back), key=lambda r: (key(r[0]), str(r[1]))) == sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda r: (key(r[0]), str(r[1])))
 
 
-def test_lm_scores_equal_brute_force(spark):
-    texts = [(i, prose(i, 40)) for i in range(30)] + [(90, None), (91, ""), (92, "never seen words")]
-    docs, target = table(spark, texts), table(spark, [t for t in texts[:10]])
-    m = lm_scoring.train(docs, target, max_words=200, max_pairs=400)
-    got = {r["doc_id"]: r for r in lm_scoring.score(docs, m).collect()}
-    for c, corpus in ((0, texts), (1, texts[:10])):
-        toks = [lm_scoring.tokens(t or "") for _, t in corpus]
-        uni, pairs, both = collections.Counter(), collections.Counter(), {}
-        size = sum(map(len, toks))
-        for ts in toks:
-            ids = [m.ids.get(w, 0) for w in ts]
-            uni.update(ids)
-            pairs.update(zip([1, *ids], ids))
-        n = m.uni.shape[1]
-        context = collections.Counter()
-        for (a, b), k in pairs.items():
-            context[a] += k
-        kept = {divmod(int(x), n) for x in m.pairs}
-        for d, t in texts[:5]:
-            loss, before = 0.0, 1
-            for w in lm_scoring.tokens(t):
-                i = m.ids.get(w, 0)
-                p1 = (uni[i] + 1e-3 * size / n) / (size * (1 + 1e-3))
-                held = sum(pairs[a, b] for a, b in kept if a == before) / max(context[before], 1)
-                near = pairs[before, i] / max(context[before], 1) if (before, i) in kept else 0
-                loss -= math.log(0.7 * near + (1 - 0.7 * held) * p1)
-                before = i
-            assert loss / len(lm_scoring.tokens(t)) == pytest.approx(got[d]["ce_target" if c else "ce_background"], rel=1e-5)
-    assert got[90]["score"] is None and got[91]["n_tokens"] == 0 and got[92]["score"] is not None
-    assert np.mean([got[i]["score"] for i in range(10)]) < np.mean([got[i]["score"] for i in range(10, 30)])
-
-
-def test_lm_models_are_distributions(spark):
-    docs = table(spark, [(i, prose(i, 60)) for i in range(10)])
-    m = lm_scoring.train(docs, docs.limit(3))
-    n = m.uni.shape[1]
-    for before in (0, 1, 2, 5):
-        for c in (0, 1):
-            p = (1 - m.weight * m.held[c, before]) * m.uni[c]
-            at = np.flatnonzero(m.pairs // n == before)
-            p[m.pairs[at] % n] += m.weight * m.near[c, at]
-            assert p.sum() == pytest.approx(1, abs=1e-6)
+def brute_scores(docs, target, background=None, leave_out=True, weight=0.7, smoothing=1e-3):
+    """(doc_id, n_tokens, ce_target, ce_background) by plain counters, for rows (doc_id, text)."""
+    words = lambda t: (t or "").lower().split()
+    corpora = {"t": [words(t) for d, t in docs if d in target], "b": [words(t) for _, t in (docs if background is None else background)]}
+    vocabulary = {w for c in corpora.values() for ws in c for w in ws}
+    count = lambda corpus: (collections.Counter(p for ws in corpus for p in zip([None, *ws], ws)), collections.Counter(p for ws in corpus for p in [None, *ws][: len(ws)]), collections.Counter(w for ws in corpus for w in ws))
+    models = {m: (*count(c), sum(map(len, c))) for m, c in corpora.items()}
+    out = []
+    for d, t in docs:
+        ws, means = words(t), []
+        for m in ("t", "b"):
+            pairs, contexts, single, size = models[m]
+            mine = leave_out and (d in target if m == "t" else background is None)
+            p0, c0, w0 = count([ws]) if mine else ({}, {}, {})
+            size -= len(ws) * mine
+            extra, loss = smoothing * max(1, size), 0.0
+            for h, w in zip([None, *ws], ws):
+                uni = (single[w] - w0.get(w, 0) + extra / max(1, len(vocabulary))) / (size + extra)
+                c = contexts[h] - c0.get(h, 0)
+                loss -= math.log(weight * (pairs[h, w] - p0.get((h, w), 0)) / c + (1 - weight) * uni if c else uni)
+            means.append(loss / len(ws) if ws else None)
+        out.append((d, len(ws), *means))
+    return sorted(out, key=lambda r: (key(r[0]), r[1]))
+
+
+def same_scores(got, want):
+    got = sorted((tuple(r) for r in got), key=lambda r: (key(r[0]), r[1]))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for g, w in zip(got, want):
+        if w[1] == 0:
+            assert g[2:] == (None, None, None)
+        else:
+            assert g[2:] == pytest.approx((w[2], w[3], w[2] - w[3]), rel=1e-9, abs=1e-9)
+
+
+@pytest.mark.parametrize("leave_out", [True, False])
+@pytest.mark.parametrize("extra", [False, True])
+def test_lm_scores_equal_brute_force(spark, leave_out, extra):
+    """Every word and bigram counts, whatever the blocks, the parts and the way the marks return."""
+    rows = awkward() + [(i, prose(i, 40)) for i in range(30, 60)] + [(92, "never seen words"), (93, "x" * 100_000), (94, "a a a a b")]
+    target = {1, 2, 5, 10, None, 92, *range(30, 38)}
+    ids = spark.createDataFrame([(i,) for i in target] + [(1,)], "id long")
+    want = brute_scores(rows, target - {None}, leave_out=leave_out)
+    for sizes in ({}, {"block_tokens": 300, "part_entries": 50, "max_marks": 0}):
+        same_scores(lm_scoring.score(table(spark, rows, extra).repartition(3), ids, leave_out=leave_out, **sizes).collect(), want)
+
+
+def test_lm_scores_against_another_background(spark):
+    docs, corpus = awkward(), [(i, prose(i, 50)) for i in range(9)] + [(None, None)]
+    ids = spark.createDataFrame([(1,), (6,)], "id long")
+    want = brute_scores(docs, {1, 6}, corpus)
+    for size in (3_000_000, 100):
+        same_scores(lm_scoring.score(table(spark, docs, extra=True), ids, table(spark, corpus), block_tokens=size).collect(), want)
 
 
 def test_lm_edge_tables(spark):
-    none = table(spark, [])
-    m = lm_scoring.train(none, none)
-    assert lm_scoring.score(none, m).count() == 0
-    assert all(r["score"] is None or abs(r["score"]) < 1e-9 for r in lm_scoring.score(table(spark, extra=True), m).collect())
+    none, no_ids = table(spark, []), spark.createDataFrame([], "id long")
+    assert lm_scoring.score(none, no_ids).count() == 0
+    same_scores(lm_scoring.score(table(spark), no_ids).collect(), brute_scores(awkward(), set()))
+    same_scores(lm_scoring.score(table(spark), no_ids, none).collect(), brute_scores(awkward(), set(), []))
 
 
-def test_lm_scoring_keeps_every_word_and_bigram(spark, sf_dir):
-    """The query gives what models without any bound give; a bounded one would score rare words as unknown."""
+def test_lm_query_equals_brute_force(spark, sf_dir):
     from tamarack.llm import queries
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    target = lm_scoring.target_texts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    whole = lm_scoring.train(docs, target, max_words=1 << 40, max_pairs=1 << 40)
-    assert len(whole.ids) == len({w for r in docs.collect() for w in lm_scoring.tokens(r["text"] or "")})
-    want = {r["doc_id"]: r for r in lm_scoring.score(docs, whole).collect()}
-    got = queries.op6_lm_scoring(spark, sf_dir).collect()
-    assert sorted(r["doc_id"] for r in got) == sorted(want)
-    for r in got:
-        for c in ("n_tokens", "ce_target", "ce_background", "score"):
-            assert r[c] == (want[r["doc_id"]][c] if want[r["doc_id"]][c] is None else pytest.approx(want[r["doc_id"]][c], rel=1e-4, abs=1e-5))
-
-
-def test_lm_scoring_of_other_documents(spark):
-    """Documents outside the background, repeated rows, null ids and texts, unknown words."""
-    docs, corpus = table(spark, extra=True), table(spark, [(i, prose(i, 50)) for i in range(9)])
-    whole = lm_scoring.train(corpus, corpus.limit(2), max_words=1 << 40, max_pairs=1 << 40)
-    order = lambda rows: sorted((tuple(r) for r in rows), key=lambda r: (key(r[0]), r[1]))
-    want = order(lm_scoring.score(docs, whole).collect())
-    got = order(lm_scoring.score_all(docs, corpus.limit(2), corpus).collect())
-    assert [r[:2] for r in got] == [r[:2] for r in want]
-    assert all(a == b if b is None else a == pytest.approx(b, rel=1e-4, abs=1e-5) for x, y in zip(got, want) for a, b in zip(x[2:], y[2:]))
-    assert lm_scoring.score_all(table(spark, []), table(spark, [])).count() == 0
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r["quality"] == 1 and r["toxic"] == 0}
+    same_scores(queries.op6_lm_scoring(spark, sf_dir).collect(), brute_scores(docs, good))
 
 
 def test_raking_meets_the_marginals():
