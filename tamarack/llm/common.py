@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -13,7 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one is set only where none is."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where none is set, a local master (one process, as in tests) gets a folder of its own; a cluster gets an error, as a
+    folder of one machine would lose what other machines write.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -21,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not re.match(r"local(\[[^,]*\])?$", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tamarack-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -39,12 +46,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete the intermediate tables written so far; call it once the results that read them are stored."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+def written() -> int:
+    """How many intermediate tables there are: the mark that discard() goes back to."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate tables written after a mark; call it once the results that read them are stored."""
+    while len(_written) > since:
+        delete(spark, _written.pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_or_empty(text: str = "text") -> F.Column:
