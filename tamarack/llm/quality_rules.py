@@ -33,12 +33,8 @@ RULES = (
 )
 
 
-def base_columns(text: Column, window: int = 5) -> dict[str, Column]:
-    """The counts of one text, all in the row: no explode, no shuffle.
-
-    Positions covered by repeated windows: window hashes are sorted with their positions, equal neighbours mark
-    repeats, and the union of the marked intervals is summed over sorted starts, so long texts cost n log n.
-    """
+def base_columns(text: Column) -> dict[str, Column]:
+    """The words, lines and character counts of one text."""
     words = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     return {
@@ -50,7 +46,12 @@ def base_columns(text: Column, window: int = 5) -> dict[str, Column]:
 
 
 def base_counts(docs: DataFrame, keep: Sequence[Column], text: str = "text", window: int = 5) -> DataFrame:
-    """`keep` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each whole text."""
+    """`keep` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each whole text.
+
+    All in the row: no explode, no shuffle. Positions covered by repeated windows: window hashes are sorted with their
+    positions, equal neighbours mark repeats, and the union of the marked intervals is summed over sorted starts, so long
+    texts cost n log n.
+    """
     body = docs.select(*keep, text_or_empty(text).alias("_text"))
     cols = base_columns(F.col("_text"))
     names = [c for c in body.columns if c != "_text"]
@@ -72,15 +73,29 @@ def base_counts(docs: DataFrame, keep: Sequence[Column], text: str = "text", win
     return a.withColumn("n_repeat_words", F.coalesce(F.expr(covered), F.lit(0).cast("long"))).drop("_p")
 
 
+def _stirling_error(n: str) -> str:
+    """SQL of ln n! less Stirling's (n + 1/2) ln n - n + ln sqrt(2 pi): a sum up to 15, its series beyond."""
+    x = f"cast({n} as double)"
+    series = f"(1D / 12 - (1D / 360 - (1D / 1260 - (1D / 1680 - 1D / 1188 / ({x} * {x})) / ({x} * {x})) / ({x} * {x})) / ({x} * {x})) / {x}"
+    plain = f"aggregate(sequence(1L, cast({n} as bigint)), 0D, (s, i) -> s + ln(cast(i as double))) - (({x} + 0.5D) * ln({x}) - {x} + 0.5D * ln(2 * pi()))"
+    return f"(case when {n} > 15 then {series} else {plain} end)"
+
+
 def binomial_cdf(k: str, n: str, p: float) -> Column:
     """P(X <= k) for X ~ Binomial(n, p), exact up to rounding; 1 where k >= n p, whose bound could never pass.
 
-    Terms go from the largest (k) downwards by their ratio, so nothing underflows before it stops to matter.
+    The largest term (k) comes from the saddle point (Stirling errors and deviances, nothing cancels or underflows at any
+    n); the others follow downwards by their ratio. Terms more than ten deviations below are under rounding, so a tail
+    takes about ten times the square root of n p steps at most, however many labels there are.
     """
-    odds = p / (1 - p)
-    log_term = f"aggregate(sequence(1, cast({k} as int)), cast({n} as double) * ln({1 - p}D), (s, i) -> s + ln(({n} - i + 1) / cast(i as double)) + ln({odds}D))"
-    head = f"case when {k} = 0 then {n} * ln({1 - p}D) else {log_term} end"
-    tail = f"case when {k} = 0 then 1D else aggregate(sequence(0, cast({k} as int) - 1), named_struct('t', 1D, 's', 1D), (a, j) -> named_struct('t', a.t * ({k} - j) / (({n} - {k} + j + 1) * {odds}D), 's', a.s + a.t * ({k} - j) / (({n} - {k} + j + 1) * {odds}D)), a -> a.s) end"
+    odds, q = p / (1 - p), 1 - p
+    x, m = f"cast({k} as double)", f"cast({n} as double)"
+    deviance = f"({x} * ln({x} / ({m} * {p}D)) + {m} * {p}D - {x} + ({m} - {x}) * ln(({m} - {x}) / ({m} * {q}D)) + {m} * {q}D - ({m} - {x}))"
+    log_term = f"{_stirling_error(n)} - {_stirling_error(k)} - {_stirling_error(f'({n} - {k})')} - {deviance} + 0.5D * ln({m} / (2 * pi() * {x} * ({m} - {x})))"
+    head = f"case when {k} = 0 then {m} * ln({q}D) else {log_term} end"
+    steps = f"cast(least({k}, ceil(10 * sqrt({m} * {p * q}D)) + 50) as bigint)"
+    ratio = f"({x} - j) / (({m} - {x} + j + 1) * {odds}D)"
+    tail = f"case when {k} = 0 then 1D else aggregate(sequence(0L, {steps} - 1), named_struct('t', 1D, 's', 1D), (a, j) -> named_struct('t', a.t * {ratio}, 's', a.s + a.t * {ratio}), a -> a.s) end"
     return F.expr(f"case when {k} >= {n} * {p}D then 1D else least(1D, exp({head}) * {tail}) end")
 
 
@@ -106,6 +121,18 @@ def thresholds(scored: DataFrame, rules: Sequence[Rule] = RULES, risk: float = 0
     return walk.select("stratum", "rule", F.expr(last).alias("cutoff")).filter("cutoff is not null")
 
 
+def measures(docs: DataFrame, keep: Sequence[Column], text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """`keep`, the base counts, base_failed and a column per rule of every row, as a written table."""
+    base = materialize(base_counts(docs, keep, text).withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")), "base")
+    return base.select("*", *(F.expr(r.measure).cast("double").alias(r.name) for r in rules))
+
+
+def holdout(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """The measured rows that labels call good and the base rules pass."""
+    good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("doc_id")).distinct()
+    return measured.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi")
+
+
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", rules: Sequence[Rule] = RULES, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """One row per input row: doc_id, the base counts, base_failed, kept, rule_failed, stratum.
 
@@ -116,10 +143,8 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     doc_id, text and stratum are read, so other columns may have any name.
     """
     keep = [F.col(doc_id).alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("(none)")).alias("stratum")]
-    base = materialize(base_counts(docs, keep, text).withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")), "base")
-    measured = base.select("*", *(F.expr(r.measure).cast("double").alias(r.name) for r in rules))
-    good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("doc_id")).distinct()
-    cut = thresholds(measured.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi"), rules, risk, delta)
+    measured = measures(docs, keep, text, rules)
+    cut = thresholds(holdout(measured, labels), rules, risk, delta)
     wide = cut.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"cut_{r.name}") for r in rules))
     wide = materialize(wide, "cutoffs")
     out = measured.join(wide, "stratum", "left")

@@ -53,6 +53,17 @@ def test_binomial_tail_is_exact(spark):
                 assert r["v"] == pytest.approx(want, rel=1e-9)
 
 
+def test_binomial_tail_of_many_labels(spark):
+    """Counts far over an int: against sums of densities by lgamma, whose own rounding grows with n."""
+    density = lambda i, n, p: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    cases = [(4_900, 10**6, 0.005, 1e-6), (499_000, 10**8, 0.005, 1e-5), (40, 9000, 0.005, 1e-8), (16, 5000, 0.005, 1e-8)]
+    for k, n, p, off in cases:
+        want = sum(density(i, n, p) for i in range(k, max(-1, k - 20_000), -1))
+        assert spark.createDataFrame([(k, n)], "k long, n long").select(quality_rules.binomial_cdf("k", "n", p)).first()[0] == pytest.approx(want, rel=off)
+    got = spark.createDataFrame([(24_999_900_000, 5 * 10**12)], "k long, n long").select(quality_rules.binomial_cdf("k", "n", 0.005)).first()[0]
+    assert got == pytest.approx(0.5 * math.erfc(100_000 / math.sqrt(2 * 5e12 * 0.005 * 0.995)), rel=1e-2)
+
+
 def test_cutoffs_are_certified(spark):
     rule = quality_rules.Rule("m", "m", (3.0, 2.0, 1.0))
     # stratum a: 4,000 good documents of which few are over 2 and many over 1; stratum b: too few to certify anything
