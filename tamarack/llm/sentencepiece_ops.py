@@ -139,17 +139,17 @@ def _slot(h: np.ndarray) -> np.ndarray:
 class Lattices:
     """The lattices of distinct units ("words" below) laid end to end, one node per code point, edges in order of (node, length).
 
-    Per node: `start`, its first edge (the next node's is the end). Per edge: `source`, `length`, `place` (of the piece;
+    Per node: `start`, its first edge (the next node's is the end). Per edge: `length`, `place` (of the piece;
     -2 for a byte spelling), `ends` (whether it ends the word), `log_q` (log of its conditional probability), `log_r` (of
     the node's other edges together) and `upto` (the sum of conditional probabilities up to it). Words stay for later
     runs; `most_nodes` bounds what is held.
     """
 
-    def __init__(self, vocab: Vocabulary, most_nodes: int = 2_000_000):
+    def __init__(self, vocab: Vocabulary, most_nodes: int = 1_200_000):
         self.vocab, self.most_nodes = vocab, most_nodes
         self.clear()
 
-    KINDS = {"first": np.int64, "size": np.int64, "points": np.uint32, "start": np.int32, "source": np.int32, "place": np.int32, "length": np.int8, "ends": bool, "log_q": np.float32, "log_r": np.float32, "upto": np.float32}
+    KINDS = {"first": np.int64, "size": np.int64, "points": np.uint32, "start": np.int32, "place": np.int32, "length": np.int8, "ends": bool, "log_q": np.float32, "log_r": np.float32, "upto": np.float32}
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
@@ -158,16 +158,20 @@ class Lattices:
             setattr(self, name, self.room[name][: int(name == "start")])
 
     def _append(self, **more: np.ndarray) -> None:
-        """Add to the arrays, which double when they are full."""
+        """Add to the arrays, which grow by a third when they are full."""
         for name, values in more.items():
             held = len(getattr(self, name))
             if held + len(values) > len(self.room[name]):
-                bigger = np.zeros(2 * (held + len(values)), self.KINDS[name])
+                bigger = np.empty(4 * (held + len(values)) // 3, self.KINDS[name])
                 bigger[:held] = self.room[name][:held]
                 self.room[name] = bigger
             self.room[name][held : held + len(values)] = values
             setattr(self, name, self.room[name][: held + len(values)])
 
+    def source(self, edges: np.ndarray) -> np.ndarray:
+        """The nodes that edges leave."""
+        return np.searchsorted(self.start, edges, side="right") - 1
+
     def places(self, words: list[str]) -> np.ndarray:
         """The numbers of distinct words; new ones are added."""
         if len(self.points) > self.most_nodes:
@@ -237,8 +241,8 @@ class Lattices:
         tied = np.add.reduceat(top.astype(np.int64), heads[:-1])[source] > 1
         with np.errstate(divide="ignore"):
             log_r = np.log(np.where(top & ~tied, rest, 1 - q))
-        base, edges = len(self.points), len(self.source)
-        self._append(first=first + base, size=size, points=raw, start=heads[1:] + edges, source=source + base, place=place, length=length, ends=ends, log_q=np.minimum(log_q, 0), log_r=np.minimum(log_r, 0), upto=upto)
+        base, edges = len(self.points), len(self.place)
+        self._append(first=first + base, size=size, points=raw, start=heads[1:] + edges, place=place, length=length, ends=ends, log_q=np.minimum(log_q, 0), log_r=np.minimum(log_r, 0), upto=upto)
 
     @staticmethod
     def _backward(n: int, weight: np.ndarray, source: np.ndarray, target: np.ndarray, by: np.ndarray, cut: np.ndarray) -> np.ndarray | None:
@@ -430,7 +434,7 @@ class Sampler:
                 if others[j] > -np.inf:
                     heapq.heappush(heap, (-float(others[j]), nth, t + j, (int(path[t + j]),)))
             t, taken = t + here, (int(path[t + here]),)
-        node = int(lat.source[path[t]])
+        node = int(lat.source(path[t]))
         first, last = int(lat.start[node]), int(lat.start[node + 1])
         row = lat.log_q[first:last].astype(np.float64)
         row[[e - first for e in taken]] = -np.inf
@@ -461,7 +465,7 @@ class Sampler:
         bare = np.flatnonzero(place < 0)
         if not len(bare):
             return ids, cuts
-        c = lat.points[lat.source[edges[bare]]]
+        c = lat.points[lat.source(edges[bare])]
         ids[bare] = self.vocab.byte_ids[np.minimum(c, 255)]
         wide = np.flatnonzero(c > 0x7F)
         if not len(wide):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,15 +39,29 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed long."""
+    """(doc_id, th, fp): a hash and the fingerprint of each whole text, as signed longs."""
 
     def run(batches):
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
     kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body")).mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("th"), text_or_empty(text).alias("body"))
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long")
+
+
+def best_parts(n: int, distance: int = 4) -> int:
+    """The number of segments that makes least work for n distinct fingerprints.
+
+    Per segment a fingerprint probes its ball and meets about n / 2**width others at each probe: longer segments take more
+    probes (529 of 32 bits within distance two) and meet fewer (a 2,048th of those of 21 bits). Segments stay few enough
+    that some ball is enumerated: short segments without balls are cheap only while tables are small.
+    """
+    def work(parts: int) -> float:
+        return sum((1 + n / 2.0**w) * sum(comb(w, k) for k in range(distance // parts + 1)) for _, w in segments(parts))
+
+    return min(range(2, max(3, distance)), key=work)
 
 
 def segments(parts: int = 3) -> list[tuple[int, int]]:
@@ -62,7 +79,7 @@ def _segment(fp: str, at: tuple[int, int]) -> str:
 
 
 def near_pairs(prints: DataFrame, distance: int = 4, parts: int = 3, apart: str | None = None) -> DataFrame:
-    """(a, b), a < b: distinct fingerprints that differ in `distance` bits at most, each pair once.
+    """(a, b), a < b: distinct fingerprints that differ in `distance` bits at most, each pair once, for any number of segments.
 
     With `distance` bits over `parts` segments some segment differs in at most r = distance // parts bits. The table
     holds each fingerprint under its value in every segment; the probe enumerates the ball of radius r around each of
@@ -70,22 +87,24 @@ def near_pairs(prints: DataFrame, distance: int = 4, parts: int = 3, apart: str
     within r, so no distinct is needed. `apart`: a column of `prints`; pairs that have it in common are left out.
     """
     r = distance // parts
-    if r > 1:
-        raise ValueError("take more segments: balls of radius 0 and 1 are enumerated")
     cuts = segments(parts)
     extra = [F.col(apart).alias("_ap")] if apart else []
-    key = lambda i, at, flip=0: f"({_segment('fp', at)} ^ {flip}L) | {i << 40}L"
-    stored = prints.select(F.col("fp").alias("b"), *[x.alias("_bp") for x in extra], F.explode(F.expr("array(" + ", ".join(key(i, at) for i, at in enumerate(cuts)) + ")")).alias("key"))
-    flips = [key(i, at, flip) for i, at in enumerate(cuts) for flip in ([0, *(1 << k for k in range(at[1]))] if r else [0])]
-    probes = prints.select(F.col("fp").alias("a"), *extra, F.explode(F.expr("array(" + ", ".join(flips) + ")")).alias("key"))
+    tag = lambda i: f"{i << 40}L"
+    stored = prints.select(F.col("fp").alias("b"), *[x.alias("_bp") for x in extra], F.explode(F.expr("array(" + ", ".join(f"{_segment('fp', at)} | {tag(i)}" for i, at in enumerate(cuts)) + ")")).alias("key"))
+    balls = []
+    for i, at in enumerate(cuts):
+        masks = [sum(1 << k for k in c) for d in range(r + 1) for c in combinations(range(at[1]), d)]
+        balls.append(f"transform(array({', '.join(f'{m}L' for m in masks)}), m -> ({_segment('fp', at)} ^ m) | {tag(i)})")
+    probes = prints.select(F.col("fp").alias("a"), *extra, F.explode(F.expr(f"concat({', '.join(balls)})")).alias("key"))
     close = [f"bit_count({_segment('(a ^ b)', at)}) <= {r}" for at in cuts]
     first = " or ".join("(" + " and ".join([f"p.key >> 40 = {i}", *(f"not {c}" for c in close[:i])]) + ")" for i in range(parts))
     on = f"p.key = s.key and a < b and bit_count(a ^ b) <= {distance} and ({first})" + (" and _ap <> _bp" if apart else "")
     return probes.alias("p").join(stored.alias("s"), F.expr(on)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, width: int = 4) -> DataFrame:
-    """One row per input row: doc_id, fp (long), component_id (the smallest doc_id reachable over links, itself included).
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, width: int = 4, parts: int | None = None) -> DataFrame:
+    """One row per input row: doc_id, th (a hash of the text), fp (long), component_id (the smallest doc_id reachable over
+    links, itself included).
 
     Null and empty texts have fingerprint zero and link like any other. Rows that repeat a doc_id are nodes of their
     own; null doc_ids never become a component_id unless a component has no other. An empty table gives an empty
@@ -93,7 +112,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Dense groups of near copies don't emit all their pairs: fingerprints at distance one are linked first (64 probes
     each, hence at most 32 links a fingerprint), and the multi-index join then emits pairs between different
-    components of that first pass only. No link that matters for a component is lost.
+    components of that first pass only. No link that matters for a component is lost. The number of segments follows
+    the number of distinct fingerprints unless `parts` is given; the links are the same for any.
     """
     prints = materialize(fingerprints(docs, doc_id, text, width), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
@@ -103,7 +123,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = components(ones)
     held = distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("part"))
     held = materialize(held, "parts")
-    pairs = near_pairs(held, distance, apart="part")
+    pairs = near_pairs(held, distance, parts or best_parts(held.count(), distance), apart="part")
     part = held.select(F.col("fp"), F.col("part"))
     # links between parts: each pair's ends are replaced by their parts
     links = pairs.join(part.select(F.col("fp").alias("a"), F.col("part").alias("pa")), "a").join(part.select(F.col("fp").alias("b"), F.col("part").alias("pb")), "b")
@@ -112,7 +132,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = materialize(whole, "whole")
     least = materialize(whole.groupBy("whole").agg(F.min("least").alias("component_id")), "least")
     classes = materialize(whole.join(least, "whole").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "th", "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp") -> F.Column:
@@ -120,10 +140,14 @@ def hex_digits(fp: str = "fp") -> F.Column:
 
 
 def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4) -> DataFrame:
-    """The rows whose doc_id is the smallest of their group, all columns unchanged; rows with a null doc_id are kept.
+    """The rows whose doc_id is the smallest of their group, all columns unchanged, whatever their names.
 
-    Rows that repeat both the doc_id and the fingerprint are one document and all stay.
+    A row goes by its doc_id and text together: one that shares its doc_id with a near copy but not the text is judged
+    by its own group. Rows that repeat both are one document and share its fate; rows with a null doc_id are kept.
     """
-    ids = near_duplicates(docs, doc_id, text, distance).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_hit")).distinct()
-    ids = materialize(ids, "gone")
-    return docs.join(ids.select("_gone"), docs[doc_id] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, doc_id, text, distance).filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_text")).distinct()
+    gone = materialize(gone, "gone")
+    own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names that can't clash
+    key, body = (own.columns[docs.columns.index(c)] for c in (doc_id, text))
+    left = own.join(gone, (own[key] == gone["gone_id"]) & (F.xxhash64(text_or_empty(body)) == gone["gone_text"]), "left_anti")
+    return left.toDF(*docs.columns)

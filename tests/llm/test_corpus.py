@@ -245,26 +245,102 @@ def test_calibration_spends_the_budget():
     assert mixing.calibrate(factor, tokens, 500).tolist() == [1, 1, 1, 0]
 
 
-def test_distributed_raking_equals_the_drivers(spark):
-    rows = [(f"s{i % 4}", f"l{i % 3}", f"t{i % 2}", 10 + 7 * i) for i in range(24)]
-    cells = spark.createDataFrame(rows, "_source string, _lang string, _topic string, _tokens long").groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_tokens"))
-    targets = {"lang": {"l0": 0.5, "l1": 0.3, "l2": 0.2}}
-    a = {tuple(r)[:3]: (r["weight"], r["prob"]) for r in mixing.cell_probabilities(cells, targets).collect()}
-    b = {tuple(r)[:3]: (r["weight"], r["prob"]) for r in mixing.cell_probabilities(cells, targets, max_driver_cells=2).collect()}
-    assert a.keys() == b.keys() and all(a[k][1] == pytest.approx(b[k][1], rel=1e-4) for k in a)
+def brute_mix(cells, targets, budget, power=0.7):
+    """{cell: (weight, prob)} by plain loops: scale every marginal in turn, then bisect for the scale of the chances."""
+    total = sum(cells.values())
+    w = {c: t / total for c, t in cells.items()}
+    for _ in range(200):
+        worst = 0.0
+        for axis, name in enumerate(("source", "lang", "topic")):
+            now, mass = collections.Counter(), collections.Counter()
+            for c in cells:
+                now[c[axis]] += w[c]
+                mass[c[axis]] += cells[c]
+            goal = {v: (targets or {})[name].get(v, 0.0) if (targets or {}).get(name) else mass[v] ** power for v in now}
+            whole = sum(g for v, g in goal.items() if now[v] > 0)
+            for v in goal:
+                worst = max(worst, abs(now[v] - goal[v] / whole)) if now[v] > 0 else worst
+            w = {c: x * goal[c[axis]] / whole / now[c[axis]] if now[c[axis]] > 0 else 0.0 for c, x in w.items()}
+        if worst < 1e-9:
+            break
+    f = {c: w[c] / (cells[c] / total) if cells[c] else 0.0 for c in cells}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        s = (low + high) / 2
+        low, high = (s, high) if sum(min(1, s * f[c]) * cells[c] for c in cells) < budget * total else (low, s)
+    return {c: (f[c], min(1, high * f[c])) for c in cells}
+
+
+def test_raking_at_every_size_equals_brute_force(spark):
+    """One algorithm: in numpy and as tables the same weights, chances and error."""
+    cells = {(f"s{i % 4}", f"l{i % 3}", f"t{i % 5}"): 10 + 7 * i for i in range(60) if i % 7}
+    df = spark.createDataFrame([(*c, t) for c, t in cells.items()], "_source string, _lang string, _topic string, _tokens long")
+    for targets, budget in (({"lang": {"l0": 0.5, "l1": 0.3, "l2": 0.2}}, 0.8), (None, 0.35)):
+        want = brute_mix(cells, targets, budget)
+        for most in (100, 2):
+            got = {tuple(r)[:3]: r for r in mixing.cell_probabilities(df, targets, budget, max_driver_cells=most).collect()}
+            assert got.keys() == want.keys() and all(r["marginal_error"] < 1e-9 for r in got.values())
+            assert all((got[c]["weight"], got[c]["prob"]) == pytest.approx(want[c], rel=1e-6) for c in want)
+
+
+def test_contradicting_targets_are_reported(spark):
+    """Where no table has the marginals, both ways stop after the same rounds with the same error."""
+    df = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 30)], "_source string, _lang string, _topic string, _tokens long")
+    targets = {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.2, "y": 0.8}}
+    got = [mixing.cell_probabilities(df, targets, max_driver_cells=n, rounds=4).orderBy("_source").collect() for n in (9, 1)]
+    assert all(r["marginal_error"] == pytest.approx(0.7, abs=0.01) for rows in got for r in rows)
+    assert [tuple(r)[3:] for r in got[0]] == [pytest.approx(tuple(r)[3:], rel=1e-9) for r in got[1]]
 
 
 def test_mix(spark):
     out = mixing.mix(table(spark, extra=True)).collect()
     assert len(out) == len(awkward()) and all(0 <= r["prob"] <= 1 for r in out)
     assert {r["kept"] for r in out if r["doc_id"] == 2} in ({True}, {False})
+    assert {r["topic"] for r in out if r["doc_id"] in (3, 4, 7)} == {"(none)"}
+    tokens = {(r["doc_id"], r["n_tokens"]) for r in out}
+    assert tokens == {(i, len("".join(c if c > " " else " " for c in t or "").split(" ")) - "".join(c if c > " " else " " for c in t or "").split(" ").count("")) for i, t in awkward()}
     many = table(spark, [(i, prose(i, 20 + i % 50)) for i in range(3000)])
     got = mixing.mix(many, {"source": {"s1": 1.0}}, budget=0.5)
     t = got.agg(F.sum(F.when(F.col("kept"), F.col("n_tokens"))).alias("k"), F.sum("n_tokens").alias("n")).first()
     assert t["k"] / t["n"] == pytest.approx(0.5, abs=0.05)
-    kept = mixing.mixed_rows(many, {"source": {"s1": 1.0}}, budget=0.5)
-    assert kept.columns == many.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got.filter("kept").collect()}
-    assert mixing.mix(table(spark, [])).count() == 0
+    odd = many.withColumn("_topic", F.lit("mine")).withColumn("prob", F.col("doc_id") + 1).withColumn("c1", F.lit("c"))
+    kept = mixing.mixed_rows(odd, {"source": {"s1": 1.0}}, budget=0.5)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got.filter("kept").collect()}
+    assert all(r["_topic"] == "mine" and r["prob"] == r["doc_id"] + 1 for r in kept.take(50))
+    assert mixing.mix(table(spark, [])).count() == 0 and mixing.mixed_rows(table(spark, [])).count() == 0
+    assert {r["topic"] for r in mixing.mix(odd, topic_column="_topic").take(20)} == {"mine"}
+
+
+def test_mix_query_equals_brute_force(spark, sf_dir):
+    """The chances of the query from plain loops over its own cells; the draws follow them."""
+    from tamarack.llm import queries
+
+    rows = queries.op9_mixing(spark, sf_dir).collect()
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    cells = collections.Counter()
+    for r in rows:
+        d = docs[r["doc_id"]]
+        assert (r["source"], r["lang"]) == (d["source"] or "(none)", d["lang"] or "(none)")
+        cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
+    want = brute_mix(cells, None, 0.8)
+    assert all((r["weight"], r["prob"]) == pytest.approx(want[r["source"], r["lang"], r["topic"]], rel=1e-5) for r in rows)
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs) and len({r["topic"] for r in rows}) > 2
+    hope = sum(r["prob"] * r["n_tokens"] for r in rows)
+    spread = math.sqrt(sum(r["prob"] * (1 - r["prob"]) * r["n_tokens"] ** 2 for r in rows))
+    assert abs(sum(r["n_tokens"] for r in rows if r["kept"]) - hope) < 5 * spread + 1
+
+
+def test_topics_are_learnt(spark):
+    """Texts of three word lists come apart; classes don't depend on partitioning; a text is classed by all its words."""
+    from tamarack.llm import topics
+
+    lists = ["sea ship sail wind harbour wave anchor crew".split(), "bread oven flour yeast salt dough crust bake".split(), "code bug test build merge branch commit deploy".split()]
+    rows = [(i, " ".join(lists[i % 3][(i * 7 + j * 3) % 8] for j in range(30))) for i in range(300)]
+    model = topics.fit(table(spark, rows).repartition(5), topics=3)
+    again = topics.fit(table(spark, rows).repartition(2), topics=3)
+    assert np.array_equal(model.weights, again.weights)
+    got = {r["_id"]: r["_topic"] for r in topics.topics_and_tokens(table(spark, rows), [F.col("doc_id").alias("_id")], model).collect()}
+    assert len({got[i] for i in range(3)}) == 3 and all(got[i] == got[i % 3] for i in got)
 
 
 def day(n):
@@ -281,18 +357,64 @@ def test_url_filter_as_of(spark):
     assert url_filter.judge(caps.limit(0), entries).count() == 0 and url_filter.judge(caps, entries.limit(0)).filter("blocked").count() == 0
 
 
-def test_pipeline(spark, sf_dir):
-    """Every stage on all that its predecessor kept, with the columns of documents until the last."""
+def test_pipeline_equals_brute_force(spark, sf_dir, vocab):
+    """Every stage on all that its predecessor kept, held against plain Python; the columns of documents until the last."""
+    from tamarack.llm import quality_classifier
+    from tests.llm.test_dedup import brute_components, brute_runs
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, sf_dir)
-        ids = {r["doc_id"] for r in out.select("doc_id").collect()}
-        had = {r["doc_id"] for r in docs.select("doc_id").collect()}
-        assert ids and ids <= had
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert out.columns == docs.columns
-            docs = out.cache()
-        before = ids
-    assert out.filter("not round_trip").count() == 0
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()} == before
+    names = docs.columns
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "simhash near-dedup", "mixing", "sentencepiece"]
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    held = rows(docs)
+
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    raw = [(r[1] or "").encode() for r in held]
+    p = model.probabilities(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[:, 1]
+    good = [r for r, x in zip(held, p) if x >= 0.3]
+    out = stages["quality classifier"](spark, docs, sf_dir)
+    assert out.columns == names and rows(out) == good and 0 < len(good) < len(held)
+
+    at = lambda kept: spark.createDataFrame(kept, docs.schema)
+    clean = []
+    for r, (_, t, n) in zip(good, brute_runs([(r[0], r[1]) for r in good])):
+        if not n or (t and t.strip()):
+            clean.append((r[0], t, *r[2:4], len(t) if n else r[4]))
+    out = stages["line dedup"](spark, at(good), sf_dir)
+    assert out.columns == names and rows(out) == sorted(clean) and any(a != b for a, b in zip(good, clean))
+
+    least = {d for d, c in brute_components([(r[0], r[1]) for r in clean]) if d == c}
+    single = [r for r in clean if r[0] in least]
+    out = stages["simhash near-dedup"](spark, at(clean), sf_dir)
+    assert out.columns == names and rows(out) == sorted(single)
+
+    verdicts = {r["doc_id"]: r for r in mixing.mix(at(single)).collect()}
+    cells = collections.Counter()
+    for r in verdicts.values():
+        cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
+    chances = brute_mix(cells, None, 0.8)
+    draws = {r["doc_id"]: r["u"] for r in at(single).select("doc_id", (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("u")).collect()}
+    mixed = [r for r in single if draws[r[0]] < chances[tuple(verdicts[r[0]][c] for c in ("source", "lang", "topic"))][1]]
+    out = stages["mixing"](spark, at(single), sf_dir)
+    assert out.columns == names and rows(out) == sorted(mixed) and 0 < len(mixed) < len(single)
+
+    out = {r["doc_id"]: r for r in stages["sentencepiece"](spark, at(mixed), sf_dir).collect()}
+    turn = sp.decoder(vocab.pieces, vocab.byte_ids)
+    assert out.keys() == {r[0] for r in mixed}
+    for r in mixed:
+        got = out[r[0]]
+        assert got["round_trip"] and len(got["ids"]) <= 2 and len({tuple(x) for x in got["ids"]}) == len(got["ids"])
+        assert all(turn(np.array(x)) == r[1] for x in got["ids"]) and got["n_pieces"] == [len(x) for x in got["ids"]]
+    whole = {r["doc_id"]: (r["ids"], r["round_trip"]) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert whole == {d: (r["ids"], r["round_trip"]) for d, r in out.items()}
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows pass every stage; an empty table gives an empty result."""
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, data in (("odd", None), ("none", [])):
+        table(spark, data).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert all(r["round_trip"] in (True, None) for r in out) and (data is None or not out)

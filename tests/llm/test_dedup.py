@@ -25,6 +25,27 @@ def test_filters_merge_losslessly():
     assert sorted(k for b in back for k in b.fingerprints().tolist()) == sorted(want)
 
 
+def test_filters_hold_remainders_and_not_keys():
+    """Sent bytes: a bit a quotient, two bits and a remainder a slot, and a byte or so for each count above one."""
+    keys = np.random.default_rng(7).integers(0, 1 << 64, 5000, dtype=np.uint64)
+    f = CountingQuotientFilter.of(np.r_[keys, keys[:100], np.repeat(keys[:1], 1000)])
+    parts = list(f.parts(4))
+    assert sum(len(d) for _, d in parts) <= 16 * (32 + 3) + (1 << 16) // 8 + 5000 * (6 + 0.25) + 100 * 2 < 8 * 5000 + (1 << 16) // 8
+    for _, data in parts:
+        assert not any(int(k).to_bytes(8, order) in data for k in keys for order in ("little", "big"))
+    assert CountingQuotientFilter.of(keys, 24).remainders.shape == (5000, 5)
+    with pytest.raises(ValueError):
+        CountingQuotientFilter.of(keys, 10)
+
+
+def test_variable_length_counts():
+    from tamarack.llm.exact_dedup import of_varints, varints
+
+    values = np.array([0, 1, 127, 128, 300, 16383, 16384, 1 << 40, 5], np.int64)
+    assert of_varints(varints(values)).tolist() == values.tolist() and len(varints(values)) == 3 + 2 * 3 + 3 + 6 + 1
+    assert varints(values[:0]) == b"" and of_varints(b"").tolist() == []
+
+
 def test_an_empty_filter():
     e = CountingQuotientFilter.of(np.zeros(0, np.uint64))
     assert len(e.fingerprints()) == 0 and e.merge(e).count(1) == 0 and list(e.parts(3)) == []
@@ -110,12 +131,40 @@ def test_near_pairs_are_complete(spark):
     flips = [b ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64)) for b in base for n in (1, 2, 3, 4, 5)]
     fps = np.unique(np.r_[base, np.array(flips, np.uint64), np.uint64(0), np.uint64((1 << 64) - 1)])
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    for distance, parts in ((4, 3), (4, 4), (4, 5), (3, 2)):
+    for distance, parts in ((4, 2), (4, 3), (4, 4), (4, 5), (3, 2)):
         got = sorted((r["a"], r["b"]) for r in simhash.near_pairs(df, distance, parts).collect())
         want = sorted((min(a, b), max(a, b)) for i, a in enumerate(fps.view(np.int64).tolist()) for b in fps.view(np.int64)[:i].tolist() if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= distance)
         assert got == want
 
 
+def test_segments_follow_the_number_of_fingerprints(spark):
+    assert simhash.best_parts(10) == simhash.best_parts(10**6) == 3 and simhash.best_parts(10**9) == 2 and simhash.best_parts(10**12) == 2
+    df, got = table(spark, near_rows()), []
+    for parts in (2, 3, 5):
+        got.append(sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df, parts=parts).collect()))
+    assert got[0] == got[1] == got[2]
+
+
+def test_rows_go_by_id_and_text(spark):
+    """A row that shares only its doc_id with a near copy stays; clashing columns keep their values."""
+    df = table(spark, [(1, prose(1, 90)), (2, prose(1, 90)), (2, prose(77, 90)), (3, prose(50, 90))])
+    for c in ("_gone", "_hit", "gone_id", "gone_text", "th", "fp"):
+        df = df.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    kept = simhash.keep_one_per_group(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["text"], r["_gone"], r["th"]) for r in kept.collect()) == sorted((i, prose(s, 90), f"_gone{i}", f"th{i}") for i, s in ((1, 1), (2, 77), (3, 50)))
+
+
+def test_near_query_equals_brute_force(spark, sf_dir):
+    from tamarack.llm import queries
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = queries.op4_simhash(spark, sf_dir).collect()
+    texts = dict(rows)
+    assert all(r["fingerprint"] == f"{brute_fingerprint(texts[r['doc_id']]):016x}" for r in got)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == brute_components(rows)
+
+
 def test_keep_one_per_group(spark):
     df = table(spark, near_rows() + [(None, "alone here"), (50, None)])
     kept = simhash.keep_one_per_group(df)
