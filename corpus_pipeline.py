@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm import line_dedup, mixing, quality_classifier, sentencepiece_ops, simhash
-from tamarack.llm.common import shared_dir
+from tamarack.llm.common import delete, discard, shared_dir, written
 from tamarack.session import table
 
 
@@ -26,7 +26,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays (null doc_ids all do)."""
     return simhash.keep_one_per_group(docs)
 
 
@@ -36,9 +36,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One sampled segmentation of every document: its ids, log-probability, and whether they decode to the text."""
-    out = sentencepiece_ops.sample_encode(docs, sentencepiece_ops.Vocabulary.load(), k=1)
-    return out.select("doc_id", F.col("ids")[0].alias("ids"), F.size(F.col("ids")[0]).cast("long").alias("n_pieces"), F.col("log_p")[0].alias("log_p"), F.col("log_inclusion")[0].alias("log_inclusion"), "round_trip")
+    """Two sampled segmentations of every document, the likelier draw first: their ids, log-probabilities and inclusion
+    scores, and whether both decode to the text. A null text has nulls; a text with one segmentation has it alone."""
+    out = sentencepiece_ops.sample_encode(docs, sentencepiece_ops.Vocabulary.load(), k=2)
+    sizes = F.transform("ids", lambda x: F.size(x).cast("long"))
+    return out.select("doc_id", "ids", sizes.alias("n_pieces"), "log_p", "log_inclusion", "round_trip")
 
 
 STAGES = [
@@ -54,9 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's tables go once the next stage's input is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/stage-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        path, mark = f"{shared_dir(spark)}/stage-{name.replace(' ', '-')}-{uuid.uuid4().hex}", written()
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        discard(spark, mark)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
