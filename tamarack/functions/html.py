@@ -12,7 +12,9 @@ from pyspark.sql.window import Window
 
 
 def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit('<a\\s[^>]*href="([^"]*)"'), F.lit(1))
+    """Targets of links, in order; attributes in double, single or no quotes, tags in any case."""
+    found = F.regexp_extract_all(html, F.lit("(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)"), F.lit(1))
+    return F.transform(found, lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
 
 
 def squeezed(text: Column) -> Column:
@@ -25,6 +27,18 @@ def headings(html: Column) -> Column:
     return F.transform(found, lambda x: squeezed(F.regexp_replace(x, "(?s)<[^>]*>", " ")))
 
 
+def headers(html: Column) -> Column:
+    """Texts of h1 to h3, then of other elements whose class has `header`, inner tags off."""
+    found = F.regexp_extract_all(html, F.lit("(?is)<(?!h[1-3]\\b)(\\w+)\\s[^>]*class\\s*=\\s*[\"'][^\"']*header[^\"']*[\"'][^>]*>(.*?)</\\1>"), F.lit(2))
+    return F.concat(headings(html), F.transform(found, lambda x: squeezed(F.regexp_replace(x, "(?s)<[^>]*>", " "))))
+
+
+def summary(html: Column) -> Column:
+    """The visible text of a page's article: its first `article`, else `main`, else `body` element, else all of it."""
+    part = lambda tag: F.nullif(F.regexp_extract(html, f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>", 1), F.lit(""))
+    return visible_text(F.coalesce(part("article"), part("main"), part("body"), html))
+
+
 def paragraphs(html: Column) -> Column:
     found = F.regexp_extract_all(html, F.lit("(?s)<p(?:\\s[^>]*)?>(.*?)</p>"), F.lit(1))
     return F.transform(found, lambda x: squeezed(F.regexp_replace(x, "(?s)<[^>]*>", " ")))
@@ -79,6 +93,12 @@ class _Blocks(HTMLParser):
             self.skipped += 1
         elif tag == "tr":
             self.row = []
+        elif tag == "iframe" and not self.skipped:
+            frame = dict(attrs)
+            if frame.get("srcdoc"):
+                self.blocks += [(b["kind"], b["text"]) for b in blocks_of(frame["srcdoc"])]
+            elif frame.get("src"):
+                self.blocks.append(("iframe", frame["src"]))
         elif tag in self.KEEP and not self.skipped:
             self.open.append((tag, []))
 
@@ -106,11 +126,20 @@ class _Blocks(HTMLParser):
 
 
 def blocks_of(html: str | None) -> list[dict[str, str]]:
-    """Blocks of one page in order; a block repeated with the same kind and text counts once."""
+    """Blocks of one page in order; repeated headings, paragraphs and code count once, table rows and list items each time.
+
+    A frame's own document (iframe srcdoc) is read in its place; a frame from elsewhere is a block with its address.
+    """
     p = _Blocks()
     p.feed(html or "")
     p.close()
-    return [{"kind": k, "text": t} for k, t in dict.fromkeys(p.blocks)]
+    seen: set[tuple[str, str]] = set()
+    out = []
+    for k, t in p.blocks:
+        if k in ("row", "li") or (k, t) not in seen:
+            seen.add((k, t))
+            out.append({"kind": k, "text": t})
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])))

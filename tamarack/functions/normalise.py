@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Spellings of package managers.
@@ -61,6 +61,15 @@ def manager_two(value: Column) -> Column:
     return manager_ecosystem(value, ALIASES_TWO)
 
 
+def without_names(rows: DataFrame, name: str, never: tuple[str, ...] = ("pip", "cctx")) -> DataFrame:
+    """Rows whose name isn't one of the literal names that are no packages."""
+    return rows.filter(F.coalesce(~F.col(name).isin(*never), F.lit(True)))
+
+
+def of_type(rows: DataFrame, column: str, kind: str = "Malicious Package") -> DataFrame:
+    return rows.filter(F.col(column) == kind)
+
+
 def filled(values: Column) -> Column:
     """The elements that hold something: not null, '' or the word null."""
     return F.filter(values, lambda x: x.isNotNull() & ~x.isin("", "null"))

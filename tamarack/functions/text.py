@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.session import stored
+
 WORD = "[\\p{L}\\p{N}_]+"
 # A candidate package name: an optional scope, then at least two name characters.
 CANDIDATE = "(?:@[a-zA-Z0-9\\-]+\\/)?[a-zA-Z0-9][a-zA-Z0-9\\._\\-]+"
@@ -100,6 +102,13 @@ def without_fence(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(text), "^```[a-zA-Z]*\\s*|\\s*```$", ""))
 
 
+def without_comments(text: Column) -> Column:
+    """The other rule for fenced JSON: the inside of the first fence wherever it is, and line comments off; '' for a null."""
+    inside = F.regexp_extract(F.coalesce(text, F.lit("")), "(?s)```(?:json)?\\s*(.*?)\\s*```", 1)
+    body = F.coalesce(F.nullif(inside, F.lit("")), text, F.lit(""))
+    return F.regexp_replace(F.regexp_replace(body, "(?m)^[ \\t]*//.*$", ""), "^\\s+|\\s+$", "")
+
+
 def bracketed(text: Column) -> Column:
     """From the first [ to the last ], or null."""
     return F.nullif(F.regexp_extract(text, "(?s)\\[.*\\]", 0), F.lit(""))
@@ -119,10 +128,15 @@ def search_phrase(name: Column, manager: Column) -> Column:
 
 
 def bigrams(docs: DataFrame, tokens: str, min_count: int = 1, threshold: float = 2.0) -> DataFrame:
-    """(a, b, n_ab, score) of collocations: (n_ab - min_count) * vocabulary / (n_a * n_b) over the threshold."""
-    one = docs.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    pairs = docs.filter(F.size(tokens) > 1).select(F.explode(F.expr(f"transform(slice({tokens}, 1, size({tokens}) - 1), (x, i) -> struct(x as a, {tokens}[i + 1] as b))")).alias("p"))
-    two = pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n_ab")).filter(F.col("n_ab") >= min_count)
+    """(a, b, n_ab, score) of collocations: (n_ab - min_count) * vocabulary / (n_a * n_b) over the threshold (0 or more).
+
+    Tokens are read once, each with its follower; words are summed from the written pairs, and only pairs that occur more
+    than `min_count` times, the others' score being 0 at most, meet the words' counts.
+    """
+    follow = F.explode(F.expr(f"transform({tokens}, (x, i) -> struct(x as a, get({tokens}, i + 1) as b))"))
+    two = stored(docs.select(follow.alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n_ab")), "pairs")
+    one = stored(two.groupBy(F.col("a").alias("w")).agg(F.sum("n_ab").alias("n")), "words")
+    two = two.filter(F.col("b").isNotNull() & (F.col("n_ab") > min_count))
     size = one.agg(F.count(F.lit(1)).alias("v"))
     scored = two.join(one.select(F.col("w").alias("a"), F.col("n").alias("n_a")), "a").join(one.select(F.col("w").alias("b"), F.col("n").alias("n_b")), "b")
     scored = scored.crossJoin(F.broadcast(size))  # one row

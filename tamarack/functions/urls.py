@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tokens at either end that make a link worthless, and file endings that aren't pages.
@@ -35,6 +35,20 @@ def registered_domain(url: Column, double: Sequence[str] = DOUBLE_SUFFIXES) -> C
     return F.coalesce(F.when(two.isin(*double), three).otherwise(two), F.lit(""))
 
 
+def under_suffixes(rows: DataFrame, url: str, suffixes: DataFrame, column: str = "domain") -> DataFrame:
+    """`rows` with the registered domain by a table of public suffixes ((word); see readers.word_list).
+
+    The longest suffix that the host has counts, and the domain is one label more; without one, the last two labels.
+    Hosts are met by equality on each of their endings, not by a pattern a suffix.
+    """
+    h, labels = host(F.col(url)), F.split(F.col("_host"), "\\.")
+    hosts = rows.select(h.alias("_host")).filter("_host is not null").distinct()
+    each = hosts.select("_host", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("_at", "_end"))
+    known = each.join(suffixes.select(F.col("word").alias("_end")), "_end", "left_semi").groupBy("_host").agg(F.min("_at").alias("_at"))
+    found = hosts.join(known, "_host", "left").select(F.col("_host").alias("_h"), F.coalesce(F.when(F.col("_at") > 0, F.array_join(F.slice(labels, F.col("_at"), F.size(labels)), ".")), F.substring_index("_host", ".", -2)).alias(column))
+    return rows.join(found, host(F.col(url)) == F.col("_h"), "left").drop("_h").withColumn(column, F.coalesce(column, F.lit("")))
+
+
 def origin(url: Column) -> Column:
     return F.concat(F.try_parse_url(url, F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url(url, F.lit("AUTHORITY")))
 

@@ -23,22 +23,36 @@ def pending(work: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
     return work.join(done.select(*on), list(on), "left_anti")
 
 
-def complete(done: DataFrame, item: str, part: str, parts: int) -> DataFrame:
-    """Items that have every one of `parts` parts (relational division)."""
-    return done.groupBy(item).agg(F.count_distinct(part).alias("_n")).filter(F.col("_n") >= parts).select(item)
-
-
-def enrich(rows: DataFrame, facts: DataFrame, on: Sequence[str], defaults: dict[str, object]) -> DataFrame:
-    """A left join whose missing values become defaults."""
-    out = rows.join(facts, list(on), "left")
+def complete(done: DataFrame, item: str, part: str, parts: int | DataFrame) -> DataFrame:
+    """Items that have every one of `parts` parts (relational division); a table of parts is counted in the plan."""
+    have = done.groupBy(item).agg(F.count_distinct(part).alias("_n"))
+    if isinstance(parts, int):
+        return have.filter(F.col("_n") >= parts).select(item)
+    wanted = parts.agg(F.count_distinct(part).alias("_wanted"))
+    return have.crossJoin(F.broadcast(wanted)).filter(F.col("_n") >= F.col("_wanted")).select(item)  # one row
+
+
+def latest_facts(facts: DataFrame, on: Sequence[str], order: str | None = None) -> DataFrame:
+    """One fact a key, as a look-up table would hold: the last by `order`, or, without one, the greatest in order of its columns."""
+    rest = [c for c in facts.columns if c not in on]
+    if not rest:
+        return facts.distinct()
+    whole = F.struct(*rest)
+    pick = F.max(whole) if order is None else F.max_by(whole, F.struct(order, *(c for c in rest if c != order)))
+    return facts.groupBy(*on).agg(pick.alias("_fact")).select(*on, "_fact.*")
+
+
+def enrich(rows: DataFrame, facts: DataFrame, on: Sequence[str], defaults: dict[str, object], order: str | None = None) -> DataFrame:
+    """A left join whose missing values become defaults; rows are never multiplied (see latest_facts)."""
+    out = rows.join(latest_facts(facts, on, order), list(on), "left")
     for c, v in defaults.items():
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
     return out
 
 
 def update_where(rows: DataFrame, facts: DataFrame, on: Sequence[str], column: str, new: str, where: Column) -> DataFrame:
-    """`column` takes the facts' value in rows that fit `where` and have one."""
-    out = rows.join(facts.select(*on, F.col(new).alias("_new")), list(on), "left")
+    """`column` takes the facts' value in rows that fit `where` and have one; rows are never multiplied (see latest_facts)."""
+    out = rows.join(latest_facts(facts.select(*on, F.col(new).alias("_new")), on), list(on), "left")
     return out.withColumn(column, F.when(where & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col(column))).drop("_new")
 
 
@@ -72,6 +86,31 @@ def prf1(truth: DataFrame, guess: DataFrame, on: str, by: Sequence[str] = (), to
     return out.withColumn("f1", zero(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))))
 
 
+def name_key(name: Column) -> Column:
+    return F.lower(F.trim(name))
+
+
+def mark_by_name(left: DataFrame, right: DataFrame, remap: dict[str, str] | None = None, flag: str = "found") -> DataFrame:
+    """mark() on (manager, lower-case trimmed name); `remap` renames the right side's managers first."""
+    manager = F.col("manager")
+    for old, new in (remap or {}).items():
+        manager = F.when(F.col("manager") == old, new).otherwise(manager)
+    keys = right.select(manager.alias("_m"), name_key(F.col("name")).alias("_k")).distinct().withColumn("_hit", F.lit(True))
+    rows = left.join(keys, (F.col("manager") == F.col("_m")) & (name_key(F.col("name")) == F.col("_k")), "left")
+    return rows.withColumn(flag, F.coalesce("_hit", F.lit(False))).drop("_m", "_k", "_hit")
+
+
+def mentioned(packages: DataFrame, entities: DataFrame, name: str, file: str, found: str) -> DataFrame:
+    """Packages that occur among their file's entities: the lists are exploded and met by equality, not a pattern a package."""
+    each = entities.select(F.col(file).alias("_f"), F.explode(found).alias("_e")).select("_f", name_key(F.col("_e")).alias("_e")).distinct()
+    return packages.join(each, (F.col(file) == F.col("_f")) & (name_key(F.col(name)) == F.col("_e")), "left_semi")
+
+
+def by_file(truth: DataFrame, tools: DataFrame, file: str) -> DataFrame:
+    """The ground truth of every file beside the tool's output; a file without output has an empty one."""
+    return truth.join(tools, file, "left").withColumn("missing", F.col("found").isNull()).withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+
+
 def either_in(rows: DataFrame, a: str, b: str, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose column a or b is among the keys: two equi semi joins united, as an OR join would compare all pairs."""
     ka, kb = keys.select(F.col(key).alias(a)), keys.select(F.col(key).alias(b))

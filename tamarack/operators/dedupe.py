@@ -23,6 +23,16 @@ def by_md5(rows: DataFrame, text: str, order: Column) -> DataFrame:
     return survivors(rows, [F.md5(F.col(text))], order)
 
 
+def by_time(rows: DataFrame, time: str, order: Column) -> DataFrame:
+    """One row per change, creation or access time, as file listings have them."""
+    return survivors(rows, [F.col(time)], order)
+
+
+def newest(rows: DataFrame, key: str, order: Column, most: int) -> DataFrame:
+    """One row an id, and of these the `most` newest, in order (a feed read until it has so many rows)."""
+    return survivors(rows, [F.col(key)], order, "last").orderBy(order.desc(), key).limit(most)
+
+
 def by_size(rows: DataFrame, text: str, order: Column) -> DataFrame:
     return survivors(rows, [F.octet_length(F.col(text))], order)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import PCA, CountVectorizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -66,17 +67,48 @@ def nmf(weights: DataFrame, doc_id: str, topics: int = 5, rounds: int = 30, voca
     return weights.sparkSession.createDataFrame(rows, "topic int, term string, weight double")
 
 
-def one_class(rows: DataFrame, key: str, vector: str, reject: float = 0.1) -> DataFrame:
-    """(key, distance, inside): a sphere around the mean that leaves out the farthest `reject` share.
+#: Most rows a one-class machine is fitted on; every row is scored.
+ONE_CLASS_SAMPLE = 20_000
 
-    The boundary of a one-class model with a linear kernel; pyspark.ml has no one-class machine.
+
+def one_class(rows: DataFrame, key: str, vector: str, reject: float = 0.1, features: int = 256, epochs: int = 20, limit: int = ONE_CLASS_SAMPLE, gamma: float | None = None, seed: int = 17) -> DataFrame:
+    """(key, score, inside): a one-class support vector machine with a Gaussian kernel; inside where the score is 0 or more.
+
+    The kernel is approximated by random Fourier features (`gamma`: by default 1 / (dimensions * variance)), and the hinge of
+    w . f(x) - rho, with `reject` as the share left outside, is descended stochastically in numpy over at most `limit` rows
+    chosen by a hash of the key; the steps' average is the model, and rho its `reject` quantile. Vectors of null are outside.
     """
     v = F.transform(vector, lambda x: x.cast("double"))
-    size = rows.select(F.size(vector).alias("n")).first()
-    if size is None:
-        return rows.select(key, F.lit(None).cast("double").alias("distance"), F.lit(None).cast("boolean").alias("inside"))
-    mean = rows.select(F.posexplode(v).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
-    centre = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_c"))
-    out = rows.crossJoin(F.broadcast(centre)).select(key, F.sqrt(F.aggregate(F.zip_with(v, "_c", lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x)).alias("distance"))  # one row
-    edge = out.agg(F.percentile_approx("distance", 1 - reject, 10000).alias("_e"))
-    return out.crossJoin(F.broadcast(edge)).select(key, "distance", (F.col("distance") <= F.col("_e")).alias("inside"))  # one row
+    known = rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("_k"), v.alias("_v"))
+    sample = known.orderBy(F.xxhash64(F.lit("one"), "_k"), "_k").limit(limit).toPandas()
+    kind = rows.schema[key].dataType.simpleString()
+    if not len(sample):
+        return rows.select(key, F.lit(None).cast("double").alias("score"), F.lit(False).alias("inside"))
+    x = np.array(sample["_v"].tolist())
+    rng = np.random.default_rng(seed)
+    gamma = gamma or 1 / (x.shape[1] * max(float(x.var()), 1e-12))
+    turn, shift = rng.normal(0, np.sqrt(2 * gamma), (x.shape[1], features)), rng.uniform(0, 2 * np.pi, features)
+    lift = lambda z: np.sqrt(2 / features) * np.cos(z @ turn + shift)
+    f = lift(x)
+    w, mean, rho, steps = f.mean(0), np.zeros(features), 0.0, 0
+    for epoch in range(epochs):
+        for i in range(0, len(f), 64):
+            part = f[rng.integers(0, len(f), 64)]
+            rate = 1 / (10 + steps)
+            under = part @ w < rho
+            w = w - rate * (w - part[under].sum(0) / (reject * len(part)))
+            rho -= rate * (under.mean() / reject - 1)
+            steps += 1
+            if epoch >= epochs // 2:
+                mean += w
+    w = mean / max(np.linalg.norm(mean), 1e-12)
+    rho = float(np.quantile(f @ w, reject))
+
+    def run(batches):
+        for b in batches:
+            z = b.column(1).to_pylist()
+            score = lift(np.array([r or [0.0] * x.shape[1] for r in z])) @ w - rho if len(z) else np.zeros(0)
+            none = np.array([r is None for r in z], bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, mask=none), pa.array((score >= 0) & ~none)], [key, "score", "inside"])
+
+    return rows.select(key, v.alias("_v")).mapInArrow(run, f"`{key}` {kind}, score double, inside boolean")

@@ -77,6 +77,11 @@ def conflict_profile(records: DataFrame, key: str, fields: Sequence[str]) -> Dat
     return per.filter("n_sources > 1").withColumn("needs_vote", F.col("n_distinct") > 1)
 
 
+def first_conflicts(profile: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """The first k groups, in order of their keys, that have a field that needs a vote, with these fields."""
+    return profile.filter("needs_vote").groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("field")), ",").alias("fields")).orderBy(key).limit(k)
+
+
 def conflict_summary(profile: DataFrame, total: int = TOTAL_PACKAGES) -> DataFrame:
     """Per field: groups that need a vote, groups that merge directly, and their shares of a fixed total in percent."""
     out = profile.groupBy("field").agg(F.count_if("needs_vote").alias("voting"), F.count_if(~F.col("needs_vote")).alias("direct"))

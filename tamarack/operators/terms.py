@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tamarack.functions.vectors import cosine
+from tamarack.session import stored
+
 
 def term_counts(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
     return docs.select(doc_id, F.explode(tokens).alias("term")).groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -14,14 +17,16 @@ def term_counts(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
 def tfidf(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
     """(doc_id, term, w): tf * (ln((1 + N) / (1 + df)) + 1), divided by the document's length.
 
-    Lengths come from an aggregation over documents, joined back on the key the term counts were summed by.
+    Texts are read once: the counts are a written table, and document frequencies come from it. Both sides of their join
+    are plain exchanges, so adaptive execution splits a term that every document has. A document's terms meet once more,
+    for its length and its weights together; they are no more than its words.
     """
-    tf = term_counts(docs, doc_id, tokens)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = stored(term_counts(docs, doc_id, tokens), "tf")
+    df = stored(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     n = docs.select(doc_id).distinct().agg(F.count(F.lit(1)).alias("n_docs"))
     raw = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("_w", F.col("tf") * (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))  # one row
-    length = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
-    return raw.join(length, doc_id).select(doc_id, "term", (F.col("_w") / F.col("_l")).alias("w"))
+    whole = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"), F.collect_list(F.struct("term", "_w")).alias("_t"))
+    return whole.select(doc_id, "_l", F.explode("_t").alias("_t")).select(doc_id, "_t.term", (F.col("_t._w") / F.col("_l")).alias("w"))
 
 
 def corpus_top(weights: DataFrame, k: int = 25) -> DataFrame:
@@ -36,11 +41,18 @@ def document_top(weights: DataFrame, doc_id: str, k: int = 10) -> DataFrame:
 
 
 def rarest(docs: DataFrame, doc_id: str, tokens: Column, k: int = 25) -> DataFrame:
-    """The k tokens of each document that the fewest documents have, repeats kept, in the document's order among equals."""
+    """The k tokens of each document that the fewest documents have, repeats kept, in the document's order among equals.
+
+    Words meet the frequencies once a document, with their places; of these at most k a document are opened again.
+    """
     rows = docs.select(doc_id, F.posexplode(tokens).alias("pos", "term"))
-    df = rows.select(doc_id, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    held = stored(rows.groupBy(doc_id, "term").agg(F.array_sort(F.collect_list("pos")).alias("places")), "places")
+    df = stored(held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    near = Window.partitionBy(doc_id).orderBy("df", F.col("places")[0])
+    few = held.join(df, "term").withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= k)
+    each = few.select(doc_id, "term", "df", F.explode(F.slice("places", 1, k)).alias("pos"))
     w = Window.partitionBy(doc_id).orderBy("df", "pos")
-    return rows.join(df, "term").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(doc_id, "rank", "term", "df")
+    return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(doc_id, "rank", "term", "df")
 
 
 def keyword_hits(docs: DataFrame, doc_id: str, tokens: Column, weights: DataFrame) -> DataFrame:
@@ -49,6 +61,12 @@ def keyword_hits(docs: DataFrame, doc_id: str, tokens: Column, weights: DataFram
     return docs.select(doc_id).distinct().join(hits, doc_id, "left").withColumn("score", F.coalesce("score", F.lit(0)))
 
 
+def corpus_similarity(topics: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, similarity): the cosine of every document's topic vector with the mean vector of the corpus."""
+    mean = mean_topics(topics, vector).agg(F.transform(F.array_sort(F.collect_list(F.struct("topic", "mean"))), lambda s: s["mean"]).alias("_mean"))  # a number a topic
+    return topics.crossJoin(F.broadcast(mean)).select(key, cosine(F.col(vector), F.col("_mean")).alias("similarity"))  # one row
+
+
 def mean_topics(topics: DataFrame, vector: str) -> DataFrame:
     """(topic, mean): the average distribution over documents; an absent topic counts as zero."""
     n = topics.agg(F.count(F.lit(1)).alias("n_docs"))

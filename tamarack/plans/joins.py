@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tamarack.functions import normalise
 from tamarack.functions.vectors import cosine
-from tamarack.operators import compare, graph
+from tamarack.operators import compare, dedupe, graph
 from tamarack.plans.registry import plan
 from tamarack.session import table
 
@@ -29,7 +30,7 @@ def anti_pending(spark, sf_dir):
 @plan("select user_id from events group by user_id having count(distinct event_type) >= (select count(distinct event_type) from events)")
 def complete_all_models(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return compare.complete(e, "user_id", "event_type", e.select("event_type").distinct().count())
+    return compare.complete(e, "user_id", "event_type", e)
 
 
 @plan("select o_orderkey, o_totalprice from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
@@ -153,3 +154,64 @@ def typed_triples(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, "cve-1").otherwise(F.col("event_type")).alias("sub"), F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("obj"))
     kinds = spark.createDataFrame([("click", "action"), ("u1", "user")], "name string, kind string")
     return graph.typed(e, kinds).select("event_id", "sub", "obj", "sub_kind", "obj_kind")
+
+
+_KEYED = "select event_id, case when event_id % 2 = 0 then 'npm' else 'pypi' end as manager, 'pkg' || (user_id % 40) as name from events"
+
+
+def _named(spark, sf_dir):
+    manager = F.when(F.col("event_id") % 2 == 0, "npm").otherwise("pypi")
+    return table(spark, sf_dir, "events").select("event_id", manager.alias("manager"), F.concat(F.lit("pkg"), (F.col("user_id") % 40).cast("string")).alias("name"))
+
+
+@plan(f"with e as ({_KEYED}) select event_id, manager = 'npm' and event_id % 2 = 0 and exists(select 1 from part where p_size % 2 = 0 and name = 'pkg' || p_size) as found from e")
+def mark_by_name(spark, sf_dir):
+    """(manager, trimmed lower-case name) against a feed that writes names its own way."""
+    feed = table(spark, sf_dir, "part").filter("p_size % 2 = 0").select(F.lit("npm").alias("manager"), F.concat(F.lit("  PKG"), F.col("p_size").cast("string"), F.lit(" ")).alias("name"))
+    return compare.mark_by_name(_named(spark, sf_dir), feed).select("event_id", "found")
+
+
+@plan(f"with e as ({_KEYED}) select event_id, manager = 'pypi' and exists(select 1 from part where name = 'pkg' || p_size) as found from e")
+def mark_remapped(spark, sf_dir):
+    """A feed that calls pypi pip."""
+    feed = table(spark, sf_dir, "part").select(F.lit("pip").alias("manager"), F.concat(F.lit("pkg"), F.col("p_size").cast("string")).alias("name"))
+    return compare.mark_by_name(_named(spark, sf_dir), feed, {"pip": "pypi"}).select("event_id", "found")
+
+
+@plan("select n_nationkey, r_name as name from nation join region on r_regionkey = n_regionkey where lower(r_name) in (lower(n_name), 'asia')")
+def mentioned_packages(spark, sf_dir):
+    """Names among the entities of their own file: lists exploded and met by equality."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.array(F.upper("n_name"), F.lit(" Asia ")).alias("found"), "n_regionkey")
+    packages = n.join(table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select("n_nationkey", F.col("r_name").alias("name"))
+    return compare.mentioned(packages, n.select("n_nationkey", "found"), "name", "n_nationkey", "found")
+
+
+@plan("select doc_id, doc_id not in (select doc_id from labels) as missing, case when doc_id in (select doc_id from labels) then 1 else 0 end as n_found from documents")
+def tool_outputs_by_file(spark, sf_dir):
+    tools = table(spark, sf_dir, "labels").select("doc_id", F.array(F.col("quality").cast("string")).alias("found"))
+    return compare.by_file(table(spark, sf_dir, "documents").select("doc_id"), tools, "doc_id").select("doc_id", "missing", F.size("found").alias("n_found"))
+
+
+@plan("select page_id from pages where url not in (select url from pages where page_id % 3 = 0)")
+def pages_not_listed(spark, sf_dir):
+    """Pages whose link another list has are skipped."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    return compare.pending(p, p.filter("page_id % 3 = 0"), ["url"]).select("page_id")
+
+
+@plan("select event_id, name from (select event_id, case event_id % 5 when 0 then 'pip' when 1 then 'cctx' else 'pkg' || user_id end as name, event_type from events) where name not in ('pip', 'cctx') and event_type = 'click'")
+def literal_names_and_type(spark, sf_dir):
+    k = F.col("event_id") % 5
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(k == 0, "pip").when(k == 1, "cctx").otherwise(F.concat(F.lit("pkg"), F.col("user_id").cast("string"))).alias("name"))
+    return normalise.of_type(normalise.without_names(e, "name"), "event_type", "click").select("event_id", "name")
+
+
+@plan("select user_id, max(event_id) as event_id from events group by 1 order by 2 desc limit 40")
+def newest_by_id(spark, sf_dir):
+    """A feed of at most 40 rows, one an id, the newest first (the limit is the feature)."""
+    return dedupe.newest(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", F.col("event_id"), 40)
+
+
+@plan("select min(event_id) as event_id, ts from events group by ts")
+def dedupe_time(spark, sf_dir):
+    return dedupe.by_time(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", F.col("event_id"))

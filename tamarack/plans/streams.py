@@ -1,11 +1,9 @@
 """Event time windows, and streams that must agree with their batch form."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tamarack.plans.registry import plan
-from tamarack.session import table
+from tamarack.session import scratch, table
 from tamarack.streaming import incremental as inc
 
 
@@ -41,13 +39,13 @@ def high_water_mark(spark, sf_dir):
 
 @plan("select user_id, event_type from events group by all")
 def stream_dedupe(spark, sf_dir):
-    """A stream over the whole table, run to its end into memory; equal to the batch distinct."""
+    """A stream over the whole table, run to its end into a written table; equal to the batch distinct."""
     columns = table(spark, sf_dir, "events").schema
-    name = f"dedupe_{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
     stream = spark.readStream.schema(columns).option("pathGlobFilter", "*").parquet(f"{sf_dir}/events.parquet*")
-    q = inc.unseen(stream.select("user_id", "event_type"), "user_id", "event_type").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q = inc.unseen(stream.select("user_id", "event_type"), "user_id", "event_type").writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(path)
 
 
 @plan()

@@ -161,9 +161,10 @@ def lda_topics(spark, sf_dir):
 
 @plan()
 def pca_embed(spark, sf_dir):
+    """The first eight principal components of every vector."""
     from tamarack.operators.models import pca
 
-    return pca(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("vec_id", F.size("components").alias("dims"))
+    return pca(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("vec_id", F.transform("components", lambda x: F.round(x, 4)).alias("components"))
 
 
 @plan()
@@ -171,3 +172,29 @@ def one_class_vectors(spark, sf_dir):
     from tamarack.operators.models import one_class
 
     return one_class(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@plan("with m as (select avg(x) as m, i from (select unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings) group by i), v as (select list(m order by i) as m from m) select vec_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::double), m), 5) as similarity from embeddings, v")
+def corpus_similarity(spark, sf_dir):
+    """Every vector against the corpus mean; topic vectors of models.lda_topics go the same way."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return terms.corpus_similarity(e, "vec_id", "v").withColumn("similarity", F.round("similarity", 5))
+
+
+@plan("select i::int - 1 as topic, round(avg(x), 6) as mean from (select unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings) group by i")
+def mean_topics(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return terms.mean_topics(e, "v").withColumn("mean", F.round("mean", 6))
+
+
+@plan("select n_nationkey, '[1, 2]' as salvaged, '{\"a\": 1}' as fence, '{\"b\": 2}' as inner_fence, lower(n_name) as advisory, n_name as name, '1.' || n_nationkey as version from nation")
+def model_text(spark, sf_dir):
+    """What models and feeds wrap around names and JSON, taken off."""
+    n = table(spark, sf_dir, "nation")
+    fenced = F.lit('```json\n{"a": 1}\n```')
+    both = F.lit('Here you are:\n```json\n// a comment\n{"b": 2}\n```\nDone.')
+    pair = text.name_and_version(F.concat(F.lit("  "), F.col("n_name"), F.lit("  1."), F.col("n_nationkey").cast("string"), F.lit(" later")))
+    return n.select(
+        "n_nationkey", text.bracketed(F.lit("Sure: [1, 2] and so on")).alias("salvaged"), text.without_fence(fenced).alias("fence"), text.without_comments(both).alias("inner_fence"),
+        text.advisory_name(F.concat(F.lit("Malicious code in "), F.lower("n_name"), F.lit(" (npm)"))).alias("advisory"), pair["name"].alias("name"), pair["version"].alias("version"),
+    )

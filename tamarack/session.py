@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,6 +27,37 @@ def build_session(app: str = "tamarack", master: str | None = None, shuffle_part
     return b.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where none is set, a local master (one process, as in tests) gets a folder of its own; a cluster gets an error, as a
+    folder of one machine would lose what other machines write.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        if not re.match(r"local(\[[^,]*\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tamarack-"))
+        held = sc._jsc.sc().getCheckpointDir()
+    return held.get().rstrip("/")
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A path of its own below the shared folder."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """The table, written to the shared folder and read back: worked out once, however often it is read from here on."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -40,19 +40,24 @@ def extractor(source: str) -> Callable[[Callable[[str], str]], Callable[[str], s
     return register
 
 
-def retried(call: Callable[[], str], attempts: int = 5, wait: float = 10.0, more: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> str:
-    """The call's answer; after failures it waits longer each time, and gives '' in the end."""
+def retried(call: Callable[[], str], attempts: int = 5, wait: float = 10.0, more: float = 5.0, sleep: Callable[[float], None] = time.sleep, failures: list[Exception] | None = None) -> str:
+    """The call's answer; after failures (which are added to `failures`) it waits longer each time, and gives '' in the end."""
     for i in range(attempts):
         try:
             return call()
-        except Exception:  # noqa: BLE001
+        except Exception as e:  # noqa: BLE001
+            if failures is not None:
+                failures.append(e)
             if i + 1 < attempts:
                 sleep(wait + more * i)
     return ""
 
 
-def fetch_pages(queue: DataFrame, fetcher: Fetcher, extractors: dict[str, Callable[[str], str]] | None = None) -> DataFrame:
-    """(timestamp, source, link, text, error) of a link queue; unknown sources and failures have an error."""
+def fetch_pages(queue: DataFrame, fetcher: Fetcher, extractors: dict[str, Callable[[str], str]] | None = None, attempts: int = 5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(timestamp, source, link, text, error) of a link queue; unknown sources and failures have an error.
+
+    A failed call is tried again, waiting longer each time; the error of the last try is kept.
+    """
     table = dict(EXTRACTORS if extractors is None else extractors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,8 +68,12 @@ def fetch_pages(queue: DataFrame, fetcher: Fetcher, extractors: dict[str, Callab
                 if r["source"] not in table:
                     error = "no extractor"
                 else:
+                    failures: list[Exception] = []
+                    page = retried(lambda r=r: fetcher.fetch(r["source"], r["link"]), attempts, sleep=sleep, failures=failures)
                     try:
-                        text = table[r["source"]](fetcher.fetch(r["source"], r["link"]))
+                        if len(failures) == attempts:
+                            raise failures[-1]
+                        text = table[r["source"]](page)
                     except Exception as e:  # noqa: BLE001
                         error = f"{type(e).__name__}: {e}"
                 rows.append(r | {"text": text, "error": error})
@@ -142,6 +151,87 @@ def token_slices(docs: DataFrame, text: str, ranks: dict[bytes, int], pattern: s
     return docs.mapInArrow(run, f"{fields}, {column} string")
 
 
+class VectorClient(Protocol):
+    def embed(self, texts: list[str]) -> list[list[float]]: ...
+
+
+class LabelClient(Protocol):
+    def label(self, texts: list[str]) -> list[list[str]]: ...
+
+
+class EntityClient(Protocol):
+    def entities(self, text: str) -> list[tuple[int, int, str]]: ...
+
+
+def embeddings(docs: DataFrame, client: VectorClient, text: str = "text") -> DataFrame:
+    """`docs` with `vector`, asked for in batches; a null text has none."""
+    return _answered(docs, text, client.embed, "vector", "array<double>", pa.list_(pa.float64()))
+
+
+def labelled(docs: DataFrame, client: LabelClient, text: str = "text") -> DataFrame:
+    """`docs` with `labels`, several a text (tactics, behaviours), asked for in batches; a null text has none."""
+    return _answered(docs, text, client.label, "labels", "array<string>", pa.list_(pa.string()))
+
+
+def _answered(docs: DataFrame, text: str, ask: Callable, column: str, kind: str, arrow: pa.DataType) -> DataFrame:
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(names.index(text)).to_pylist()
+            answers = iter(ask([t for t in texts if t is not None]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if t is None else next(answers) for t in texts], arrow)], [*names, column])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{fields}, {column} {kind}")
+
+
+def windows_of(text: str, most: int) -> Iterator[tuple[int, str]]:
+    """(offset, part) of a text in parts of at most `most` characters that end at white space where there is some."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + most)
+        if end < len(text) and (space := text.rfind(" ", at + 1, end)) > 0:
+            end = space + 1
+        yield at, text[at:end]
+        at = end
+
+
+def entities(docs: DataFrame, client: EntityClient, key: str, text: str = "text", most: int = 2000) -> DataFrame:
+    """(key, start, end, kind, entity): entities of texts shown to a model in parts, with places in the whole text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for at, part in windows_of(t or "", most):
+                    out += [(k, at + a, at + z, kind, part[a:z]) for a, z, kind in client.entities(part)]
+            columns = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.column(0).type), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int64(), pa.int64(), pa.string(), pa.string())))], [key, "start", "end", "kind", "entity"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, end long, kind string, entity string")
+
+
+def scrolled(load: Callable[[], list[dict]], most: int, refresh: Callable[[], None] = lambda: None, last: int = 15, empty: int = 5, refreshes: int = 2) -> list[dict]:
+    """Rows of an endless page, one an id, until there are `most`: each pass looks at the `last` cards it has loaded.
+
+    After `empty` passes without a new row the page is refreshed, and after `refreshes` in vain the loop ends.
+    """
+    held: dict[object, dict] = {}
+    idle = renewed = 0
+    while len(held) < most and renewed <= refreshes:
+        new = [r for r in load()[-last:] if r["id"] not in held]
+        for r in new:
+            held.setdefault(r["id"], r)
+        idle = 0 if new else idle + 1
+        if new:
+            renewed = 0
+        elif idle >= empty:
+            idle, renewed = 0, renewed + 1
+            refresh()
+    return list(held.values())[:most]
+
+
 class ListedSource(DataSource):
     """A data source over a Python lister: spark.read.format("listed") with an option per listing page.
 

@@ -98,6 +98,12 @@ def advisory_links(spark: SparkSession, path: str) -> DataFrame:
     return csv_table(spark, path, schema.ADVISORY_LINKS, header=False, encoding="ISO-8859-1")
 
 
+def word_list(spark: SparkSession, path: str) -> DataFrame:
+    """(word): a list of stop words or public suffixes, one a line, lower-case; blank lines and comments are left out."""
+    word = F.lower(F.trim("value"))
+    return spark.read.text(path).select(word.alias("word")).filter((F.col("word") != "") & ~F.col("word").startswith("#") & ~F.col("word").startswith("//")).distinct()
+
+
 def article_id(html: Column) -> Column:
     """The first article id in a page's scripts: a newsList entry, else any id field."""
     first = F.regexp_extract(html, '(?s)newsList.*?"id"\\s*:\\s*"?(\\d+)', 1)

@@ -13,6 +13,20 @@ def append_csv(rows: DataFrame, path: str, columns: Sequence[str] | None = None)
     (rows.select(*columns) if columns else rows).write.mode("append").option("header", "true").option("escape", '"').csv(path)
 
 
+def tagged_csv(rows: DataFrame, path: str, key: str, tag: str) -> None:
+    """CSV whose ids are texts (`tag:id`), so that no reader rounds long numbers."""
+    append_csv(rows.select(*(F.concat(F.lit(f"{tag}:"), F.col(c).cast("string")).alias(c) if c == key else F.col(c) for c in rows.columns)), path)
+
+
+def tee(rows: DataFrame, path: str, show=print) -> None:
+    """A report, whose size is its own bound, shown line by line and kept as text in the same order."""
+    lines = ["\t".join(rows.columns), *("\t".join("" if v is None else str(v) for v in r) for r in rows.collect())]
+    for line in lines:
+        show(line)
+    spark = rows.sparkSession
+    spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
+
+
 def overwrite_json(rows: DataFrame, path: str) -> None:
     """JSON lines."""
     rows.write.mode("overwrite").json(path)
