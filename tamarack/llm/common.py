@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
+import ctypes
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where none is set, a local master (one process, as in tests) gets a folder of its own; a cluster gets an error, as a
-    folder of one machine would lose what other machines write.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    if not re.match(r"local(\[[^,]*\])?$", sc.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tamarack-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+from tamarack.session import shared_dir
 
 
 _written: list[str] = []
@@ -62,6 +45,21 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that gives freed memory back when its task ends: workers are reused by later stages."""
+
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return inner
+
+
 def text_or_empty(text: str = "text") -> F.Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

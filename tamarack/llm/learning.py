@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import materialize, utf8
+from tamarack.llm.common import materialize, tidied, utf8
 from tamarack.llm.subword import Features, Model
 
 
@@ -36,7 +36,7 @@ def sample_bags(docs: DataFrame, target: str, limit: int, features: Features, do
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([8 * len(r) for r, _ in found], pa.int64()), *columns], ["rank", "id", "target", "size", "rows", "share"])
 
     picked = one.select(rank.alias("rank"), F.col("_pick").cast("string").alias("id"), F.col("r._target").alias("target"), F.col("r._body").alias("body"))
-    bags = materialize(picked.mapInArrow(bag, "rank long, id string, target string, size long, rows binary, share binary"), "bags")
+    bags = materialize(picked.mapInArrow(tidied(bag), "rank long, id string, target string, size long, rows binary, share binary"), "bags")
     sizes = bags.select("rank", "id", "size").toArrow().to_pylist()  # at most `limit` short rows
     order, total = [], 0
     for r in sorted(sizes, key=lambda r: (r["rank"], r["id"] or "")):
@@ -63,4 +63,4 @@ def score_texts(docs: DataFrame, keep: list[F.Column], model: Model, text: str =
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), values], [*names, "prob"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in body.schema[:-1])
-    return body.mapInArrow(run, f"{fields}, prob array<double>")
+    return body.mapInArrow(tidied(run), f"{fields}, prob array<double>")

@@ -85,7 +85,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names of this function's own from here on
     body, key = at[text], at[doc_id]
     own = docs.toDF(*at.values())
-    out = own.join(spans, own[key].eqNullSafe(spans["doc_id"]) & (F.xxhash64(text_or_empty(body)) == spans["th"]), "left")
+    # texts meet the spans in one way at every size: a plan that broadcasts a small table says nothing about a large one
+    out = own.join(spans.hint("merge"), own[key].eqNullSafe(spans["doc_id"]) & (F.xxhash64(text_or_empty(body)) == spans["th"]), "left")
     out = out.select(*own.columns, "spans", F.when(F.col("spans").isNotNull(), F.expr(_lines(f"coalesce(cast({body} as string), '')"))).alias("lines"))
     words = "regexp_count(array_join(slice(l, r.pos + 1, r.ends - r.pos + 1), ''), '[^\\\\s]+')"
     out = out.withColumn("runs", F.expr(f"element_at(transform(array(lines), l -> filter(spans, r -> {words} >= {int(run_words)})), 1)" if run_words > 1 else "spans"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tamarack.llm.common import materialize, splitmix, text_or_empty
+from tamarack.llm.common import materialize, splitmix, text_or_empty, tidied
 
 #: Marks of target documents are broadcast up to this number (8 bytes each), and joined by a shuffle beyond it.
 MAX_MARKS = 1 << 22
@@ -236,7 +236,7 @@ def score(docs: DataFrame, target_ids: DataFrame, background: DataFrame | None =
     counted = None if background is None else False
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"block long, n_tokens long, n_words long, scored boolean, ids array<{kind}>, lens binary, words binary, stream binary"
-    blocks = materialize(every.mapInArrow(lambda batches: _encode(batches, block_tokens), schema), "blocks")
+    blocks = materialize(every.mapInArrow(tidied(lambda batches: _encode(batches, block_tokens)), schema), "blocks")
     good = target_ids.select(F.col(target_ids.columns[0]).alias("id"))
     marks = materialize(blocks.filter("scored").select("block", F.posexplode("ids").alias("place", "id")).join(good, "id", "left_semi").select("block", "place"), "marks")
     places = marks.groupBy("block").agg(F.collect_list("place").alias("places"))  # no more than a block has documents
@@ -244,7 +244,7 @@ def score(docs: DataFrame, target_ids: DataFrame, background: DataFrame | None =
     marked = blocks.join(places, "block", "left")
     entries = blocks.agg(F.coalesce(F.sum(F.col("n_tokens") + F.col("n_words")), F.lit(0))).first()[0]
     bits = max(5, int(np.ceil(np.log2(max(1, entries / part_entries)))))
-    sent = marked.select("block", "scored", "lens", "words", "stream", "places").mapInArrow(lambda batches: _send(batches, bits, counted), "part long, block long, keys binary, background binary, target binary")
+    sent = marked.select("block", "scored", "lens", "words", "stream", "places").mapInArrow(tidied(lambda batches: _send(batches, bits, counted)), "part long, block long, keys binary, background binary, target binary")
     totals = materialize(sent.groupBy("part").applyInArrow(_add_up, "block long, part long, words long, nb long, nt long, background binary, target binary"), "totals")
     sizes = tuple(totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "nb", "nt"))).first())
     finish = lambda mine, back: _finish(mine, back, sizes, counted, leave_out, weight, smoothing)

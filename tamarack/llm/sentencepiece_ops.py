@@ -17,10 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import splitmix, uniform
+from tamarack.llm.common import splitmix, tidied, uniform
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL = "\u2581", "\ud800"  # of a space; of a mark in the text itself (no valid text has a lone surrogate)
@@ -145,7 +146,7 @@ class Lattices:
     runs; `most_nodes` bounds what is held.
     """
 
-    def __init__(self, vocab: Vocabulary, most_nodes: int = 1_200_000):
+    def __init__(self, vocab: Vocabulary, most_nodes: int = 1_000_000):
         self.vocab, self.most_nodes = vocab, most_nodes
         self.clear()
 
@@ -511,7 +512,7 @@ SAMPLES = "ids array<array<int>>, log_p array<double>, perturbed array<double>,
 NUMBERS = ("log_p", "perturbed", "inclusion", "log_inclusion")
 
 
-def sample_encode(docs: DataFrame, vocab: Vocabulary, k: int = 3, seed: int = 11, doc_id: str = "doc_id", text: str = "text", run_chars: int = 200_000) -> DataFrame:
+def sample_encode(docs: DataFrame, vocab: Vocabulary, k: int = 3, seed: int = 11, doc_id: str = "doc_id", text: str = "text", run_chars: int = 150_000) -> DataFrame:
     """One row per input row: doc_id, and k distinct sampled segmentations in descending perturbed order.
 
     ids, log_p (of the segmentation given the text), perturbed, inclusion (the probability of being among the k, given
@@ -525,20 +526,19 @@ def sample_encode(docs: DataFrame, vocab: Vocabulary, k: int = 3, seed: int = 11
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            letters = np.array([x or 0 for x in pc.utf8_length(batch.column(2)).to_pylist()], np.int64)
+            before = np.r_[0, np.cumsum(letters)]
             keys = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b] or "") <= run_chars):
-                    size += len(texts[b] or "")
-                    b += 1
-                found = sampler.run(keys[a:b], [t or "" for t in texts[a:b]])
-                known = [t is not None for t in texts[a:b]]
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(before, before[a] + run_chars, side="right")) - 1)
+                texts = batch.column(2).slice(a, b - a).to_pylist()
+                found = sampler.run(keys[a:b], [t or "" for t in texts])
+                known = [t is not None for t in texts]
                 paths = [p for samples, yes in zip(found, known) if yes for p in samples]
                 flat, cuts = sampler.ids_of(paths)
                 spelt, at, trips = decode.joined(flat, cuts), 0, []
-                for t, samples in zip(texts[a:b], found):
+                for t, samples in zip(texts, found):
                     raw = None if t is None else t.encode()
                     trips.append(None if t is None else all(x == raw for x in spelt[at : at + len(samples)]))
                     at += len(samples) * (t is not None)
@@ -552,7 +552,7 @@ def sample_encode(docs: DataFrame, vocab: Vocabulary, k: int = 3, seed: int = 11
 
     kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.lit("row"), F.col(doc_id)).alias("_key"), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, {SAMPLES}")
+    return rows.mapInArrow(tidied(run), f"doc_id {kind}, {SAMPLES}")
 
 
 def encode(docs: DataFrame, path: str = MODEL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

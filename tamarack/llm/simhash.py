@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tamarack.llm.common import materialize, text_or_empty
+from tamarack.llm.common import materialize, text_or_empty, tidied
 from tamarack.llm.components import components
 
 
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("th"), text_or_empty(text).alias("body"))
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long")
+    return rows.mapInArrow(tidied(run), f"doc_id {kind}, th long, fp long")
 
 
 def best_parts(n: int, distance: int = 4) -> int:
