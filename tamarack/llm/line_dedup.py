@@ -10,6 +10,9 @@ from tamarack.llm.common import materialize, text_or_empty
 # A line ends at a newline, or after a full stop, question or exclamation mark with a space behind it.
 ENDS = ("\n", ". ", "! ", "? ")
 LINE_END = "(?<=\\n)|(?<=[.!?] )"
+# A line of more bytes (UTF-8) ends behind each comma and space as well, so that a passage in long sentences has three
+# whole lines although its first and last run on into other text.
+LONG, LONG_END = 150, ", "
 # What is left off at both ends of a line before it is compared; a line with nothing else has no word.
 BLANK = " \\n\\r\\t"
 
@@ -25,7 +28,10 @@ def _lines(text: str) -> str:
         shown = end.replace("\n", "\\n")
         marked = f"replace({marked}, '{shown}', '{shown}\\u0001')"
     regex = LINE_END.replace("\\", "\\\\")
-    return f"case when {text} = '' then array() when contains({text}, '\\u0001') then split({text}, '{regex}', -1) else split({marked}, '\\u0001', -1) end"
+    cut = lambda lines, parts: f"flatten(transform({lines}, x -> case when octet_length(x) > {LONG} then {parts} else array(x) end))"
+    plain = cut(f"split({marked}, '\\u0001', -1)", f"split(replace(x, '{LONG_END}', '{LONG_END}\\u0001'), '\\u0001', -1)")
+    rare = cut(f"split({text}, '{regex}', -1)", f"split(x, '(?<={LONG_END})', -1)")
+    return f"case when {text} = '' then array() when contains({text}, '\\u0001') then {rare} else {plain} end"
 
 
 def windows(docs: DataFrame, width: int = 3, min_words: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

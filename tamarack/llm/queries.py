@@ -138,7 +138,8 @@ def _line_dedup_sql() -> str:
     blank = "' ' || chr(10) || chr(13) || chr(9)"
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
-l as (select doc_id, unnest(ls) as x, generate_subscripts(ls, 1) as i from (select doc_id, string_split({marked}, chr(1)) as ls from d where t <> '')),
+s as (select doc_id, flatten(list_transform(string_split({marked}, chr(1)), lambda x: case when strlen(x) > {lines.LONG} then string_split(replace(x, '{lines.LONG_END}', '{lines.LONG_END}' || chr(1)), chr(1)) else [x] end)) as ls from d where t <> ''),
+l as (select doc_id, unnest(ls) as x, generate_subscripts(ls, 1) as i from s),
 r as (select doc_id, i, trim(x, {blank}) as x from l where trim(x, {blank}) <> ''),
 w as (select doc_id, i, row_number() over o as k, count(*) over (partition by doc_id) as m, x as a, lead(x, 1) over o as b, lead(x, 2) over o as c, coalesce(lead(i, 2) over o, lead(i, 1) over o, i) as e
   from r window o as (partition by doc_id order by i)),

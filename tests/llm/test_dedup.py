@@ -183,11 +183,16 @@ def test_components(spark):
 PASSAGE = "This passage has many words in it. It goes on for a while so that it counts. And then it ends here at last."
 
 
-def brute_line_dedup(rows, width=3, least=1):
-    """Lines by the documented rule, windows as tuples of trimmed lines, later occurrences covered."""
+def split(t):
+    """Lines by the documented rule."""
     import re
 
-    split = lambda t: [x for x in re.split("(?<=\n)|(?<=[.!?] )", t or "") if x]
+    whole = re.split("(?<=\n)|(?<=[.!?] )", t or "")
+    return [x for w in whole for x in (re.split("(?<=, )", w) if len(w.encode()) > 150 else [w]) if x]
+
+
+def brute_line_dedup(rows, width=3, least=1):
+    """Windows as tuples of trimmed lines, later occurrences covered."""
     texts = sorted({(d, t) for d, t in rows}, key=lambda r: (r[0] is None, key(r[0])))
     seen, cover = set(), {}
     for d, t in texts:
@@ -240,9 +245,6 @@ def test_line_dedup_on_the_small_table(spark, sf_dir):
 
 def brute_runs(rows, width=3, least=1):
     """Every window is looked for; covered lines go if the run of overlapping windows they are in has `least` words."""
-    import re
-
-    split = lambda t: [x for x in re.split("(?<=\n)|(?<=[.!?] )", t or "") if x]
     seen, out = set(), {}
     for d, t in sorted(set(rows), key=lambda r: (r[0] is None, key(r[0]))):
         lines, runs = split(t), []
@@ -280,6 +282,20 @@ def test_short_sentences_are_deduplicated_whole(spark, tmp_path, sf_dir):
         assert got == sorted(brute_runs([tuple(r) for r in docs.collect()], least=least))
 
 
+@pytest.mark.parametrize("mark", ["", "\x01"])
+def test_a_passage_of_long_sentences_within_other_text(spark, mark):
+    """Fifty-odd words in two sentences that run on into other text on both sides: whole lines within them go."""
+    plain = lambda tag, n: " ".join(f"{tag}word{i}" for i in range(n))
+    clauses = [plain(f"{chr(97 + i)}", 9) for i in range(6)]
+    passage = f"{', '.join(clauses[:3])}. {', '.join(clauses[3:])}"
+    around = lambda i: f"{mark}Own start {plain(f"left{i}", 12)} {passage} {plain(f"right{i}", 12)} own end."
+    rows = [(1, around(1)), (2, around(2)), (3, "Short, of, commas."), (4, "Short, of, commas, too.")]
+    got = {r["doc_id"]: (r["doc_id"], r["text"], r["n_lines_removed"]) for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert sorted(got.values()) == brute_line_dedup(rows)
+    assert got[1][1] == rows[0][1] and got[2][2] == 4 and all(c not in got[2][1] for c in clauses[1:5])
+    assert got[3][2] == got[4][2] == 0
+
+
 def test_line_dedup_carries_columns_of_any_name(spark):
     """Columns with the names the operator once used for itself come through with their values."""
     names = ["_text", "_cov", "_l", "_new", "_sd", "_st", "_spans", "spans", "lines", "runs", "n", "new", "th", "c0", "Text2"]
