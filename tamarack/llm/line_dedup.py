@@ -60,11 +60,12 @@ def repeated_positions(docs: DataFrame, width: int = 3, min_words: int = 1, doc_
     windows that share a line are merged.
 
     The first occurrence is the one with the least (doc_id, pos); a null doc_id is after all others. Windows are counted
-    by their hashes alone; only those that repeat carry their places on.
+    by the first hash alone; only those whose first hash repeats carry their places on, and both hashes tell them apart
+    (a window that shares just the first one with another is the first of its own kind, so it stays).
     """
     found = materialize(windows(docs, width, min_words, doc_id, text), "windows")
-    twice = materialize(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"), "repeats")
-    found = materialize(found.join(twice, ["h1", "h2"]), "repeated")
+    twice = materialize(found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"), "repeats")
+    found = materialize(found.join(twice, "h1"), "repeated")
     order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"))
     heads = found.groupBy("h1", "h2").agg(F.min(order).alias("head"))
     heads = materialize(heads.select("h1", "h2", F.col("head.d").alias("hd"), F.col("head.t").alias("ht"), F.col("head.p").alias("hp")), "heads")
