@@ -58,16 +58,27 @@ def manager_guess(text: Column) -> Column:
     return F.when(npm, "npm").when(low.contains("pypi") | low.contains("python"), "pypi").otherwise("other")
 
 
-def named_in_text(text: Column, never: Sequence[str] = (), known: Sequence[str] = ()) -> Column:
-    """Names in quotes, before versions, or after `library` and `package`; `known` names wherever they occur."""
-    shapes = [
-        "[\"'`]([a-zA-Z0-9_-]+)[\"'`]",
-        "(?i)([a-zA-Z0-9_-]+)\\s+\\(version\\s+[0-9.]+\\)",
-        "([a-zA-Z0-9_-]+)-[0-9.]+",
-        "(?i)([a-zA-Z0-9_-]+)\\s+(?:version\\s+|v)[0-9.]+",
-        "(?i)(?:library|package)\\s+[\"']?([a-zA-Z0-9_-]+)",
-    ]
-    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in shapes)))
+# How a name stands in prose: in quotes, before a version, after `library` or `package`. Case is ignored.
+NAME_PATTERNS = [
+    r'"([a-zA-Z0-9_-]+)"',
+    r"'([a-zA-Z0-9_-]+)'",
+    r"`([a-zA-Z0-9_-]+)`",
+    r"([a-zA-Z0-9_-]+)\s+\(version\s+([0-9.]+)\)",
+    r"([a-zA-Z0-9_-]+)-([0-9.]+)",
+    r"([a-zA-Z0-9_-]+)\s+version\s+([0-9.]+)",
+    r"([a-zA-Z0-9_-]+)\s+v([0-9.]+)",
+    r'library\s+"([a-zA-Z0-9_-]+)"',
+    r'package\s+"([a-zA-Z0-9_-]+)"',
+    r"library\s+'([a-zA-Z0-9_-]+)'",
+    r"package\s+'([a-zA-Z0-9_-]+)'",
+    r"library\s+([a-zA-Z0-9_-]+)",
+    r"package\s+([a-zA-Z0-9_-]+)",
+]
+
+
+def named_in_text(text: Column, never: Sequence[str] = (), known: Sequence[str] = (), patterns: Sequence[str] = NAME_PATTERNS) -> Column:
+    """Distinct lower-case names of three or more characters by the patterns; `known` names wherever they occur."""
+    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(1)) for p in patterns)))
     found = F.filter(F.transform(found, lambda x: F.lower(x)), lambda x: (F.length(x) > 2) & (~x.isin(*never) if never else F.lit(True)))
     listed = F.filter(F.array(*(F.lit(k) for k in known)).cast("array<string>"), lambda k: F.lower(text).contains(k))
     return F.array_sort(F.array_distinct(F.concat(found, listed)))

@@ -147,6 +147,18 @@ def plausible_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", plausible_name(F.col("p_name"), ["code"], ["fake"]).alias("ok"))
 
 
+_NAME_LISTS = ", ".join("regexp_extract_all(t, '" + p.replace("'", "''") + "', 1, 'i')" for p in triples.NAME_PATTERNS)
+
+
+@plan(f"""with t as (select n_nationkey, 'Use "' || n_name || '" and library ' || n_name || '-kit version 1.' || n_nationkey || ', package ''pad'' or left-' || n_nationkey || '.2 v3' as t from nation),
+n as (select n_nationkey, list_transform(flatten([{_NAME_LISTS}]), lambda x: lower(x)) as xs from t)
+select n_nationkey, array_to_string(list_sort(list_distinct(list_filter(xs, lambda x: length(x) > 2 and x <> 'version'))), '|') as names from n""")
+def names_in_prose(spark, sf_dir):
+    """Package names in prose: quoted, before a version, or after `library` and `package`."""
+    prose = F.concat(F.lit('Use "'), "n_name", F.lit('" and library '), "n_name", F.lit("-kit version 1."), F.col("n_nationkey").cast("string"), F.lit(", package 'pad' or left-"), F.col("n_nationkey").cast("string"), F.lit(".2 v3"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(triples.named_in_text(prose, never=["version"]), "|").alias("names"))
+
+
 @plan()
 def lda_topics(spark, sf_dir):
     """The shares of five topics in every document, and the leading one: all words, 50 rounds over all

@@ -107,7 +107,10 @@ def test_triples(spark):
     assert [tuple(p) for p in parts] == [("evil-pkg", "is", "malicious npm package"), ("the actor", "used", "x")]
     assert value(spark, triples.packages(F.col("t")), t=("[SUBJECT:the actor, RELATION:likes, OBJECT:tea]", "string")) == ["tea"]
     got = value(spark, triples.named_in_text(F.col("t"), never=["library"]), t=('Use "color-x" and library left-pad version 1.2 here', "string"))
-    assert {"color-x", "left-pad"} <= set(got)
+    assert got == ["color-x", "left-pad"]
+    said = "Package 'abc' and LIBRARY \"de_f\" then ghi (version 1.0), jkl-2.1, mno v3, `pq` and colorama."
+    assert value(spark, triples.named_in_text(F.col("t"), known=["colorama", "absent"]), t=(said, "string")) == ["abc", "colorama", "de_f", "ghi", "jkl", "mno"]
+    assert value(spark, triples.named_in_text(F.col("t")), t=("", "string")) == [] and value(spark, triples.named_in_text(F.col("t")), t=(None, "string")) is None
 
 
 def test_vectors(spark):
