@@ -10,16 +10,20 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.session import stored
+
 
 def lda_topics(docs: DataFrame, doc_id: str, tokens: str, topics: int = 5, iterations: int = 10, vocabulary: int | None = 5000, seed: int = 17, share: float | None = None) -> tuple[DataFrame, DataFrame]:
     """((doc_id, topics: array<double>), (topic, term, weight)): online variational LDA with a fixed seed.
 
     Without `vocabulary` every word is kept. An iteration draws a `share` of the documents, with replacement (Spark's own
-    choice where there is none; 1.0: as many draws as there are documents).
+    choice where there is none; 1.0: as many draws as there are documents). Texts are read once for the vocabulary and
+    once for their counts, which are a written table that every iteration reads.
     """
     counter = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocabulary or (1 << 31) - 1).fit(docs)
     lda = LDA(k=topics, maxIter=iterations, seed=seed, featuresCol="_tf", optimizer="online")
-    model = (lda if share is None else lda.setSubsamplingRate(share)).fit(tf := counter.transform(docs))
+    tf = stored(counter.transform(docs).select(doc_id, "_tf"), "counts")
+    model = (lda if share is None else lda.setSubsamplingRate(share)).fit(tf)
     mixed = model.transform(tf).select(doc_id, vector_to_array("topicDistribution").alias("topics"))
     top = model.describeTopics(10).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
     names = counter.vocabulary
