@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.llm import clustering, language_id, lm_scoring, merkle, mixing, quality_classifier, sharding, simhash, url_filter
 from tamarack.llm import exact_dedup as exact
-from tamarack.llm import language_id, lm_scoring, mixing, quality_classifier, simhash, url_filter
 from tamarack.llm import line_dedup as lines
 from tamarack.llm import quality_rules as rules
 from tamarack.llm import sentencepiece_ops as pieces
@@ -99,6 +99,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, folded from the document as tampered with: newlines are gone where crc32(doc_id) is even."""
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    hurt = fields | {"text": F.replace("text", F.lit("\n"), F.lit(""))}
+    leaf = merkle.digest_of(list(fields.values()))
+    claim = F.when(even & F.contains("text", F.lit("\n")), merkle.digest_of(list(hurt.values()))).otherwise(leaf)
+    proofs = merkle.verify(merkle.prove(merkle.build(docs, leaf, "source", "doc_id", claim)))
+    return proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.digests(clustering.lloyd(table(spark, sf_dir, "embeddings"), k=40, rounds=5))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def _quality_rules_sql(risk: float = 0.02, delta: float = 0.05, copies: int = 1) -> str:
     grid = ", ".join(f"('{r.name}', {i}, {c}::double)" for r in rules.RULES for i, c in enumerate(r.grid))
     values = " union all ".join(f"select doc_id, stratum, base_failed, '{r.name}' as rule, ({r.measure})::double as value from base" for r in rules.RULES)
@@ -149,6 +170,54 @@ left_over as (select l.doc_id, count(g.i)::bigint as n, rtrim(coalesce(string_ag
 select doc_id, coalesce(n, 0)::int as n_lines_removed, length(case when n > 0 then x else text end)::bigint as n_chars_left, md5(case when n > 0 then x else text end) as text_md5 from documents left join left_over using (doc_id)"""
 
 
+def _merkle_sql() -> str:
+    """Levels by recursion; a proof's siblings by looking up the ancestors' runs; a fold over each leaf's levels."""
+    field = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {field(text)})"
+    # bytes are entered as 256 and more, each with eight zeros behind it, for the shifts
+    crc = "list_reduce(flatten(list_transform(range(1, length(s) + 1), lambda i: [256 + ascii(s[i]), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[])), lambda c, x: case when x > 0 then xor(c, x - 256) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, 4294967295::bigint)"
+    tree = lambda name, base: f"{name}(g, lvl, i, n, d) as ({base} union all select g, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' order by i)) from {name} where n > 1 group by g, lvl, i // 3, n)"
+    return f"""
+with recursive docs as (select row_number() over () as rid, *, doc_id::varchar as s from documents),
+crcs as (select rid, xor({crc}, 4294967295) as crc from docs where s is not null),
+claims as (select rid, doc_id, source, {leaf('text')} as leaf, case when crc % 2 = 0 then {leaf("replace(text, chr(10), '')")} else {leaf('text')} end as claim from docs left join crcs using (rid)),
+groups as (select source, row_number() over (order by source nulls first) - 1 as g, count(*) over () as k from (select distinct source from documents)),
+leaves as (select rid, doc_id, leaf, claim, g, k, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by g) as n from claims join groups on claims.source is not distinct from groups.source),
+{tree('own', 'select g, 0, i, n, leaf from leaves')},
+subs as (select g, lvl as height, d as subroot from own where n = 1),
+{tree('top', 'select 0::bigint, 0, g, (select count(*) from subs), subroot from subs')},
+roots as (select d as root, lvl as height from top where n = 1),
+steps as (
+  select rid, o.lvl as lv, string_agg(case when o.i < l.i // (3 ** o.lvl)::bigint then o.d end, '' order by o.i) as pre, string_agg(case when o.i > l.i // (3 ** o.lvl)::bigint then o.d end, '' order by o.i) as post
+  from (select rid, g, i, unnest(range(0, height)) as lvl from leaves join subs using (g)) l join own o on o.g = l.g and o.lvl = l.lvl and o.i // 3 = (l.i // (3 ** l.lvl)::bigint) // 3 group by rid, o.lvl
+  union all
+  select rid, height + t.lvl, string_agg(case when t.i < l.g // (3 ** t.lvl)::bigint then t.d end, '' order by t.i), string_agg(case when t.i > l.g // (3 ** t.lvl)::bigint then t.d end, '' order by t.i)
+  from (select rid, g, subs.height, unnest(range(0, roots.height)) as lvl from leaves join subs using (g) cross join roots) l join top t on t.lvl = l.lvl and t.i // 3 = (l.g // (3 ** l.lvl)::bigint) // 3 group by rid, height, t.lvl),
+proofs as (select rid, list(coalesce(pre, '') order by lv) as pres, list(coalesce(post, '') order by lv) as posts, string_agg(coalesce(pre, '') || coalesce(post, ''), '' order by lv) as said from steps group by rid),
+folds as (select rid, 0 as lv, claim as d from leaves union all select rid, lv + 1, sha256(pres[lv + 1] || d || posts[lv + 1]) from folds join proofs using (rid) where lv < len(pres)),
+ends as (select rid, max_by(d, lv) as folded from folds group by rid)
+select doc_id, leaf, subroot, root, sha256(coalesce(said, '')) as proof_sha256, folded as folded_root, folded = root as verified
+from leaves join subs using (g) cross join roots left join proofs using (rid) join ends using (rid)"""
+
+
+def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Components as rows: exact sums, and the nearest centroid by the least (distance, number)."""
+    sql = f"""
+with kept as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as (select row_number() over (order by sha256('2:' || vec_id::varchar) nulls last, v) - 1 as c, v from kept qualify c < {k}),"""
+    near = lambda i: f"a{i} as materialized (select rid, min({{'d': d, 'c': c}}) as b from (select rid, c, list_sum(list_transform(list_zip(kept.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from kept, c{i}) group by rid)"
+    for i in range(rounds):
+        sql += f"""
+{near(i)},
+m{i} as (select c, j, sum(x)::bigint as s, count(*) as n from (select b.c as c, unnest(v) as x, generate_subscripts(v, 1) as j from a{i} join kept using (rid)) group by c, j),
+c{i + 1} as materialized (select c, coalesce(w, v) as v from c{i} left join (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by j) as w from m{i} group by c) using (c)),"""
+    return sql + f"""
+{near(rounds)}
+select vec_id, b.c::int as cluster, b.d as distance, (sum(b.d) over (partition by b.c))::bigint as cluster_inertia, (sum(b.d) over ())::bigint as inertia, sha256(array_to_string(c{rounds}.v, ',')) as centroid_sha256
+from a{rounds} join kept using (rid) join c{rounds} on c = b.c"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
@@ -161,6 +230,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_sharding": op13_sharding,
 }
 
 _HOST_SQL = f"nullif(lower(regexp_extract(coalesce(url, ''), '{url_filter.HOST}', 1)), '')"
@@ -189,4 +261,6 @@ from p left join hits h on h.host = p.host and h.t = p.t and h.rn = 1""",
     "op8_exact_dedup": """
 select doc_id, max(doc_id) over w as keep_id, (count(*) over w)::bigint as group_size, doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))""",
+    "op11_merkle_manifest": _merkle_sql(),
+    "op12_centroid_clustering": _lloyd_sql(),
 }
