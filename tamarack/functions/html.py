@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tamarack.functions import pagetree
+
 
 def hrefs(html: Column) -> Column:
     """Targets of links, in order; attributes in double, single or no quotes, tags in any case."""
@@ -27,16 +29,21 @@ def headings(html: Column) -> Column:
     return F.transform(found, lambda x: squeezed(F.regexp_replace(x, "(?s)<[^>]*>", " ")))
 
 
-def headers(html: Column) -> Column:
-    """Texts of h1 to h3, then of other elements whose class has `header`, inner tags off."""
-    found = F.regexp_extract_all(html, F.lit("(?is)<(?!h[1-3]\\b)(\\w+)\\s[^>]*class\\s*=\\s*[\"'][^\"']*header[^\"']*[\"'][^>]*>(.*?)</\\1>"), F.lit(2))
-    return F.concat(headings(html), F.transform(found, lambda x: squeezed(F.regexp_replace(x, "(?s)<[^>]*>", " "))))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def headers(pages: pd.Series) -> pd.Series:
+    """Texts of h1 to h3, then of other elements whose class has `header`."""
+    return pages.map(lambda p: pagetree.header_titles(pagetree.Tree(p or "")))
+
 
+@F.pandas_udf(T.StringType())
+def summary(pages: pd.Series) -> pd.Series:
+    """The article's body, a line a block (see pagetree.article)."""
+    return pages.map(lambda p: "\n".join(pagetree.article(pagetree.Tree(p or ""))[2]))
 
-def summary(html: Column) -> Column:
-    """The visible text of a page's article: its first `article`, else `main`, else `body` element, else all of it."""
-    part = lambda tag: F.nullif(F.regexp_extract(html, f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>", 1), F.lit(""))
-    return visible_text(F.coalesce(part("article"), part("main"), part("body"), html))
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def code_blocks(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: pagetree.code_texts(pagetree.Tree(p or "")))
 
 
 def paragraphs(html: Column) -> Column:
@@ -44,10 +51,6 @@ def paragraphs(html: Column) -> Column:
     return F.transform(found, lambda x: squeezed(F.regexp_replace(x, "(?s)<[^>]*>", " ")))
 
 
-def code_blocks(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit("(?s)<code[^>]*>(.*?)</code>"), F.lit(1))
-
-
 def visible_text(html: Column) -> Column:
     """The text without scripts, styles, comments and tags, white space squeezed."""
     bare = F.regexp_replace(html, "(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
@@ -60,7 +63,11 @@ def word_count(text: Column) -> Column:
 
 def top_titles(html: Column, low: int = 4, high: int = 50, n: int = 3) -> Column:
     """The n longest headings of low to high words, longest first, earlier first among equals."""
-    scored = F.transform(headings(html), lambda x, i: F.struct((-word_count(x)).alias("k"), i.alias("i"), x.alias("t")))
+    return fit_titles(headings(html), low, high, n)
+
+
+def fit_titles(titles: Column, low: int = 4, high: int = 50, n: int = 3) -> Column:
+    scored = F.transform(titles, lambda x, i: F.struct((-word_count(x)).alias("k"), i.alias("i"), x.alias("t")))
     fit = F.filter(scored, lambda s: (-s["k"] >= low) & (-s["k"] <= high))
     return F.transform(F.slice(F.array_sort(fit), 1, n), lambda s: s["t"])
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import normalise
 from tamarack.functions.vectors import cosine
-from tamarack.operators import compare, dedupe, graph
+from tamarack.operators import compare, dedupe, graph, similar
 from tamarack.plans.registry import plan
 from tamarack.session import table
 
@@ -122,6 +122,13 @@ def cosine_top5(spark, sf_dir):
     return graph.neighbours(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding")
 
 
+@plan()
+def cosine_top5_lsh(spark, sf_dir):
+    """The same queries through buckets of signed random projections; recall against cosine_top5 is measured in the tests."""
+    e = table(spark, sf_dir, "embeddings")
+    return similar.close_neighbours(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding")
+
+
 @plan(f"with e as (select label, {_UNIT} as v, vec_id from embeddings) select a.vec_id, round(list_cosine_similarity(a.v, b.v), 5) as similarity from e a join e b on b.vec_id = a.vec_id + 1")
 def cosine_pairs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tamarack.functions import html, urls
+from tamarack.functions import html, pagetree, urls
 from tamarack.operators import stats
 from tamarack.plans.registry import plan
 from tamarack.session import table
@@ -108,3 +108,25 @@ def page_blocks(spark, sf_dir):
     """Ordered blocks by a real parser: nesting has no regular form, so SQL has none either."""
     rows = _pages(spark, sf_dir).select("page_id", F.posexplode(html.blocks("html")).alias("pos", "b"))
     return rows.select("page_id", "pos", "b.kind", "b.text")
+
+
+@plan()
+def page_summary(spark, sf_dir):
+    """The article's body of every page: the element whose paragraphs score highest, navigation and link lists left out."""
+    out = pagetree.read_pages(_pages(spark, sf_dir), "page_id")
+    return out.select("page_id", "tag", F.round("score", 4).alias("score"), F.length("body").alias("n_chars"), F.md5("body").alias("digest"))
+
+
+_H1 = "list_transform(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), lambda x: replace(trim(regexp_replace(x, '\\s+', ' ', 'g')), '&amp;', '&'))"
+_MARKED = "url || ' of ' || page_id::varchar || ' in two'"
+
+
+@plan(f"""with t as (select page_id, list_append({_H1}, {_MARKED}) as titles from pages), e as (select page_id, unnest(titles) as title, generate_subscripts(titles, 1) as i from t),
+o as (select page_id, title, min(i) as i from e where title <> '' group by all), c as (select *, len(string_split(title, ' ')) as k from o), r as (select * from c where k between 4 and 50 qualify row_number() over (partition by page_id order by k desc, i) <= 3)
+select p.page_id, coalesce(string_agg(title, '|' order by k desc, i), '') as titles, max('pip install ' || p.page_id::varchar || chr(10) || '  # ' || url) as codes from pages p left join r using (page_id) group by 1""")
+def page_header_titles(spark, sf_dir):
+    """Titles from h1 to h3 and from elements with a header class, here one with an element of the same name in it, and code."""
+    more = F.concat(F.lit('<div class="x Page-Header">'), F.col("url"), F.lit(" of <div>"), F.col("page_id").cast("string"), F.lit("</div> in two</div><pre><code>\npip install "), F.col("page_id").cast("string"), F.lit("\n  # "), F.col("url"), F.lit(" </code></pre>"))
+    pages = _pages(spark, sf_dir).withColumn("html", F.concat("html", more))
+    out = pagetree.read_pages(pages, "page_id")
+    return out.select("page_id", F.array_join(html.fit_titles(F.col("titles")), "|").alias("titles"), F.array_join("codes", "|").alias("codes"))
