@@ -7,7 +7,7 @@ from tamarack.functions import urls
 from tamarack.operators import records
 from tamarack.plans.registry import plan
 from tamarack.session import scratch, table
-from tamarack.sources import readers, sinks
+from tamarack.sources import readers, sinks, store, workbooks
 
 
 def _lines(df, spark, tag):
@@ -18,14 +18,9 @@ def _lines(df, spark, tag):
 
 
 def _named_files(df, spark, tag):
-    """A file for every row (path, body) of a table of a few dozen rows, as trees of small files come."""
+    """A file for every row (path, body), as trees of small files come; the executors write them."""
     top = scratch(spark, tag)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for r in df.collect():
-        at = jvm.org.apache.hadoop.fs.Path(f"{top}/{r[0]}")
-        out = at.getFileSystem(conf).create(at, True)
-        out.write(bytearray(r[1].encode()))
-        out.close()
+    store.write_files(df.toDF("name", "body"), top)
     return top
 
 
@@ -64,6 +59,34 @@ def read_model_outputs(spark, sf_dir):
     return readers.model_outputs(spark, _named_files(files, spark, "outputs")).select("source", "model", "prompt", "file", "text")
 
 
+@plan("select 'm' || (s_nationkey % 3) as model, 'rel' || (s_suppkey % 2) as state, '20240101_000000_' || lpad(s_suppkey::varchar, 6, '0') || '_relation_x.json' as file, '{\"s\": ' || s_suppkey || '}' as text from supplier")
+def read_relation_outputs(spark, sf_dir):
+    """Files of the relation step below model/state, among those of other steps."""
+    k = F.col("s_suppkey").cast("string")
+    at = F.concat(F.lit("m"), (F.col("s_nationkey") % 3).cast("string"), F.lit("/rel"), (F.col("s_suppkey") % 2).cast("string"), F.lit("/20240101_000000_"), F.lpad(k, 6, "0"))
+    each = F.array(F.struct(F.concat(at, F.lit("_relation_x.json")).alias("p"), F.concat(F.lit('{"s": '), k, F.lit("}")).alias("b")), F.struct(F.concat(at, F.lit("_verify_x.json")).alias("p"), F.lit("[]").alias("b")))
+    files = table(spark, sf_dir, "supplier").select(F.explode(each).alias("f")).select("f.*")
+    return readers.model_outputs(spark, _named_files(files, spark, "relations"), "relation", ("model", "state")).select("model", "state", "file", "text")
+
+
+_CELL = "'<' || c_name || '> & \"' || c_custkey || '\"' || chr(10) || ' _x0041_ '"
+
+
+@plan(f"select 'part' || (c_custkey // 400) as book, 'customers' as sheet, c_custkey::varchar as c_custkey, {_CELL} as text, case when c_custkey % 5 > 0 then c_mktsegment end as segment, (date '1999-12-25' + (c_custkey % 900)::int)::date::varchar as day, case when c_custkey % 2 = 0 then 'TRUE' else 'FALSE' end as even, null::varchar as absent from customer")
+def read_workbooks(spark, sf_dir):
+    """Customers written as workbooks of 400 rows and read back: shared and escaped text, empty cells, dates, booleans."""
+    top, k = scratch(spark, "books"), F.col("c_custkey")
+    text = F.concat(F.lit("<"), "c_name", F.lit('> & "'), k.cast("string"), F.lit('"\n _x0041_ '))
+    rows = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("part"), F.floor(k / 400).cast("string")).alias("book"), "c_custkey", text.alias("text"), F.when(k % 5 > 0, F.col("c_mktsegment")).alias("segment"),
+        F.date_add(F.lit("1999-12-25").cast("date"), (k % 900).cast("int")).alias("day"), (k % 2 == 0).alias("even"),
+    )
+    columns = ["c_custkey", "text", "segment", "day", "even"]
+    workbooks.write_workbooks(rows, top, "book", "c_custkey", columns, "customers")
+    out = workbooks.sheet_table(workbooks.workbooks(spark, top, "customers"), [*columns, "absent"])
+    return out.withColumn("book", F.regexp_replace("file", "\\.xlsx$", "")).drop("file", "row")
+
+
 @plan("select r_name as source, count(*)::bigint as n_files, sum(length(n_name))::bigint as bytes from nation join region on r_regionkey = n_regionkey group by 1")
 def read_documents_status(spark, sf_dir):
     """A folder of text files, and how many and how large they are by source."""

@@ -1,11 +1,14 @@
 """URLs and HTML."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tamarack.functions import html, pagetree, urls
 from tamarack.operators import stats
 from tamarack.plans.registry import plan
 from tamarack.session import table
+from tamarack.sources import extract
 
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 _DOMAIN = f"array_to_string(string_split({_HOST}, '.')[-2:], '.')"
@@ -130,3 +133,27 @@ def page_header_titles(spark, sf_dir):
     pages = _pages(spark, sf_dir).withColumn("html", F.concat("html", more))
     out = pagetree.read_pages(pages, "page_id")
     return out.select("page_id", F.array_join(html.fit_titles(F.col("titles")), "|").alias("titles"), F.array_join("codes", "|").alias("codes"))
+
+
+def _links(page):
+    return [("link", h) for h in re.findall('<a href="([^"]*)"', page)]
+
+
+def _title(page):
+    found = re.search("(?s)<title>(.*?)</title>", page)
+    if not found:
+        raise ValueError("no title")
+    return [("title", found[1])]
+
+
+_SOURCE = "string_split(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '.')[-1]"
+
+
+@plan(f"""with p as (select page_id, {_SOURCE} as source, html, regexp_extract_all(html, '<a href="([^"]*)"', 1) as h, regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1) as t from pages)
+select page_id, source, (u.i - 1)::int as pos, 'link' as kind, u.x as text, null::varchar as error from p, lateral (select unnest(h) as x, generate_subscripts(h, 1) as i) u where source = 'org'
+union all select page_id, source, case when len(t) > 0 then 0 end, case when len(t) > 0 then 'title' end, t[1], case when len(t) = 0 then 'ValueError: no title' end from p where source = 'com'
+union all select page_id, source, null, null, null, 'no extractor' from p where source not in ('org', 'com')""")
+def extract_by_source(spark, sf_dir):
+    """Two extractors chosen by a page's source through a table function; other sources are error rows."""
+    pages = _pages(spark, sf_dir).withColumn("source", F.element_at(F.split(urls.host(F.col("url")), "\\."), -1))
+    return extract.extract_by_source(pages, {"org": _links, "com": _title}, "page_id")
