@@ -211,3 +211,15 @@ def first_article_id(spark, sf_dir):
     listed = F.concat(F.lit('<script>self.push("x")</script><script>{"id": 1, "newsList":[{"t": 1,\n"id": "'), k, F.lit('"}, {"id": 3}]}</script>'))
     plain = F.concat(F.lit('<script>{"id": '), k, F.lit("}</script>"))
     return table(spark, sf_dir, "pages").select("page_id", readers.article_id(F.when(F.col("page_id") % 2 == 0, listed).otherwise(plain)).alias("id"))
+
+
+@plan("select o_orderkey, count(*)::bigint as n, round(sum(l_quantity), 2)::double as quantity from orders join lineitem on o_orderkey = l_orderkey group by 1")
+def cached_join(spark, sf_dir):
+    """Orders and their lines kept as tables bucketed by order: their join and its groups move no row."""
+    held = {}
+    for name, key, columns in (("orders", "o_orderkey", ["o_orderkey"]), ("lineitem", "l_orderkey", ["l_orderkey", "l_quantity"])):
+        path = scratch(spark, f"cache-{name}")
+        at = f"cache_{path.rpartition('-')[2]}"
+        held[name] = sinks.bucketed(table(spark, sf_dir, name).select(*columns), at, [key], 8, path)
+    joined = held["orders"].hint("merge").join(held["lineitem"], F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).cast("double").alias("quantity"))

@@ -49,7 +49,11 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@plan()
+_FOLD = """with recursive f as (select conv_id, turn as part, ''::varchar as memory, text from conversations where turn = 0
+union all select c.conv_id, c.turn, right(concat_ws(' ', nullif(f.memory, ''), nullif(f.text, '')), 600), c.text from f join conversations c on c.conv_id = f.conv_id and c.turn = f.part + 1)"""
+
+
+@plan(f"{_FOLD} select conv_id, part, length(memory)::int as n_chars from f")
 def article_memory(spark, sf_dir):
     """What is remembered before each turn of a conversation: the last 600 characters of the turns so far."""
     c = table(spark, sf_dir, "conversations")
@@ -90,9 +94,7 @@ def _run(spark, stream, path):
         q.awaitTermination()
 
 
-@plan("""with recursive f as (select conv_id, turn as part, ''::varchar as memory, text from conversations where turn = 0
-union all select c.conv_id, c.turn, right(concat_ws(' ', nullif(f.memory, ''), nullif(f.text, '')), 600), c.text from f join conversations c on c.conv_id = f.conv_id and c.turn = f.part + 1)
-select conv_id, part, md5(memory) as digest from f""")
+@plan(f"{_FOLD} select conv_id, part, md5(memory) as digest from f")
 def article_memory_stream(spark, sf_dir):
     """The memory before each turn, over a stream in which later turns come first: state holds what came too early."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")

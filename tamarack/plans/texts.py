@@ -1,5 +1,7 @@
 """Tokens, candidates, keywords, TF-IDF, chunks and triples."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tamarack.functions import text, triples
@@ -7,6 +9,7 @@ from tamarack.functions.normalise import plausible_name
 from tamarack.operators import terms
 from tamarack.plans.registry import plan
 from tamarack.session import table
+from tamarack.sources import agents
 
 
 def _docs(spark, sf_dir):
@@ -91,9 +94,11 @@ def alpha_tokens(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(text.alpha_tokens(F.col("text"), _STOP)).alias("n_tokens"))
 
 
-@plan()
+@plan("""with s as (select doc_id, list_reduce(string_split(text, chr(10)), lambda a, x: case when a.o = 0 then {'n': a.n, 'c': a.c, 'o': length(x)}
+  when a.o + length(x) + 1 <= 600 then {'n': a.n, 'c': a.c, 'o': a.o + length(x) + 1} else {'n': a.n + 1, 'c': a.c + a.o, 'o': length(x)} end, {'n': 0::bigint, 'c': 0::bigint, 'o': 0::bigint}) as a from documents)
+select doc_id, (a.n + case when a.o > 0 then 1 else 0 end)::int as n_chunks, (a.c + a.o)::int as n_chars from s""")
 def chunk_greedy(spark, sf_dir):
-    """Lines packed into chunks of 600 characters; the packing depends on what was packed before, so SQL has no plain form."""
+    """Lines packed into chunks of 600 characters; the packing depends on what was packed before."""
     d = _docs(spark, sf_dir).select("doc_id", text.chunk(F.split("text", "\n"), 600).alias("chunks"))
     return d.select("doc_id", F.size("chunks").alias("n_chunks"), F.aggregate("chunks", F.lit(0), lambda s, c: s + F.length(c)).alias("n_chars"))
 
@@ -210,3 +215,20 @@ def model_text(spark, sf_dir):
         "n_nationkey", text.bracketed(F.lit("Sure: [1, 2] and so on")).alias("salvaged"), text.without_fence(fenced).alias("fence"), text.without_comments(both).alias("inner_fence"),
         text.advisory_name(F.concat(F.lit("Malicious code in "), F.lower("n_name"), F.lit(" (npm)"))).alias("advisory"), pair["name"].alias("name"), pair["version"].alias("version"),
     )
+
+
+class _Patterns:
+    """A client by rules: numbers, and words in capitals."""
+
+    KINDS = {"number": "[0-9]+", "capitals": "\\b[A-Z][A-Z]+\\b"}
+
+    def entities(self, part):
+        return [(m.start(), m.end(), k) for k, p in self.KINDS.items() for m in re.finditer(p, part, re.ASCII)]
+
+
+@plan("""with f as (select doc_id, unnest(regexp_extract_all(text, '[0-9]+')) as e, 'number' as kind from documents union all select doc_id, unnest(regexp_extract_all(text, '\\b[A-Z][A-Z]+\\b')), 'capitals' from documents)
+select doc_id, kind, count(*)::bigint as n, sum(length(e))::bigint as n_chars from f group by all""")
+def entities_in_parts(spark, sf_dir):
+    """Entities of whole texts read in overlapping parts of 500 characters, as many and as long as in the texts at once."""
+    found = agents.entity_spans(_docs(spark, sf_dir), _Patterns(), "doc_id", most=500, overlap=60)
+    return found.filter("error is null").groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("entity")).alias("n_chars"))

@@ -43,6 +43,11 @@ def json_document(rows: DataFrame, order: str) -> DataFrame:
     return rows.agg(F.to_json(F.transform(whole, lambda s: s["r"])).alias("json"))
 
 
-def bucketed(rows: DataFrame, name: str, keys: Sequence[str], buckets: int) -> None:
-    """A table bucketed and sorted by its join keys: later joins on them need no exchange."""
-    rows.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+def bucketed(rows: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
+    """A table bucketed and sorted by its join keys, and read back: joins and groups on them need no exchange.
+
+    Tables that are joined need the same number of buckets. With `path` the files lie there, not in the warehouse.
+    """
+    out = rows.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    (out.option("path", path) if path else out).saveAsTable(name)
+    return rows.sparkSession.table(name)
