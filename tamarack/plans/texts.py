@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import text, triples
 from tamarack.functions.normalise import plausible_name
-from tamarack.operators import terms
+from tamarack.operators import factors, paragraphs, terms
 from tamarack.plans.registry import plan
 from tamarack.session import table
 from tamarack.sources import agents
@@ -176,6 +176,19 @@ def lda_topics(spark, sf_dir):
     return mixed.select("doc_id", "topics", F.when(F.array_max("topics") > 0, leading).alias("leading"))
 
 
+@plan()
+def nmf_topics(spark, sf_dir):
+    """Ten heaviest terms of five non-negative topics of the TF-IDF table, every term kept, both factors as tables."""
+    return factors.top_terms(factors.factorise(_weights(spark, sf_dir), rounds=8), 5).withColumn("weight", F.round("weight", 5))
+
+
+@plan()
+def paragraph_vectors(spark, sf_dir):
+    """A vector of every document, under a word table learnt from all of them."""
+    d, w = _docs(spark, sf_dir), text.words(F.col("text"))
+    return paragraphs.infer(d, "doc_id", w, paragraphs.fit(d, w, epochs=2, passes=2), passes=8)
+
+
 @plan()
 def pca_embed(spark, sf_dir):
     """The first eight principal components of every vector."""
