@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tamarack.functions import normalise, urls
+
 
 def share(n: str, by: Sequence[str] = ()) -> Column:
     """A count's part of its group's sum. Meant for aggregated tables: the window sees one row per value."""
@@ -79,3 +81,19 @@ def as_map_text(key: str, n: str) -> Column:
 def first_available(rows: DataFrame, key: str, option: str, priority: str, available: Column) -> DataFrame:
     """For each key the available option that comes first."""
     return rows.filter(available).groupBy(key).agg(F.min_by(option, priority).alias(option))
+
+
+def advisory_domains(rows: DataFrame, manager: str, first: str, second: str, ignored: Sequence[str] = urls.IGNORE_ENDS) -> DataFrame:
+    """(manager, domain, n): domains of advisories' first links and of the links found behind them.
+
+    `second` is the text of a list of links. Of these, links with an ignored start or end, those to the first link's own
+    domain, and those without a domain or with the domain "." don't count; a text that is no list leaves the first link
+    alone. A null or malformed first link has no domain and isn't counted either.
+    """
+    of = lambda c: F.nullif(urls.registered_domain(c), F.lit(""))
+    links = F.transform(F.coalesce(normalise.literal_list(F.col(second)), F.array().cast("array<string>")), lambda x: F.trim(x))
+    wanted = F.transform(F.filter(links, lambda x: ~urls.at_either_end(x, ignored)), of)
+    own = rows.select(F.col(manager).alias("manager"), of(F.col(first)).alias("_own"), wanted.alias("_more"))
+    found = F.filter("_more", lambda d: d.isNotNull() & (d != ".") & ~d.eqNullSafe(F.col("_own")))
+    each = own.select("manager", F.explode(F.concat(F.filter(F.array("_own"), lambda d: d.isNotNull()), found)).alias("domain"))
+    return each.groupBy("manager", "domain").agg(F.count(F.lit(1)).alias("n"))
