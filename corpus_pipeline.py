@@ -20,8 +20,11 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages keep their first occurrence; documents that had nothing else go. n_chars follows the text."""
-    out = line_dedup.line_dedup(docs, drop_emptied=True)
-    n_chars = F.when(F.col("n_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    removed = "n_lines_removed"
+    while removed in docs.columns:
+        removed += "_"
+    out = line_dedup.line_dedup(docs, drop_emptied=True, count=removed)
+    n_chars = F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.select(*(n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 

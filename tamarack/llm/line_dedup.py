@@ -77,8 +77,8 @@ def repeated_positions(docs: DataFrame, width: int = 3, min_words: int = 1, doc_
     return spans.select("doc_id", "th", F.expr(f"zip_with({starts}, {lasts}, (a, b) -> struct(a.pos as pos, b.ends as ends))").alias("spans"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, min_words: int = 1, run_words: int = 1, drop_emptied: bool = False) -> DataFrame:
-    """Every input row and column, with `text` cleaned, and n_lines_removed added at the end.
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, min_words: int = 1, run_words: int = 1, drop_emptied: bool = False, count: str = "n_lines_removed") -> DataFrame:
+    """Every input row and column, with `text` cleaned, and the number of removed lines added at the end as `count`.
 
     Repeated windows of `width` lines lose all but their first occurrence (in order of doc_id, then position); covered
     positions of overlapping windows merge into runs, and their lines go. A caller may ask for more words as evidence of a
@@ -86,8 +86,10 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     without a repeat, null and empty ones stay as they are. Rows that repeat both doc_id and text lose the same lines (they
     are one document); with equal doc_ids but other texts they are ordered by a hash of the text, and a null doc_id comes
     last. `drop_emptied` leaves out rows that lost every line with a word. Other columns are carried through, whatever
-    their names. An empty table gives an empty result.
+    their names, but `count` must be a new one: the name of a column that is there is an error. An empty table gives an empty result.
     """
+    if count in docs.columns:
+        raise ValueError(f"the table has a column {count!r}: name the number of removed lines otherwise (count=)")
     spans = materialize(repeated_positions(docs, width, min_words, doc_id, text), "spans")
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names of this function's own from here on
     body, key = at[text], at[doc_id]
@@ -103,4 +105,4 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     out = out.withColumn("new", F.when(F.col("n") > 0, F.rtrim(kept)).otherwise(F.col(body).cast("string")))
     if drop_emptied:
         out = out.filter((F.col("n") == 0) | F.col("new").rlike("[^\\s]"))
-    return out.select(*(F.col("new" if c == text else at[c]).alias(c) for c in docs.columns), F.col("n").alias("n_lines_removed"))
+    return out.select(*(F.col("new" if c == text else at[c]).alias(c) for c in docs.columns), F.col("n").alias(count))

@@ -235,12 +235,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_sharding": op13_sharding,
 }
 
-_HOST_SQL = f"nullif(lower(regexp_extract(coalesce(url, ''), '{url_filter.HOST}', 1)), '')"
+_HOST_SQL = f"nullif(lower(regexp_replace(regexp_extract(coalesce(url, ''), '{url_filter.HOST}', 1), '[.]+$', '')), '')"
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": f"""
 with p as (select page_id, {_HOST_SQL} as host, (date '2024-01-01' + (page_id % 366)::int)::date as t from pages),
-parents as (select host, t, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) as i from (select distinct host, t from p where host is not null)),
+parents as (select host, t, unnest(range(1, case when regexp_matches(host, '{url_filter.ADDRESS}') then 2 else greatest(len(string_split(host, '.')) - 1, 1) + 1 end)) as i from (select distinct host, t from p where host is not null)),
 keys as (select host, t, i, array_to_string(string_split(host, '.')[i:], '.') as key from parents),
 names as (select distinct key from keys where i <= 2),
 dig as (select key, md5(key) as m from names),

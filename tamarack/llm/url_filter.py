@@ -8,28 +8,31 @@ from pyspark.sql.window import Window
 
 from tamarack.llm.common import materialize
 
-HOST = "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = "^\\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:\\s]+)"
+#: Hosts that are addresses: they have no parents.
+ADDRESS = "^(?:\\[.*\\]|[0-9]{1,3}(?:\\.[0-9]{1,3}){3})$"
 
 
 def host(url: Column) -> Column:
-    """The lower-case host of a URL; null where there is none."""
-    return F.nullif(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1)), F.lit(""))
+    """The lower-case host of a URL; null where there is none. White space before the URL and dots at the host's end go."""
+    return F.nullif(F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1), "\\.+$", "")), F.lit(""))
 
 
 def domains(name: Column) -> Column:
-    """A host and its parents, longest first, down to two labels (a single label stands for itself)."""
+    """A host and its parents, longest first, down to two labels (a single label, and an IP address, stands for itself)."""
     parts = F.split(name, "\\.")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.when(name.rlike(ADDRESS), F.array(name)).otherwise(parents)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(key, category, since, until) from dated entries (key, category, action add or remove, at).
 
     An `add` holds from its date to the next entry of the same key and category, exclusive; the last one holds for ever
-    (until is null). Of entries at the same time `remove` comes last. Repeated entries change nothing; entries without key or
+    (until is null). Keys are compared in lower case, without blanks around them and dots at their end. Of entries at the same time `remove` comes last. Repeated entries change nothing; entries without key or
     date, and unknown actions, are left out.
     """
-    rows = entries.select(F.lower("key").alias("key"), F.coalesce("category", F.lit("")).alias("category"), "action", "at").filter("key is not null and at is not null and action in ('add', 'remove')").distinct()
+    rows = entries.select(F.nullif(F.lower(F.regexp_replace(F.trim("key"), "\\.+$", "")), F.lit("")).alias("key"), F.coalesce("category", F.lit("")).alias("category"), "action", "at").filter("key is not null and at is not null and action in ('add', 'remove')").distinct()
     w = Window.partitionBy("key", "category").orderBy("at", "action")  # a key's own history in the list
     return rows.withColumn("until", F.lead("at").over(w)).filter("action = 'add' and (until is null or until > at)").select("key", "category", F.col("at").alias("since"), "until")
 
@@ -42,7 +45,8 @@ def judge(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id",
     like a null fetch time, is never blocked. Repeated rows are judged each by itself.
 
     Captures are first reduced to their distinct (host, time), so a hot host meets the list once a time stamp; the verdicts
-    are a written table, so the join back is between two plain exchanges and a hot host's captures are split.
+    are a written table, so the join back is between two plain exchanges and a hot host's captures are split. Captures or
+    entries may be empty tables: then there is no row, or nothing is blocked.
     """
     valid = materialize(intervals(entries), "intervals")
     rows = captures.select(F.col(capture_id).alias("id"), host(F.col(url)).alias("host"), F.col(fetched).alias("t"))

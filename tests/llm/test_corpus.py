@@ -271,6 +271,17 @@ def brute_mix(cells, targets, budget, power=0.7):
     return {c: (f[c], min(1, high * f[c])) for c in cells}
 
 
+def with_empty_cells(chances, cells, budget):
+    """Chances with those of cells without a token: the share kept in their source and language, else of all."""
+    out = dict(chances)
+    for c in cells:
+        if not cells[c]:
+            near = [x for x in cells if x[:2] == c[:2] and cells[x]] or [x for x in cells if cells[x]]
+            total = sum(cells[x] for x in near)
+            out[c] = (chances[c][0], sum(chances[x][1] * cells[x] for x in near) / total if total else budget)
+    return out
+
+
 def test_raking_at_every_size_equals_brute_force(spark):
     """One algorithm: in numpy and as tables the same weights, chances and error."""
     cells = {(f"s{i % 4}", f"l{i % 3}", f"t{i % 5}"): 10 + 7 * i for i in range(60) if i % 7}
@@ -322,7 +333,7 @@ def test_mix_query_equals_brute_force(spark, sf_dir):
         d = docs[r["doc_id"]]
         assert (r["source"], r["lang"]) == (d["source"] or "(none)", d["lang"] or "(none)")
         cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
-    want = brute_mix(cells, None, 0.8)
+    want = with_empty_cells(brute_mix(cells, None, 0.8), cells, 0.8)
     assert all((r["weight"], r["prob"]) == pytest.approx(want[r["source"], r["lang"], r["topic"]], rel=1e-5) for r in rows)
     assert sorted(r["doc_id"] for r in rows) == sorted(docs) and len({r["topic"] for r in rows}) > 2
     hope = sum(r["prob"] * r["n_tokens"] for r in rows)
@@ -393,7 +404,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir, vocab):
     cells = collections.Counter()
     for r in verdicts.values():
         cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
-    chances = brute_mix(cells, None, 0.8)
+    chances = with_empty_cells(brute_mix(cells, None, 0.8), cells, 0.8)
     draws = {r["doc_id"]: r["u"] for r in at(single).select("doc_id", (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("u")).collect()}
     mixed = [r for r in single if draws[r[0]] < chances[tuple(verdicts[r[0]][c] for c in ("source", "lang", "topic"))][1]]
     out = stages["mixing"](spark, at(single), sf_dir)
@@ -410,11 +421,69 @@ def test_pipeline_equals_brute_force(spark, sf_dir, vocab):
     assert whole == {d: (r["ids"], r["round_trip"]) for d, r in out.items()}
 
 
+def test_documents_without_a_token_are_kept_like_others(spark):
+    """They take their source's and language's share, else that of all; a budget of all keeps every row."""
+    rows = [(i, None if i % 4 == 0 else "" if i % 4 == 1 else " \n" if i % 4 == 2 else prose(i, 30), "en" if i % 3 else None, "s1" if i < 300 else "only empty", None) for i in range(400)]
+    rows = [r for r in rows if r[3] == "s1" or r[0] % 4 < 3]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert mixing.mix(df, budget=1.0).filter("kept").count() == len(rows) == mixing.mixed_rows(df, budget=1.0).count()
+    got = mixing.mix(df, budget=0.5).collect()
+    cells = collections.Counter()
+    for r in got:
+        cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
+    want = with_empty_cells(brute_mix(cells, None, 0.5), cells, 0.5)
+    assert all(r["prob"] == pytest.approx(want[r["source"], r["lang"], r["topic"]][1], rel=1e-5) for r in got)
+    assert all(r["prob"] > 0 for r in got if not r["n_tokens"])
+    blank = df.filter("doc_id % 4 = 0")
+    assert {r["prob"] for r in mixing.mix(blank, budget=0.25).collect()} == {0.25}
+
+
+def test_hosts(spark):
+    """Dots at the end, addresses, brackets, blanks and credentials."""
+    urls = {"http://Evil.COM./x": "evil.com", " \thttps://evil.com": "evil.com", "http://1.2.3.4/": "1.2.3.4", "http://[2001:DB8::1]:80/": "[2001:db8::1]", "http://u:p@evil.com:8080?q": "evil.com", "http://a.b.evil.com": "a.b.evil.com", "http://": None, "evil.com": None, "http://...": None, "http://" + "x" * 9000 + ".com/" + "y" * 90000: "x" * 9000 + ".com"}
+    df = spark.createDataFrame([(i, u, day(5)) for i, u in enumerate(urls)], "page_id long, url string, fetched_at date")
+    entries = spark.createDataFrame([(k, "c", "add", day(1)) for k in ("Evil.com.", "3.4", "2.3.4", "[2001:db8::1]", ".", " ", "x" * 9000 + ".com")], "key string, category string, action string, at date")
+    got = {r["page_id"]: r for r in url_filter.judge(df, entries).collect()}
+    assert [got[i]["host"] for i in range(len(urls))] == list(urls.values())
+    assert [got[i]["blocked"] for i in range(len(urls))] == [True, True, False, True, True, True, False, False, False, True]
+    four = spark.createDataFrame([("1.2.3.4", "c", "add", day(1))], "key string, category string, action string, at date")
+    assert [r["page_id"] for r in url_filter.judge(df, four).filter("blocked").collect()] == [2]
+
+
 def test_pipeline_of_awkward_rows(spark, tmp_path):
-    """Nulls, empty and repeated rows pass every stage; an empty table gives an empty result."""
+    """Which of null, empty and repeated rows pass each stage; clashing columns; an empty table gives an empty result."""
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    stages = dict(corpus_pipeline.STAGES)
     for name, data in (("odd", None), ("none", [])):
-        table(spark, data).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs = table(spark, data)
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
-        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        at = f"{tmp_path}/{name}"
+        out = corpus_pipeline.run(spark, at).collect()
         assert all(r["round_trip"] in (True, None) for r in out) and (data is None or not out)
+    at, every = f"{tmp_path}/odd", sorted(awkward(), key=str)
+    docs = spark.read.parquet(f"{at}/documents.parquet").withColumn("n_lines_removed", F.lit("clash"))
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    good = stages["quality classifier"](spark, docs, at)
+    assert pairs(good) == every and good.columns == docs.columns  # nothing to learn from: all have the prior, a half
+    lines = stages["line dedup"](spark, good, at)
+    left = [(i, t) for i, t in every if i != 2]  # the copies of document 1 lose all their lines, and what had none stays
+    assert lines.columns == docs.columns and {r["n_lines_removed"] for r in lines.collect()} == {"clash"}
+    assert [i for i, _ in pairs(lines)] == [i for i, _ in sorted(left, key=str)] and {3, 4, 7} <= {i for i, _ in pairs(lines)}
+    single = pairs(stages["simhash near-dedup"](spark, lines, at))
+    assert {i for i, _ in single} & {3, 4, 7} == {3} and {None, 1, 5, 9, 10} <= {i for i, _ in single}
+    mixed = stages["mixing"](spark, lines, at)
+    kept = {r["doc_id"] for r in mixing.mix(lines, budget=0.8).filter("kept").collect()}
+    assert {i for i, _ in pairs(mixed)} == kept and mixed.columns == docs.columns
+    got = {r["doc_id"]: r for r in stages["sentencepiece"](spark, lines, at).collect()}
+    assert got.keys() == {i for i, _ in left} and got[3]["ids"] is None and all(got[i]["round_trip"] for i in got if i != 3)
+
+
+def test_the_count_of_removed_lines_has_a_free_name(spark):
+    from tamarack.llm import line_dedup
+
+    df = table(spark).withColumn("n_lines_removed", F.lit(1))
+    with pytest.raises(ValueError, match="n_lines_removed"):
+        line_dedup.line_dedup(df)
+    out = line_dedup.line_dedup(df, count="gone")
+    assert out.columns == [*df.columns, "gone"] and {r["n_lines_removed"] for r in out.collect()} == {1}
