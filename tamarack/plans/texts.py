@@ -112,10 +112,12 @@ def bigram_phrases(spark, sf_dir):
     return text.bigrams(d, "w").withColumn("score", F.round("score", 6))
 
 
-@plan("select doc_id, case when len(w) <= 4 then line else array_to_string(w[1:2], ' ') || ' ... ' || array_to_string(w[-2:], ' ') end as short, regexp_replace(line, '[^\\x20-\\x7E]', '', 'g') as ascii from (select doc_id, split_part(text, chr(10), 1) as line, string_split(split_part(text, chr(10), 1), ' ') as w from documents)")
+@plan("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1)::int - 1 as pos from documents)
+select doc_id, pos, md5(case when len(w) <= 4 then line else array_to_string(w[1:2], ' ') || ' ... ' || array_to_string(w[-2:], ' ') end) as short, md5(regexp_replace(line, '[^\\x20-\\x7E]', '', 'g')) as ascii from (select *, string_split(line, ' ') as w from l)""")
 def abbreviate_and_ascii(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
-    return d.select("doc_id", text.abbreviated(F.col("line")).alias("short"), text.printable(F.col("line")).alias("ascii"))
+    """Every line of every text, abbreviated and without what isn't ASCII (as digests)."""
+    d = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return d.select("doc_id", "pos", F.md5(text.abbreviated(F.col("line"))).alias("short"), F.md5(text.printable(F.col("line"))).alias("ascii"))
 
 
 @plan("select n_nationkey, 'UNITED KINGDOM x' as label, '@scope/name' as scoped, '\"' || n_name || '\" npm malicious package' as phrase from nation")
@@ -166,12 +168,12 @@ def names_in_prose(spark, sf_dir):
 
 @plan()
 def lda_topics(spark, sf_dir):
-    """The shares of five topics in every document, and the leading one: all words, 50 rounds over all
+    """The shares of five topics in every document, and the leading one: all words in hashed columns, 50 rounds over all
     documents (as many passes as the reference makes), a fixed seed."""
     from tamarack.operators.models import lda_topics as lda
 
     d = _docs(spark, sf_dir).select("doc_id", text.words(F.col("text")).alias("w"))
-    mixed, _ = lda(d, "doc_id", "w", iterations=50, vocabulary=None, share=1.0)
+    mixed, _ = lda(d, "doc_id", "w", iterations=50, columns=1 << 17, share=1.0)
     leading = F.expr("array_position(topics, array_max(topics)) - 1").cast("int")
     return mixed.select("doc_id", "topics", F.when(F.array_max("topics") > 0, leading).alias("leading"))
 

@@ -46,13 +46,37 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+#: Paths of intermediate tables, oldest first: the one list that discard() goes through.
+_written: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder; what is written there stays until discard() is called."""
+    _written.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def written() -> int:
+    """How many intermediate paths there are: the mark that discard() goes back to."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Delete what was written below scratch paths after a mark; call it once the results that read it are stored."""
+    while len(_written) > since:
+        delete(spark, _written.pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """The table, written to the shared folder and read back: worked out once, however often it is read from here on."""
+    """The table, written to the shared folder and read back: worked out once, however often it is read from here on.
+
+    Lineage ends there, so a lost executor costs no recomputation. Results are lazy and may still read such tables.
+    """
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -82,6 +82,83 @@ def fetch_pages(queue: DataFrame, fetcher: Fetcher, extractors: dict[str, Callab
     return queue.select("timestamp", "source", "link").mapInArrow(run, "timestamp string, source string, link string, text string, error string")
 
 
+class Search(Protocol):
+    def results(self, phrase: str, start: int) -> list[dict]: ...
+
+
+class Probe(Protocol):
+    """A page's status and text, and the links on it; what can't be reached raises."""
+
+    def get(self, url: str) -> tuple[int, str, list[str]]: ...
+
+
+def searched(packages: DataFrame, client: Search, size: int = 10, pages: int = 10, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(manager, package, result_index, title, link, display_link, snippet, error) of searches for (manager, package).
+
+    Pages of `size` results are asked for until one is short or empty, or there were `pages`; indexes count from 1 over
+    all pages. A page that fails `attempts` times is a row with its first index and the error, and the next page follows.
+    """
+    names = ("title", "link", "display_link", "snippet")
+    schema = pa.schema([("manager", pa.string()), ("package", pa.string()), ("result_index", pa.int32()), *((n, pa.string()) for n in names), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                for start in range(1, 1 + size * pages, size):
+                    failures: list[Exception] = []
+                    found = retried(lambda r=r, at=start: client.results(f'"{r["package"]}" "malicious" "{r["manager"]}"', at), attempts, 5.0, 0.0, sleep, failures)
+                    if len(failures) == attempts:
+                        out.append(r | {"result_index": start, "error": f"{type(failures[-1]).__name__}: {failures[-1]}"})
+                        continue
+                    out += [r | {"result_index": start + i} | {n: x.get(n) for n in names} for i, x in enumerate(found)]
+                    if len(found) < size:
+                        break
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return packages.select("manager", "package").mapInArrow(run, "manager string, package string, result_index int, title string, link string, display_link string, snippet string, error string")
+
+
+def mirrored(packages: DataFrame, client: Probe, mirrors: dict[str, str], listing: dict[str, str] | None = None) -> DataFrame:
+    """(package, mirror, available, error): whether each mirror still has a package.
+
+    `mirrors` maps a mirror to its page's address with {} for the package. A page counts with status 200 and without
+    `404 not found` in its text. Mirrors in `listing` (to the base of their relative links) show a list of files, of which
+    one has to be there. What can't be reached isn't available, and the error says why.
+    """
+    bases = dict(listing or {})
+
+    def there(url: str) -> tuple[bool, list[str]]:
+        status, text, links = client.get(url)
+        return status == 200 and "404 not found" not in text.lower(), links
+
+    def held(mirror: str, url: str) -> bool:
+        if mirror not in bases:
+            return there(url)[0]
+        status, _, links = client.get(url)
+        for link in links if status == 200 else ():
+            try:
+                if there(link if link.startswith("http:") else bases[mirror] + link.replace("../../", ""))[0]:
+                    return True
+            except Exception:  # noqa: BLE001, S112
+                continue
+        return False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for package in b.column(0).to_pylist():
+                for mirror, page in mirrors.items():
+                    try:
+                        out.append((package, mirror, held(mirror, page.replace("{}", package or "")), None))
+                    except Exception as e:  # noqa: BLE001
+                        out.append((package, mirror, False, f"{type(e).__name__}: {e}"))
+            columns = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.string()))], ["package", "mirror", "available", "error"])
+
+    return packages.select("package").mapInArrow(run, "package string, mirror string, available boolean, error string")
+
+
 def model_chain(docs: DataFrame, client: ModelClient, models: list[str], prompts: dict[tuple[str, str], str], stop: tuple[str, ...] = (), common: tuple[str, ...] = (), ranks: dict[bytes, int] | None = None, pattern: str = "", sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """(file, model, prompt, step, answer): the three steps in order for every model and prompt type.
 
