@@ -3,46 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.session import shared_dir
+from tamarack.session import delete, discard, shared_dir, stored, written  # noqa: F401
 
 
-_written: list[str] = []
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation.
-
-    Results are lazy and may still read such tables, so they stay until discard() is called.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def written() -> int:
-    """How many intermediate tables there are: the mark that discard() goes back to."""
-    return len(_written)
-
-
-def discard(spark: SparkSession, since: int = 0) -> None:
-    """Delete the intermediate tables written after a mark; call it once the results that read them are stored."""
-    while len(_written) > since:
-        delete(spark, _written.pop())
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+materialize = stored
 
 
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
