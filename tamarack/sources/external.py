@@ -240,27 +240,47 @@ class EntityClient(Protocol):
     def entities(self, text: str) -> list[tuple[int, int, str]]: ...
 
 
-def embeddings(docs: DataFrame, client: VectorClient, text: str = "text") -> DataFrame:
-    """`docs` with `vector`, asked for in batches; a null text has none."""
-    return _answered(docs, text, client.embed, "vector", "array<double>", pa.list_(pa.float64()))
-
-
-def labelled(docs: DataFrame, client: LabelClient, text: str = "text") -> DataFrame:
-    """`docs` with `labels`, several a text (tactics, behaviours), asked for in batches; a null text has none."""
-    return _answered(docs, text, client.label, "labels", "array<string>", pa.list_(pa.string()))
-
-
-def _answered(docs: DataFrame, text: str, ask: Callable, column: str, kind: str, arrow: pa.DataType) -> DataFrame:
+def embeddings(docs: DataFrame, client: VectorClient, text: str = "text", attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """`docs` with `vector` and `vector_error`, asked for in batches; a null text has neither, a failure the error alone."""
+    return _answered(docs, text, client.embed, "vector", "array<double>", pa.list_(pa.float64()), attempts, sleep)
+
+
+def labelled(docs: DataFrame, client: LabelClient, text: str = "text", attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """`docs` with `labels`, several a text (tactics, behaviours), and `labels_error`, asked for in batches."""
+    return _answered(docs, text, client.label, "labels", "array<string>", pa.list_(pa.string()), attempts, sleep)
+
+
+def answers_of(ask: Callable[[list[str]], list], texts: list[str], attempts: int, sleep: Callable[[float], None]) -> tuple[list, list[str | None]]:
+    """(answers, errors) of texts asked for together; if that fails `attempts` times each is asked for by itself, and what
+    fails again has no answer and the error."""
+    failures: list[Exception] = []
+    whole = retried(lambda: ask(texts), attempts, sleep=sleep, failures=failures) if texts else []
+    if len(failures) < attempts:
+        return list(whole), [None] * len(texts)
+    out, errors = [], []
+    for t in texts:
+        alone: list[Exception] = []
+        got = retried(lambda t=t: ask([t]), attempts, sleep=sleep, failures=alone)
+        bad = len(alone) == attempts
+        out.append(None if bad else got[0])
+        errors.append(f"{type(alone[-1]).__name__}: {alone[-1]}" if bad else None)
+    return out, errors
+
+
+def _answered(docs: DataFrame, text: str, ask: Callable, column: str, kind: str, arrow: pa.DataType, attempts: int, sleep: Callable[[float], None]) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(names.index(text)).to_pylist()
-            answers = iter(ask([t for t in texts if t is not None]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if t is None else next(answers) for t in texts], arrow)], [*names, column])
+            asked = [i for i, t in enumerate(texts) if t is not None]
+            held, wrong = [None] * len(texts), [None] * len(texts)
+            for i, answer, error in zip(asked, *answers_of(ask, [texts[i] for i in asked], attempts, sleep)):
+                held[i], wrong[i] = answer, error
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held, arrow), pa.array(wrong, pa.string())], [*names, column, f"{column}_error"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, {column} {kind}")
+    return docs.mapInArrow(run, f"{fields}, {column} {kind}, {column}_error string")
 
 
 def windows_of(text: str, most: int) -> Iterator[tuple[int, str]]:

@@ -37,8 +37,10 @@ def outputs(rows: DataFrame, path: str, by: Sequence[str] = ("source", "model",
     rows.write.mode("append").partitionBy(*by).parquet(path)
 
 
-def json_document(rows: DataFrame, order: str) -> DataFrame:
-    """One row with a JSON array of all rows in order: for reports, whose size is their own bound."""
+def json_document(rows: DataFrame, order: str, most: int = 1_000_000) -> DataFrame:
+    """One row with a JSON array of all rows in order: for reports. Over `most` rows it is an error, found before any is gathered."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"a document of more than {most} rows: write JSON lines")
     whole = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*rows.columns).alias("r"))))
     return rows.agg(F.to_json(F.transform(whole, lambda s: s["r"])).alias("json"))
 

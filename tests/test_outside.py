@@ -2,11 +2,12 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tamarack import session
 from tamarack.operators import models
-from tamarack.sources import external
+from tamarack.sources import external, sinks
 
 
 class Found:
@@ -68,3 +69,23 @@ def test_intermediate_tables_are_on_one_list(spark):
     assert held.count() == 3 and session.written() == mark + 2
     session.discard(spark, mark)
     assert session.written() == mark and not os.path.exists(path.removeprefix("file:"))
+
+
+class Moody:
+    def embed(self, texts):
+        if "bad" in texts:
+            raise OSError("down")
+        return [[float(len(t))] for t in texts]
+
+
+def test_failing_models_are_rows(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, "bad"), (3, None)], "k int, text string").coalesce(1)
+    got = [(r["vector"], r["vector_error"]) for r in external.embeddings(df, Moody(), attempts=2, sleep=lambda s: None).orderBy("k").collect()]
+    assert got == [([3.0], None), (None, "OSError: down"), (None, None)]
+
+
+def test_documents_are_bounded(spark):
+    df = spark.range(5)
+    assert sinks.json_document(df, "id").first()["json"] == '[{"id":0},{"id":1},{"id":2},{"id":3},{"id":4}]'
+    with pytest.raises(ValueError, match="more than 4"):
+        sinks.json_document(df, "id", most=4)
