@@ -1,4 +1,7 @@
-"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input.
+
+Columns beside those of `documents` pass all stages but the last unchanged, whatever their names. An empty table passes as one.
+"""
 
 from __future__ import annotations
 
@@ -13,13 +16,15 @@ from tamarack.session import table
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents (score under 0.3) go; the model learns from the labels of `documents`."""
+    """Rejected documents (score under 0.3) go; the model learns from the labels of `documents`. Null and empty
+    texts have the prior for a score (they stay where most labels are good); repeated rows share their score."""
     model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_classifier.keep_good(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages keep their first occurrence; documents that had nothing else go. n_chars follows the text."""
+    """Repeated passages keep their first occurrence; documents that had nothing else go. n_chars follows the text. Null,
+    empty and blank texts have no passage and stay; rows that repeat id and text are one document."""
     removed = "n_lines_removed"
     while removed in docs.columns:
         removed += "_"
@@ -34,13 +39,15 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by probabilities raked to source, language and topic marginals."""
+    """Documents sampled by probabilities raked to source, language and topic marginals. Null categories are one of their own;
+    texts without a word are drawn like the rest of their source and language; repeated rows share their draw."""
     return mixing.mixed_rows(docs, budget=0.8)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document, the likelier draw first: their ids, log-probabilities and inclusion
-    scores, and whether both decode to the text. A null text has nulls; a text with one segmentation has it alone."""
+    scores, and whether both decode to the text. A null text has nulls; a text with one segmentation has it alone. Rows that repeat id
+    and text have the same segmentations."""
     out = sentencepiece_ops.sample_encode(docs, sentencepiece_ops.Vocabulary.load(), k=2)
     sizes = F.transform("ids", lambda x: F.size(x).cast("long"))
     return out.select("doc_id", "ids", sizes.alias("n_pieces"), "log_p", "log_inclusion", "round_trip")

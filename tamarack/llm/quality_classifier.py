@@ -19,7 +19,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, features: Featu
     """A model of labels.quality, learnt from labelled rows whose crc32(doc_id) mod 5 is not 0.
 
     One training row in five (by a hash of its place) is kept out to fit the temperature, so scores are calibrated.
-    Without labels of both kinds the model answers with the prior.
+    Without labels of both kinds the model answers with the prior. Of labels that contradict each other the larger counts; null
+    labels and ids teach nothing, and null texts are learnt from as empty ones.
     """
     known = labels.filter(F.col("quality").isNotNull() & training_row()).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     # ids of the sample come from the labels alone: only its texts are shuffled or sent
@@ -46,7 +47,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, doc_id: str = "
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows of `docs` that the model doesn't reject, all columns unchanged."""
+    """The rows of `docs` that the model doesn't reject, all columns unchanged, whatever their names. Null and empty texts have
+    the model's prior for a score; repeated rows are judged each by itself. An empty table gives an empty result."""
     keep = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)]
     out = score_texts(docs, keep, model, text).filter(F.col("prob")[1] >= threshold)
     return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))

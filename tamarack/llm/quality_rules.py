@@ -107,7 +107,7 @@ def thresholds(scored: DataFrame, rules: Sequence[Rule] = RULES, risk: float = 0
     p-value is the exact binomial tail of the observed rejections. Cutoffs are walked from mild to aggressive and the
     walk ends at the first that isn't rejected (fixed sequence), at the level delta / (strata x rules) (Bonferroni).
     So with probability 1 - delta, in every stratum at most `risk` of good documents fall to all rules together.
-    A stratum without enough good documents gets no cutoff and rejects nothing.
+    A stratum without enough good documents gets no cutoff and rejects nothing; an empty table gives no row.
     """
     share = risk / len(rules)
     grid = [F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"), F.col(r.name).alias("value")) for r in rules for i, c in enumerate(r.grid)]
@@ -139,7 +139,8 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     base_failed: n_words < 10, or repeated words over a fifth. kept is false for these; for the others it is the
     verdict of the certified cutoffs. Null texts count as empty (no words, so base_failed); a null stratum is one of its
     own; rows that repeat a doc_id are judged each by itself; without labels nothing but the base rules rejects. A
-    labelled document is a holdout for the thresholds if its label is quality 1 and it passes the base rules. Only
+    labelled document is a holdout for the thresholds if its label is quality 1 (of labels that contradict each other, if any
+    one is) and it passes the base rules. Only
     doc_id, text and stratum are read, so other columns may have any name.
     """
     keep = [F.col(doc_id).alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("(none)")).alias("stratum")]

@@ -558,7 +558,7 @@ def sample_encode(docs: DataFrame, vocab: Vocabulary, k: int = 3, seed: int = 11
 def encode(docs: DataFrame, path: str = MODEL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids): the library's deterministic encoding of each whole text; null gives null, the empty text no ids.
 
-    Repeated rows are encoded each by itself; other columns aren't read.
+    Repeated rows are encoded each by itself; other columns aren't read. An empty table gives an empty result.
     """
     from sentencepiece import SentencePieceProcessor
 
@@ -580,7 +580,8 @@ def encode(docs: DataFrame, path: str = MODEL, doc_id: str = "doc_id", text: str
 def decode(encoded: DataFrame, vocab: Vocabulary, ids: str = "ids") -> DataFrame:
     """The input with `text` decoded from the column of ids; null gives null, no ids the empty text.
 
-    Other columns stay (but one named `text` is replaced); repeated rows are decoded each by itself.
+    Other columns stay (but one named `text` is replaced); repeated rows are decoded each by itself. An empty table gives an
+    empty result.
     """
     turn = decoder(vocab.pieces, vocab.byte_ids)
     keep = [c for c in encoded.columns if c != "text"]
