@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,70 +81,9 @@ def context_paragraphs(pages: DataFrame, key: str, html: str = "html", window: i
     return rows.filter((F.col("n") >= least) & (F.col("_b") > least) & (F.col("_a") > least)).select(key, "pos", "paragraph")
 
 
-class _Blocks(HTMLParser):
-    """Ordered text blocks: headings, paragraphs and code as text, tables as tab-separated rows, list items as lines."""
-
-    KEEP, SKIP = ("p", "code", "h1", "h2", "h3", "li", "td", "th"), ("script", "style", "nav")
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, str]] = []
-        self.open: list[tuple[str, list[str]]] = []
-        self.row: list[str] | None = None
-        self.skipped = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.SKIP:
-            self.skipped += 1
-        elif tag == "tr":
-            self.row = []
-        elif tag == "iframe" and not self.skipped:
-            frame = dict(attrs)
-            if frame.get("srcdoc"):
-                self.blocks += [(b["kind"], b["text"]) for b in blocks_of(frame["srcdoc"])]
-            elif frame.get("src"):
-                self.blocks.append(("iframe", frame["src"]))
-        elif tag in self.KEEP and not self.skipped:
-            self.open.append((tag, []))
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.SKIP:
-            self.skipped = max(0, self.skipped - 1)
-        elif tag == "tr" and self.row is not None:
-            self.blocks.append(("row", "\t".join(self.row)))
-            self.row = None
-        elif any(t == tag for t, _ in self.open):
-            while self.open:
-                t, parts = self.open.pop()
-                text = " ".join(" ".join(parts).split())
-                if t in ("td", "th") and self.row is not None:
-                    self.row.append(text)
-                elif text:
-                    self.blocks.append((t, text))
-                if t == tag:
-                    break
-
-    def handle_data(self, data: str) -> None:
-        if not self.skipped:
-            for _, parts in self.open:
-                parts.append(data)
-
-
 def blocks_of(html: str | None) -> list[dict[str, str]]:
-    """Blocks of one page in order; repeated headings, paragraphs and code count once, table rows and list items each time.
-
-    A frame's own document (iframe srcdoc) is read in its place; a frame from elsewhere is a block with its address.
-    """
-    p = _Blocks()
-    p.feed(html or "")
-    p.close()
-    seen: set[tuple[str, str]] = set()
-    out = []
-    for k, t in p.blocks:
-        if k in ("row", "li") or (k, t) not in seen:
-            seen.add((k, t))
-            out.append({"kind": k, "text": t})
-    return out
+    """Ordered text blocks of one page (see pagetree.kept_blocks)."""
+    return [{"kind": k, "text": t} for k, t in pagetree.kept_blocks(pagetree.Tree(html or ""))]
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])))

@@ -25,7 +25,7 @@ LEAST_CHARS = 25
 
 @dataclass
 class Node:
-    """An element: its parent's number, its class, and its stretch of the page's pieces of text."""
+    """An element: its parent's number, its class, its stretch of the page's pieces of text, and a frame's document and address."""
 
     tag: str
     parent: int
@@ -34,6 +34,7 @@ class Node:
     last: int = 0
     blocks: bool = False  # has a block below it
     children: list[int] = field(default_factory=list)
+    frame: tuple[str, str] = ("", "")
 
 
 class Tree(HTMLParser):
@@ -82,6 +83,9 @@ class Tree(HTMLParser):
         self.open.append(len(self.nodes) - 1)
         if tag == "body":
             self.nodes[-1].blocks = True
+        if tag == "iframe":
+            held = dict(attrs)
+            self.nodes[-1].frame = (held.get("srcdoc") or "", held.get("src") or "")
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -140,6 +144,31 @@ class Tree(HTMLParser):
         return out
 
 
+def kept_blocks(tree: Tree) -> list[tuple[str, str]]:
+    """(kind, text) in the order in which elements end: headings, paragraphs, code and list items, and table rows with tabs
+    between their cells. Navigation is left out. A frame's own document (srcdoc) is read in its place, one from elsewhere is
+    its address. Repeated headings, paragraphs and code count once, rows and list items each time."""
+    found: list[tuple[str, str]] = []
+    stack = [(0, False)]
+    while stack:
+        i, done = stack.pop()
+        node = tree.nodes[i]
+        if not done:
+            if node.tag in ("nav", "script", "style"):
+                continue
+            stack.append((i, True))
+            stack += [(c, False) for c in reversed(node.children)]
+        elif node.tag == "tr":
+            found.append(("row", "\t".join(tree.text(c) for c in node.children if tree.nodes[c].tag in ("td", "th"))))
+        elif node.tag == "iframe" and any(node.frame):
+            found += kept_blocks(Tree(node.frame[0])) if node.frame[0] else [("iframe", node.frame[1])]
+        elif node.tag in ("p", "code", "h1", "h2", "h3", "li") or node.tag in ("td", "th") and tree.nodes[node.parent].tag != "tr":
+            if text := tree.text(i):
+                found.append((node.tag, text))
+    seen: set[tuple[str, str]] = set()
+    return [b for b in found if b[0] in ("row", "li") or b not in seen and not seen.add(b)]
+
+
 def points(text: str) -> float:
     """A paragraph's points: one, one a comma, and one for each hundred characters up to three; none for short ones."""
     return 0.0 if len(text) < LEAST_CHARS else 1.0 + text.count(",") + min(len(text) // 100, 3)

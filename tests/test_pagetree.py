@@ -117,3 +117,8 @@ def test_page_summary_is_one_parse_of_every_page(spark, sf_dir):
 def test_null_pages(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "page_id long, html string").withColumn("body", F.lit(1))
     assert [(r["tag"], r["score"], r["body"], r["titles"]) for r in pagetree.read_pages(df, "page_id").collect()] == [("", 0.0, "", [])] * 2
+
+
+def test_blocks_of_unclosed_and_nested_elements():
+    page = "<nav><p>menu</p></nav><p>one <b>t</b>wo<br>x<p>three<ul><li>a<ul><li>b</ul><li>a</ul><table><tr><th>h<td><p>in</p><tr><td>1<td></table><td>lone</td><iframe srcdoc='<p>framed<p>three'></iframe><iframe src=u></iframe><p>one two x"
+    assert pagetree.kept_blocks(pagetree.Tree(page)) == [("p", "one two x"), ("p", "three"), ("li", "b"), ("li", "ab"), ("li", "a"), ("p", "in"), ("row", "h\tin"), ("row", "1\t"), ("td", "lone"), ("p", "framed"), ("iframe", "u")]
