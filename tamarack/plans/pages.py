@@ -106,7 +106,14 @@ def second_hop_domains(spark, sf_dir):
     return stats.counts(pairs.filter("first <> second"), "second", least=6)
 
 
-_PLAIN = "replace(trim(regexp_replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '&amp;', '&')"
+def _decoded(sql):
+    """SQL of a text with the pages' entities replaced; the last semicolon may be cut off."""
+    for name, shown in (("quot", '"'), ("#x27", "''"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        sql = f"regexp_replace({sql}, '&{name};?', '{shown}', 'g')"
+    return sql
+
+
+_PLAIN = _decoded("trim(regexp_replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))")
 
 
 @plan(f"""with h as (select page_id, 0 as i, 'h1' as kind, unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) as x from pages),
@@ -127,7 +134,7 @@ def page_summary(spark, sf_dir):
     return out.select("page_id", "tag", F.round("score", 4).alias("score"), F.length("body").alias("n_chars"), F.md5("body").alias("digest"))
 
 
-_H1 = "list_transform(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), lambda x: replace(trim(regexp_replace(x, '\\s+', ' ', 'g')), '&amp;', '&'))"
+_H1 = f"list_transform(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), lambda x: {_decoded("trim(regexp_replace(x, '\\s+', ' ', 'g'))")})"
 _MARKED = "url || ' of ' || page_id::varchar || ' in two'"
 
 
