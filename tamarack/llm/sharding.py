@@ -59,20 +59,31 @@ class Splitters:
         return find(first, second)
 
 
-def _cut(sample: np.ndarray, pieces: int, inside: bool) -> set[tuple[int, int]]:
-    """About `pieces` - 1 splitters at the quantiles of a sample of (first, second), sorted.
+def _cut(sample: np.ndarray, pieces: int) -> set[tuple[int, int]]:
+    """About `pieces` - 1 splitters at the quantiles of a sorted sample of (first, second), each before a first key, so
+    rows that share one stay together."""
+    return {(int(a), LEAST) for a in sample[np.arange(1, pieces) * len(sample) // pieces, 0]} if len(sample) else set()
 
-    A splitter is put before a first key, so rows that share it stay together; with `inside`, where the whole sample
-    shares one first key, it is put within that key's rows, and behind them.
+
+def _cut_again(sample: np.ndarray, size: int, limit: float) -> set[tuple[int, int]]:
+    """Splitters within an overfull range, from a sorted sample of its keys.
+
+    A first key with more than half of the limit (by its share of the sample) gets a range of its own, and one that is
+    over the limit, or alone in the sample, is cut within its rows.
     """
-    keys = sample[np.arange(1, pieces) * len(sample) // pieces] if len(sample) else sample
-    if inside and len(sample) and sample[0, 0] == sample[-1, 0]:
-        a = int(sample[0, 0])
-        return {(a, LEAST), *((a, int(b)) for b in keys[:, 1]), *([(a + 1, LEAST)] if a < (1 << 63) - 1 else [])}
-    found = {(int(a), LEAST) for a in keys[:, 0]}
-    if inside and len(sample):
-        found.add((int(sample[-1, 0]), LEAST))  # not the least of the range, so the range is cut in any case
-    return found
+    if not len(sample):
+        return set()
+    out = _cut(sample, int(2 * size / limit) + 2)
+    firsts, at, counts = np.unique(sample[:, 0], return_index=True, return_counts=True)
+    for a, i, n in zip(firsts.tolist(), at, counts):
+        share = size * n / len(sample)
+        if share > limit / 2 or len(firsts) == 1:
+            out |= {(a, LEAST), (a + 1, LEAST)} if a < (1 << 63) - 1 else {(a, LEAST)}
+        if share > limit or len(firsts) == 1:
+            pieces = int(2 * share / limit) + 2
+            out |= {(a, int(b)) for b in sample[i + np.arange(1, pieces) * n // pieces, 1]}
+    out.add((int(firsts[-1]), LEAST))  # not the least of several keys, so the range is cut in any case
+    return out
 
 
 def splitters(rows: DataFrame, shards: int, ranges: int = RANGES, draws: int = DRAWS, overfull: float = OVERFULL) -> Splitters:
@@ -81,8 +92,8 @@ def splitters(rows: DataFrame, shards: int, ranges: int = RANGES, draws: int = D
     `ranges` times `shards` quantile ranges come from a sample of `draws` keys a range, drawn without replacement with
     odds in proportion to the size (the least of exponential variates over sizes, seeded by the keys: the same at any
     partitioning). All ranges are then measured. Those with more than `overfull` of a shard's bytes are sampled by
-    themselves and cut again, at first between keys, where one key holds a range within its rows, until none is left that
-    has two rows with other keys. The driver holds shards * ranges * draws sampled keys, 16 bytes each, and the ranges' sizes.
+    themselves and cut again, between keys and within keys that are too large alone, until none is left that has two rows
+    with other keys. The driver holds shards * ranges * draws sampled keys, 16 bytes each, and the ranges' sizes.
     """
     most = shards * ranges * draws
     # a draw in (0, 1) of 52 bits from the keys; heavier rows come earlier
@@ -93,7 +104,7 @@ def splitters(rows: DataFrame, shards: int, ranges: int = RANGES, draws: int = D
         got = of.orderBy("turn", "first", "second").limit(most).toPandas()
         return np.array(sorted(set(zip(got["first"].tolist(), got["second"].tolist()))), np.int64).reshape(-1, 2)
 
-    cuts = Splitters().with_more(_cut(drawn(race), shards * ranges, False))
+    cuts = Splitters().with_more(_cut(drawn(race), shards * ranges))
     while True:
         at = cuts.column(F.col("first"), F.col("second"))
         measured = rows.groupBy(at.alias("range")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).toPandas()
@@ -109,7 +120,7 @@ def splitters(rows: DataFrame, shards: int, ranges: int = RANGES, draws: int = D
             sample = drawn(inside.select("first", "second", "turn"))
             place = cuts.ranges(sample[:, 0], sample[:, 1])
             for r in full:
-                more |= _cut(sample[place == r], int(2 * sizes[r] / limit) + 2, True)
+                more |= _cut_again(sample[place == r], int(sizes[r]), limit)
         grown = cuts.with_more(more)
         if len(grown) == len(cuts):
             break
