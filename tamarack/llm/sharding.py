@@ -89,22 +89,26 @@ def _cut_again(sample: np.ndarray, size: int, limit: float) -> set[tuple[int, in
 def splitters(rows: DataFrame, shards: int, ranges: int = RANGES, draws: int = DRAWS, overfull: float = OVERFULL) -> Splitters:
     """Splitters and their shards for rows (first, second, size).
 
-    `ranges` times `shards` quantile ranges come from a sample of `draws` keys a range, drawn without replacement with
-    odds in proportion to the size (the least of exponential variates over sizes, seeded by the keys: the same at any
-    partitioning). All ranges are then measured. Those with more than `overfull` of a shard's bytes are sampled by
+    `ranges` times `shards` quantile ranges come from a sample of about `draws` keys a range, drawn without replacement with
+    odds in proportion to the size (exponential variates over sizes that are under a common bound, seeded by the keys: the
+    same at any partitioning). The bound is set by the bytes in all, so tasks send the sample and nothing else, however many
+    they are. All ranges are then measured. Those with more than `overfull` of a shard's bytes are sampled by
     themselves and cut again, between keys and within keys that are too large alone, until none is left that has two rows
-    with other keys. The driver holds shards * ranges * draws sampled keys, 16 bytes each, and the ranges' sizes.
+    with other keys. The driver holds about shards * ranges * draws sampled keys (or 32 * shards / overfull, if that is
+    more), 16 bytes each, and the ranges' sizes.
     """
     most = shards * ranges * draws
     # a draw in (0, 1) of 52 bits from the keys; heavier rows come earlier
     u = (F.pmod(F.xxhash64(F.lit("splitters"), "first", "second"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     race = rows.select("first", "second", (-F.log(u) / F.col("size")).alias("turn"))
 
-    def drawn(of: DataFrame) -> np.ndarray:
-        got = of.orderBy("turn", "first", "second").limit(most).toPandas()
+    def drawn(of: DataFrame, size: int, most: float) -> np.ndarray:
+        """At most `most` keys on average, and about as many where no row is large."""
+        got = of.filter(F.col("turn") < most / max(1, size)).select("first", "second").toPandas()
         return np.array(sorted(set(zip(got["first"].tolist(), got["second"].tolist()))), np.int64).reshape(-1, 2)
 
-    cuts = Splitters().with_more(_cut(drawn(race), shards * ranges))
+    total = int(rows.agg(F.sum("size")).first()[0] or 0)
+    cuts = Splitters().with_more(_cut(drawn(race, total, most), shards * ranges))
     while True:
         at = cuts.column(F.col("first"), F.col("second"))
         measured = rows.groupBy(at.alias("range")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).toPandas()
@@ -117,7 +121,8 @@ def splitters(rows: DataFrame, shards: int, ranges: int = RANGES, draws: int = D
         more: set[tuple[int, int]] = set()
         if len(full):
             inside = race.withColumn("range", at).filter(F.col("range").isin(full.tolist()))
-            sample = drawn(inside.select("first", "second", "turn"))
+            held = int(sizes[full].sum())
+            sample = drawn(inside, held, max(most, 32 * held / limit))  # 32 keys or more a range, but where a row is large
             place = cuts.ranges(sample[:, 0], sample[:, 1])
             for r in full:
                 more |= _cut_again(sample[place == r], int(sizes[r]), limit)
