@@ -5,48 +5,53 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import PCA, CountVectorizer, HashingTF, Word2Vec
+from pyspark.ml.feature import PCA, CountVectorizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.operators import topics as latent
 from tamarack.session import stored
 
 
 def lda_topics(docs: DataFrame, doc_id: str, tokens: str, topics: int = 5, iterations: int = 10, vocabulary: int | None = 5000, seed: int = 17, share: float | None = None, columns: int | None = None) -> tuple[DataFrame, DataFrame]:
     """((doc_id, topics: array<double>), (topic, term, weight)): online variational LDA with a fixed seed.
 
-    With `columns` every word is kept, hashed into so many columns: topics x columns numbers are all that the driver holds
-    and sends in a round, whatever the vocabulary. Of v words, about 1 - exp(-v / columns) share a column with another one
+    With `columns` every word is kept, hashed into so many columns, and documents are inferred in numpy (operators/topics.py):
+    topics x columns numbers are all that the driver holds and sends in a round, whatever the vocabulary. Of v words, about 1 - exp(-v / columns) share a column with another one
     (a fifth of 30,000 words in 2**17 columns); such a column goes by its most frequent word. Otherwise the `vocabulary`
     most frequent words are kept (None: all of them, held by the driver).
-    An iteration draws a `share` of the documents, with replacement (Spark's own choice where there is none; 1.0: as many
-    draws as there are documents). Texts are read once, for their counts, which are a written table that every iteration
+    An iteration draws a `share` of the documents (with a vocabulary: Spark's own choice where there is none, with
+    replacement; with columns all of them, each once, where it is 1 or not given). Texts are read once, for their counts, which are a written table that every iteration
     reads (and once before that for a vocabulary).
     """
-    lda = LDA(k=topics, maxIter=iterations, seed=seed, featuresCol="_tf", optimizer="online")
     if columns:
-        counter = HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=columns)
-        tf = stored(counter.transform(docs).select(doc_id, "_tf"), "counts")
-    else:
-        counter = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocabulary or (1 << 31) - 1).fit(docs)
-        tf = stored(counter.transform(docs).select(doc_id, "_tf"), "counts")
+        return _hashed_topics(docs, doc_id, tokens, topics, iterations, seed, 1.0 if share is None else share, columns)
+    lda = LDA(k=topics, maxIter=iterations, seed=seed, featuresCol="_tf", optimizer="online")
+    counter = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocabulary or (1 << 31) - 1).fit(docs)
+    tf = stored(counter.transform(docs).select(doc_id, "_tf"), "counts")
     model = (lda if share is None else lda.setSubsamplingRate(share)).fit(tf)
     mixed = model.transform(tf).select(doc_id, vector_to_array("topicDistribution").alias("topics"))
     top = model.describeTopics(10).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
     used = sorted({i for r in model.describeTopics(10).select("termIndices").collect() for i in r[0]})  # ten for each topic
-    if columns:
-        words = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-        one = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=columns).transform(words.withColumn("_w", F.array("term")))
-        # a vector's indices can be read as JSON without making it dense
-        at = F.get(F.from_json(F.to_json(F.struct("_tf")), "_tf struct<indices: array<int>>")["_tf"]["indices"], F.lit(0))
-        table = one.select(at.alias("i"), "term", "n").filter(F.col("i").isin(used)).groupBy("i").agg(F.max_by("term", F.struct("n", "term")).alias("term"))
-    else:
-        table = docs.sparkSession.createDataFrame([(i, counter.vocabulary[i]) for i in used], "i int, term string")
+    table = docs.sparkSession.createDataFrame([(i, counter.vocabulary[i]) for i in used], "i int, term string")
     terms = top.select("topic", F.col("t.termIndices").alias("i"), F.col("t.termWeights").alias("weight")).join(table, "i").select("topic", "term", "weight")
     return mixed, terms
 
 
+def _hashed_topics(docs: DataFrame, doc_id: str, tokens: str, topics: int, rounds: int, seed: int, share: float, columns: int) -> tuple[DataFrame, DataFrame]:
+    """lda_topics() over hashed columns: the rounds of operators/topics.py."""
+    column = lambda t: F.pmod(F.xxhash64(t), F.lit(columns)).cast("int")
+    counts = latent.counted(docs, doc_id, F.transform(F.coalesce(tokens, F.array().cast("array<string>")), column))
+    weights, alpha = latent.fit(counts, columns, topics, rounds, seed, share)
+    likely = weights / weights.sum(1, keepdims=True)
+    top = [(k, int(i), float(likely[k, i])) for k in range(topics) for i in np.argsort(-likely[k], kind="stable")[:10]]
+    words = docs.select(F.explode(tokens).alias("term")).withColumn("i", column(F.col("term"))).filter(F.col("i").isin(sorted({i for _, i, _ in top})))
+    table = words.groupBy("i", "term").agg(F.count(F.lit(1)).alias("n")).groupBy("i").agg(F.max_by("term", F.struct("n", "term")).alias("term"))
+    terms = docs.sparkSession.createDataFrame(top, "topic int, i int, weight double").join(table, "i").select("topic", "term", "weight")
+    return latent.mixtures(counts, doc_id, weights, alpha, seed), terms
+
+
 def pca(rows: DataFrame, key: str, vector: str, dims: int = 8) -> DataFrame:
     """(key, components: array<double>), signs fixed so that each direction's largest loading is positive."""
     v = rows.select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v"))

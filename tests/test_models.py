@@ -1,5 +1,7 @@
 """Models against brute force, and the boundaries to outside models with fakes."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -98,3 +100,49 @@ def test_fetching_tries_again(spark, fails):
     queue = spark.createDataFrame([("1", "s", "u"), ("2", "other", "v")], "timestamp string, source string, link string")
     rows = external.fetch_pages(queue, Flaky(fails), {"s": lambda page: page + "!"}, attempts=5, sleep=lambda s: None).orderBy("timestamp").collect()
     assert (rows[0]["text"], rows[0]["error"]) == (("U!", None) if fails == 2 else (None, "OSError: down")) and rows[1]["error"] == "no extractor"
+
+
+def test_inference_in_lots_equals_plain_loops(spark):
+    """Documents of very different lengths, inferred together, have the weights and sums of one inferred by itself."""
+    from tamarack.operators import topics
+
+    x = np.array([0.2, 1.0, 7.5])
+    assert np.allclose(topics.digamma(x), [(math.lgamma(v + 1e-5) - math.lgamma(v - 1e-5)) / 2e-5 for v in x], atol=1e-6)
+    assert np.allclose(topics.trigamma(x), (topics.digamma(x + 1e-4) - topics.digamma(x - 1e-4)) / 2e-4, rtol=1e-5)
+    rng = np.random.default_rng(2)
+    k, columns = 3, 50
+    words = topics.likely(rng.gamma(1.0, 1.0, (k, columns)), 1).T
+    docs = [np.sort(rng.choice(columns, m, replace=False)) for m in (0, 1, 3, 40, 7, 0, 25, 2)]
+    counts = [rng.integers(1, 6, len(d)) for d in docs]
+    sums = np.zeros((k, columns))
+    at, n, cuts = np.concatenate(docs), np.concatenate(counts), np.r_[0, np.cumsum([len(d) for d in docs])]
+    got = topics.infer(at, n, cuts, words.astype(np.float32), np.full(k, 1 / k), 5, sums)
+    want = np.zeros((k, columns))
+    for d, c, g, gamma in zip(docs, counts, got, topics.starts(at, n, cuts, k, 5)):
+        if not len(d):
+            assert g.tolist() == [1 / k] * k
+            continue
+        for _ in range(topics.MOST):
+            theta = topics.likely(gamma[None], 1)[0]
+            new = 1 / k + theta * ((c / (words[d] @ theta)) @ words[d])
+            done, gamma = np.abs(new - gamma).mean() < topics.CLOSE, new
+            if done:
+                break
+        assert g == pytest.approx(gamma, abs=5e-3)
+        theta = topics.likely(gamma[None], 1)[0]
+        want[:, d] += ((c / (words[d] @ theta))[:, None] * words[d] * theta).T
+    assert np.allclose(sums, want, atol=2e-2) and sums.sum() == pytest.approx(sum(c.sum() for c in counts), rel=1e-5)
+
+
+def test_hashed_topics_read_every_document_a_round(spark):
+    """No draw with replacement: one round's sums hold every word of every document once."""
+    from pyspark.sql import functions as F
+
+    from tamarack.operators import topics
+
+    docs = spark.createDataFrame([(i, [f"w{i}", f"v{i}"]) for i in range(200)] + [(200, None)], "doc_id long, w array<string>").repartition(5)
+    counts = topics.counted(docs, "doc_id", F.transform(F.coalesce("w", F.array().cast("array<string>")), lambda t: F.pmod(F.xxhash64(t), F.lit(4096)).cast("int")))
+    rng = np.random.default_rng([7, 1])
+    start, rate = rng.gamma(100.0, 0.01, (4096, 2)).T, 1025**-0.51
+    sums = (topics.fit(counts, 4096, 2, 1, 7)[0] - (1 - rate) * start) / rate - 0.5
+    assert sums.sum() == pytest.approx(400, rel=1e-4)
