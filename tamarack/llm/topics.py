@@ -1,4 +1,4 @@
-"""Topics of documents without a topic column: clusters of hashed words, learnt on a bounded sample."""
+"""Topics of documents without a topic column: clusters of hashed words, learnt on all of them."""
 
 from __future__ import annotations
 
@@ -7,55 +7,161 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import text_or_empty, tidied, utf8
-from tamarack.llm.learning import sample_bags
+from tamarack.llm.common import discard, materialize, text_or_empty, tidied, uniform, utf8, written
 from tamarack.llm.subword import Features, Model
 
-#: Most documents the clusters are fitted on; every document gets a topic.
-SAMPLE = 2000
 FEATURES = Features(bits=13, ngrams=(), words=True)
 NO_TOPIC = "(none)"
 
 
-def fit(docs: DataFrame, topics: int = 8, limit: int = SAMPLE, features: Features = FEATURES, rounds: int = 30, seed: int = 5, doc_id: str = "doc_id", text: str = "text") -> Model:
+#: Unit vectors are summed as whole numbers of this scale, so sums don't depend on the order of documents.
+SCALE = 1 << 24
+#: Cells that are worked on at once.
+CELLS = 1 << 18
+
+
+def bags(docs: DataFrame, features: Features, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, rows, share), stored: the hashed words of every document that has one; key is a hash of its id and text."""
+
+    def run(batches):
+        for batch in batches:
+            found = list(features.bags(*utf8(batch.column(1))))
+            some = [i for i, (r, _) in enumerate(found) if len(r)]
+            parts = (pa.array([found[i][j].tobytes() for i in some], pa.binary()) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), *parts], ["key", "rows", "share"])
+
+    rows = docs.select(F.xxhash64(F.lit("topic"), F.col(doc_id), text_or_empty(text)).alias("key"), text_or_empty(text).alias("body"))
+    return materialize(rows.mapInArrow(tidied(run), "key long, rows binary, share binary"), "bags")
+
+
+def units(batches):
+    """(keys, cuts, rows, values) of runs of about CELLS cells: documents between `cuts`, with their shares or whole numbers."""
+    for batch in batches:
+        keys, rows, share = (batch.column(i) for i in range(3))
+        sizes = np.array([len(x) // 4 for x in rows.to_pylist()], np.int64)
+        kind = np.int32 if batch.schema.names[2] == "x" else np.float32
+        at, value = (np.frombuffer(b"".join(x.to_pylist()), t) for x, t in ((rows, np.int32), (share, kind)))
+        ends = np.cumsum(sizes)
+        first = 0
+        while first < len(sizes):
+            before = ends[first] - sizes[first]
+            last = max(first + 1, int(np.searchsorted(ends, before + CELLS, side="right")))
+            yield keys.to_numpy(zero_copy_only=False)[first:last], np.r_[0, ends[first:last] - before], at[before : ends[last - 1]], value[before : ends[last - 1]]
+            first = last
+
+
+def scaled(held: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(key, rows, x), stored: every document as whole numbers of SCALE that make a vector of unit length."""
+
+    def run(batches):
+        for keys, cuts, rows, share in units(batches):
+            v = share.astype(np.float64) * idf[rows]
+            norm = np.sqrt(np.add.reduceat(v * v, cuts[:-1]))
+            x = np.rint(v / np.repeat(np.maximum(norm, 1e-12), np.diff(cuts)) * SCALE).astype(np.int32)
+            parts = (pa.array([y[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for y in (rows, x))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *parts], ["key", "rows", "x"])
+
+    return materialize(held.mapInArrow(tidied(run), "key long, rows binary, x binary"), "units")
+
+
+def products(cuts: np.ndarray, rows: np.ndarray, values: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(documents, centres), for centres of (rows, centres)."""
+    return np.add.reduceat(centres[rows] * (values.astype(np.float32) * np.float32(1 / SCALE))[:, None], cuts[:-1], axis=0)
+
+
+def summed(held: DataFrame, centres: np.ndarray | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums (classes, size) over all documents of their vectors, by nearest centre, and documents a class. Without centres
+    there is one class, without idf every row of a document counts one. Tasks send sums, at most classes x size numbers."""
+    k = 1 if centres is None else centres.shape[1]
+
+    def run(batches):
+        total, n = np.zeros((k, size), np.int64), np.zeros(k, np.int64)
+        for _, cuts, rows, values in units(batches):
+            near = np.zeros(len(cuts) - 1, np.int64) if centres is None else np.argmax(products(cuts, rows, values, centres), axis=1)
+            n += np.bincount(near, minlength=k)
+            weight = values if values.dtype == np.int32 else None  # sums of a run are under 2**53: exact
+            total += np.bincount(np.repeat(near * size, np.diff(cuts)) + rows, weight, k * size).reshape(k, size).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(n), pa.array([t.tobytes() for t in total], pa.binary())], ["c", "n", "s"])
+
+    def add(batches):
+        """Tasks' sums of the classes of a partition, added up as they come."""
+        held_sums: dict[int, list] = {}
+        for batch in batches:
+            for c, n, t in zip(*(x.to_pylist() for x in batch.columns)):
+                was = held_sums.get(c, [0, 0])
+                held_sums[c] = [was[0] + n, was[1] + np.frombuffer(t, np.int64)]
+        for c, (n, t) in held_sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([n], pa.int64()), pa.array([t.tobytes()], pa.binary())], ["c", "n", "s"])
+
+    kind = "c int, n long, s binary"
+    total, n = np.zeros((k, size), np.int64), np.zeros(k, np.int64)
+    for r in held.mapInArrow(tidied(run), kind).repartition(k, "c").mapInArrow(tidied(add), kind).collect():  # a row a class
+        n[r["c"]], total[r["c"]] = r["n"], np.frombuffer(r["s"], np.int64)
+    return total, n
+
+
+def picked(held: DataFrame, centres: np.ndarray, size: int, seed: int | None) -> np.ndarray | None:
+    """The vector of one document of all: the one nearest to the centre without a seed, else drawn with chances in proportion
+    to the square of its gap to the nearest centre (the least of -log(u) / gap is such a draw). None where no gap is left.
+    Each task sends its best."""
+
+    def run(batches):
+        best = None
+        for keys, cuts, rows, values in units(batches):
+            near = products(cuts, rows, values, centres).max(axis=1).astype(np.float64)
+            if seed is None:
+                cost = -near
+            else:
+                gap = np.maximum(0, 1 - near) ** 2
+                cost = np.where(gap > 1e-9, -np.log(uniform(keys.astype(np.uint64) ^ np.uint64(seed))) / np.maximum(gap, 1e-300), np.inf)
+            j = int(np.lexsort((keys, cost))[0])
+            if np.isfinite(cost[j]) and (best is None or (cost[j], keys[j]) < best[:2]):
+                best = (float(cost[j]), int(keys[j]), rows[cuts[j] : cuts[j + 1]].astype(np.int32).tobytes(), values[cuts[j] : cuts[j + 1]].tobytes())
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in best], ["cost", "key", "rows", "x"])
+
+    got = held.mapInArrow(tidied(run), "cost double, key long, rows binary, x binary").orderBy("cost", "key").limit(1).collect()
+    if not got:
+        return None
+    out = np.zeros(size)
+    out[np.frombuffer(got[0]["rows"], np.int32)] = np.frombuffer(got[0]["x"], np.int32) / SCALE
+    return out
+
+
+def fit(docs: DataFrame, topics: int = 8, features: Features = FEATURES, rounds: int = 30, seed: int = 5, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Spherical k-means over hashed words weighted by inverse document frequency; classes `topic0`, `topic1`, ...
 
-    The sample is at most `limit` documents chosen by a hash of their ids (a null id is an id; of rows that repeat one, the one
-    with the least hash of its text is taken; equal hashes go by the id). The first centre is the document nearest to
-    the mean, each further one is drawn far from those before. Clusters are named in order of size. A document's topic
+    All rows with a word are counted, drawn from and clustered, each as often as it comes: frequencies and centres are sums
+    over tasks, of topics x 2**bits numbers. The first centre is the document nearest to the mean, each further one is drawn
+    far from those before. Rounds end when no sum changes. Clusters are named in order of size. A document's topic
     is the centre with the greatest dot product: linear in its words, so every text is classed whole at a look-up a word.
     """
-    bags, _ = sample_bags(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.lit("").alias("target")), "target", limit, features, "id")
-    bags = [b for b in bags if len(b[0])]
-    rows = 1 << features.bits
-    if not bags:
-        return Model(features, [], np.zeros((rows, 0), np.float32), np.zeros(0))
-    x = np.zeros((len(bags), rows), np.float32)
-    for i, (where, share) in enumerate(bags):
-        x[i, where] = share
-    idf = np.log((1 + len(bags)) / (1 + (x > 0).sum(0))).astype(np.float32)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rng = np.random.default_rng(seed)
-    centres = [x[int(np.argmax(x @ x.mean(0)))]]
-    while len(centres) < min(topics, len(x)):
-        gap = np.maximum(0, 1 - np.max(x @ np.array(centres).T, axis=1)) ** 2
-        if gap.sum() <= 1e-9:
+    size = 1 << features.bits
+    mark = written()
+    held = bags(docs, features, doc_id, text)
+    frequency, n = summed(held, None, size)
+    if not n[0]:
+        return Model(features, [], np.zeros((size, 0), np.float32), np.zeros(0))
+    idf = np.log((1 + n[0]) / (1 + frequency[0]))
+    held = scaled(held, idf)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    columns = lambda c: np.ascontiguousarray(np.array(c).T.astype(np.float32))
+    centres = [picked(held, columns([unit(summed(held, None, size)[0][0].astype(float))]), size, None)]
+    while len(centres) < min(topics, n[0]):
+        more = picked(held, columns(centres), size, seed * 1000 + len(centres))
+        if more is None:
             break
-        centres.append(x[rng.choice(len(x), p=gap / gap.sum())])
-    c = np.array(centres)
-    near = np.full(len(x), -1)
+        centres.append(more)
+    last, count = None, np.zeros(len(centres), np.int64)
     for _ in range(rounds):
-        now = np.argmax(x @ c.T, axis=1)
-        if (now == near).all():
+        total, count = summed(held, columns(centres), size)
+        if last is not None and np.array_equal(total, last):
             break
-        near = now
-        for k in range(len(c)):
-            if (near == k).any():
-                c[k] = x[near == k].sum(0)
-                c[k] /= max(np.linalg.norm(c[k]), 1e-12)
-    order = np.argsort(-np.bincount(near, minlength=len(c)), kind="stable")
-    return Model(features, [f"topic{k}" for k in range(len(c))], np.ascontiguousarray((c[order] * idf).T.astype(np.float32)), np.zeros(len(c)))
+        last = total
+        centres = [unit(t.astype(float)) if m else c for c, t, m in zip(centres, total, count)]
+    discard(docs.sparkSession, mark)
+    order = np.argsort(-count, kind="stable")
+    return Model(features, [f"topic{k}" for k in range(len(centres))], np.ascontiguousarray((np.array(centres)[order] * idf).T.astype(np.float32)), np.zeros(len(centres)))
 
 
 def topics_and_tokens(docs: DataFrame, keep: list[Column], model: Model | None, text: str = "text") -> DataFrame:

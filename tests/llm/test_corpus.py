@@ -354,6 +354,21 @@ def test_topics_are_learnt(spark):
     assert len({got[i] for i in range(3)}) == 3 and all(got[i] == got[i % 3] for i in got)
 
 
+def test_topics_are_learnt_from_every_document(spark):
+    """A subject that four documents in six thousand have is counted: the words' weights come from all rows, repeated ones too."""
+    from tamarack.llm import topics
+
+    rows = [(i, f"common{i % 7} other{i % 5}") for i in range(6000)] + [(10000 + i, f"rare seldom word{i}") for i in range(4)]
+    held = topics.bags(table(spark, rows + rows[-1:]), topics.FEATURES)
+    frequency, n = topics.summed(held, None, 1 << topics.FEATURES.bits)
+    assert n.tolist() == [6005] and frequency.sum() == 2 * 6000 + 3 * 5
+    many = topics.fit(table(spark, rows).repartition(7), topics=3)
+    few = topics.fit(table(spark, rows).coalesce(1), topics=3)
+    assert np.array_equal(many.weights, few.weights)
+    weights = topics.summed(topics.scaled(held, np.ones(1 << topics.FEATURES.bits)), many.weights * 0, 1 << topics.FEATURES.bits)
+    assert weights[1].sum() == 6005
+
+
 def day(n):
     return datetime.date(2024, 1, 1) + datetime.timedelta(n)
 
