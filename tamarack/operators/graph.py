@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tamarack.functions.vectors import cosine
+from tamarack.operators import blocks
+from tamarack.session import stored
 
 
 def edges(triples: DataFrame, sub: str, obj: str, seq: str) -> DataFrame:
@@ -29,25 +31,34 @@ def typed(triples: DataFrame, kinds: DataFrame, name: str = "name", kind: str =
     return out
 
 
-def neighbours(queries: DataFrame, table: DataFrame, key: str, vector: str, k: int = 5, digits: int = 6, block: int = 4096) -> DataFrame:
+def neighbours(queries: DataFrame, table: DataFrame, key: str, vector: str, k: int = 5, digits: int = 6, block: int = 1 << 16) -> DataFrame:
     """(query, match, similarity, rank): the k most similar rows of `table` for each query, by cosine; exact.
 
-    A stated set of queries is compared with all rows, in blocks of about `block` queries. Up to one block (the number is
-    checked first) the queries are broadcast; more of them are dealt to blocks, and each row meets every block through an
-    equi join. The rank filter becomes a group limit, so each task passes on k candidates per query, not all pairs.
+    A stated set of queries is compared with all rows, a block of about `block` queries at a time, by products in numpy
+    (operators/blocks.py): a task passes on k candidates a query, not all pairs. Vectors of another size than the largest,
+    with a null or non-finite component, or without a length meet the others through a plain join; there are few of them.
     """
     unit = lambda v: F.transform(v, lambda x: x.cast("double"))
-    q = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("_qv"))
-    t = table.select(F.col(key).alias("match"), unit(F.col(vector)).alias("_tv"))
-    n = queries.limit(block + 1).count()
-    if n <= block:
-        pairs = t.crossJoin(F.broadcast(q))  # at most `block` rows
-    else:
-        blocks = -(-queries.count() // block)
-        pairs = t.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")), "_b")
-    scored = pairs.filter("query <> match").select("query", "match", F.round(cosine(F.col("_qv"), F.col("_tv")), digits).alias("similarity"))
+    q = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("q"))
+    t = table.select(F.col(key).alias("match"), unit(F.col(vector)).alias("v"))
+    dims = t.agg(F.max(F.size("v"))).first()[0] or 0
+    good_q, good_t = blocks.sound("q", dims) & F.col("query").isNotNull(), blocks.sound("v", dims) & F.col("match").isNotNull()
+    n = -(-q.filter(good_q).count() // block)
+    found = None
+    for i in range(n):
+        some = q.filter(good_q & (F.pmod(F.xxhash64("query"), F.lit(n)) == i))
+        one = blocks.best(t.filter(good_t), some, dims, k, digits)
+        one = stored(one, "near") if n > 1 else one  # a block's queries leave the driver with it
+        found = one if found is None else found.unionByName(one)
+    rest = [(q, t.filter(~good_t)), (q.filter(~good_q), t.filter(good_t))]
+    for a, b in rest:
+        if a.take(1) and b.take(1):
+            pairs = b.crossJoin(a).filter("query <> match").select("query", "match", F.round(cosine(F.col("q"), F.col("v")), digits).alias("similarity"))
+            found = pairs if found is None else found.unionByName(pairs)
+    if found is None:
+        found = q.join(t, F.lit(False)).select("query", "match", F.lit(None).cast("double").alias("similarity"))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "match")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def capped(links: DataFrame, name: str, order: Column, k: int = 5) -> DataFrame:

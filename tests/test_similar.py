@@ -49,3 +49,19 @@ def test_probes_are_the_cheapest_sets(bits, most):
         cost = lambda s: sum(row[j] ** 2 for j in range(bits) if s >> j & 1)
         want = sorted(cost(s) for s in range(1 << bits))[:most]
         assert len(set(sets.tolist())) == len(sets) and sorted(map(cost, sets.tolist())) == pytest.approx(want)
+
+
+def test_exact_neighbours_go_through_products(spark):
+    """No pair is a row before the best k of a task; odd vectors, copies and ties are as in plain loops."""
+    rng = np.random.default_rng(8)
+    x = [rng.standard_normal(6).tolist() for _ in range(80)] + [[1.0, 2.0, 0.5, 0.0, 0.0, 1.0]] * 40
+    rows = list(enumerate(x)) + [(500, None), (501, [0.0] * 6), (502, [1.0]), (503, [1.0, None, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "i long, v array<double>").repartition(4)
+    plan = graph.neighbours(df.filter("i < 100"), df.filter("i < 120"), "i", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Cartesian" not in plan
+    for block in (1 << 16, 30):
+        got = {(r["query"], r["rank"]): (r["match"], r["similarity"]) for r in graph.neighbours(df.filter("i % 9 = 0"), df, "i", "v", block=block).collect()}
+        for q in range(0, 120, 9):
+            a = np.array(x[q])
+            want = sorted((-round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 6), m) for m, b in ((m, np.array(b)) for m, b in enumerate(x)) if m != q)[:5]
+            assert [got[q, r] for r in range(1, 6)] == [(m, pytest.approx(-s, abs=1e-9)) for s, m in want]
