@@ -23,19 +23,21 @@ def sound(vector: str, dims: int) -> Column:
 
 def unit_rows(column: pa.Array, dims: int) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def best(table: DataFrame, queries: DataFrame, dims: int, k: int, digits: int, allowed: Callable[[np.ndarray, int, int], np.ndarray] | None = None) -> DataFrame:
+def best(table: DataFrame, queries: DataFrame, dims: int, k: int, digits: int, allowed: Callable | None = None, itself: bool = False) -> DataFrame:
     """(query, match, similarity): of (match, v) rows, at least the k most similar of every task to each of the (query, q) rows.
 
     Similarities are rounded to `digits`; of equal ones the smaller match stays. The queries are brought to the tasks, so their number is
-    the caller's to bound. `allowed`, made from the queries' unit vectors by the caller, says which pairs count.
+    the caller's to bound. `allowed` makes of the queries' unit vectors what says which pairs count; a row with the query's key
+    counts only with `itself`.
     """
     held = queries.select("query", "q").toArrow()
     ids = held.column("query").combine_chunks() if held.num_rows else pa.array([], held.schema.field("query").type)
     units = unit_rows(held.column("q").combine_chunks(), dims) if held.num_rows else np.zeros((0, dims))
-    sent = table.sparkSession.sparkContext.broadcast((ids.to_numpy(zero_copy_only=False), units, allowed))
+    sent = table.sparkSession.sparkContext.broadcast((ids.to_numpy(zero_copy_only=False), units, allowed(units) if allowed else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q, mask = sent.value
@@ -49,7 +51,8 @@ def best(table: DataFrame, queries: DataFrame, dims: int, k: int, digits: int, a
                 tops = []
                 for first in range(0, len(q), QUERIES):
                     s = np.round(q[first : first + QUERIES] @ x.T, digits)
-                    s[names[first : first + QUERIES, None] == match[None, :]] = -np.inf
+                    if not itself:
+                        s[names[first : first + QUERIES, None] == match[None, :]] = -np.inf
                     if mask is not None:
                         s[~mask(x, first, min(first + QUERIES, len(q)))] = -np.inf
                     tops.append(_top(s, np.broadcast_to(match, s.shape), k))

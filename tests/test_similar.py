@@ -65,3 +65,17 @@ def test_exact_neighbours_go_through_products(spark):
             a = np.array(x[q])
             want = sorted((-round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 6), m) for m, b in ((m, np.array(b)) for m, b in enumerate(x)) if m != q)[:5]
             assert [got[q, r] for r in range(1, 6)] == [(m, pytest.approx(-s, abs=1e-9)) for s, m in want]
+
+
+def test_no_pair_of_a_bucket_is_a_row(spark):
+    """Buckets are held as bits: what counts is what shares one in plain loops, and the plan has no exchange of pairs."""
+    rng = np.random.default_rng(6)
+    q, x = rng.standard_normal((21, 8)), rng.standard_normal((50, 8))
+    planes = similar.projections(8, 3, 4, 1)
+    got = similar.Shared(q, planes, 5)(x, 0, 21)
+    code = lambda v, p: sum(int(z > 0) << j for j, z in enumerate(v @ p))
+    want = [[any(code(b, p) in {code(a, p) ^ int(f) for f in similar.probes((a @ p)[None], 5)[0]} for p in planes) for b in x] for a in q]
+    assert got.tolist() == want
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    plan = similar.close_neighbours(df.filter("i < 9"), df, "i", "v", dims=8)._jdf.queryExecution().executedPlan().toString()
+    assert "code" not in plan
