@@ -122,3 +122,16 @@ def test_null_pages(spark):
 def test_blocks_of_unclosed_and_nested_elements():
     page = "<nav><p>menu</p></nav><p>one <b>t</b>wo<br>x<p>three<ul><li>a<ul><li>b</ul><li>a</ul><table><tr><th>h<td><p>in</p><tr><td>1<td></table><td>lone</td><iframe srcdoc='<p>framed<p>three'></iframe><iframe src=u></iframe><p>one two x"
     assert pagetree.kept_blocks(pagetree.Tree(page)) == [("p", "one two x"), ("p", "three"), ("li", "b"), ("li", "ab"), ("li", "a"), ("p", "in"), ("row", "h\tin"), ("row", "1\t"), ("td", "lone"), ("p", "framed"), ("iframe", "u")]
+
+
+def test_pages_are_read_in_lots():
+    """No more than a lot's trees and results are held at once, whatever the batch."""
+    import pyarrow as pa
+
+    texts = ["x" * 10] * 600 + [None, "", "y" * (pagetree.LOT_BYTES + 1), "z" * (pagetree.LOT_BYTES - 5), "w" * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["k", "html"])
+    got = list(pagetree.lots(batch, 1))
+    assert [k for b in got for k in b.column(0).to_pylist()] == list(range(len(texts)))
+    sizes = [[len(t or "") for t in b.column(1).to_pylist()] for b in got]
+    assert all(len(s) <= pagetree.LOT and (len(s) == 1 or sum(s) <= pagetree.LOT_BYTES) for s in sizes) and len(got) == 6
+    assert list(pagetree.lots(batch.slice(0, 0), 1)) == []
