@@ -94,19 +94,33 @@ class Features:
                 padded[starts[k] : starts[k] + lengths[k]] = data[offsets[i + k] : offsets[i + k + 1]]
             yield i, padded, starts, starts + lengths
 
-    def bags(self, data: np.ndarray, offsets: np.ndarray):
-        """Per document: ascending distinct rows and the sums of their shares of each kind's features."""
+    def packed(self, data: np.ndarray, offsets: np.ndarray):
+        """(sizes, rows, shares) of runs of documents: each document's ascending distinct rows and the sums of their shares
+        of each kind's features, one document behind the other."""
         for _, padded, starts, ends in self.documents(data, offsets):
-            rows, share = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for r, place in self.streams(padded, starts, ends):
-                owner = np.searchsorted(ends, place, side="right")
-                rows.append((owner.astype(np.int64) << self.bits) | r)
-                share.append(1.0 / np.bincount(owner, minlength=len(starts))[owner])
-            key, where = np.unique(np.concatenate(rows), return_inverse=True)
-            total = np.bincount(where, np.concatenate(share), len(key)).astype(np.float32)
+            kinds = [((np.searchsorted(ends, place, side="right")).astype(np.int64), r) for r, place in self.streams(padded, starts, ends)]
+            if len(kinds) == 1:  # one share a document: counting sorted keys will do
+                owner, r = kinds[0]
+                found = np.sort((owner << self.bits) | r)
+                first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+                key = found[first]
+                total = np.diff(np.r_[first, len(found)]) * (1.0 / np.maximum(np.bincount(owner, minlength=len(starts)), 1))[key >> self.bits]
+            else:
+                rows, share = [np.zeros(0, np.int64)], [np.zeros(0)]
+                for owner, r in kinds:
+                    rows.append((owner << self.bits) | r)
+                    share.append(1.0 / np.bincount(owner, minlength=len(starts))[owner])
+                key, where = np.unique(np.concatenate(rows), return_inverse=True)
+                total = np.bincount(where, np.concatenate(share), len(key))
             cut = np.searchsorted(key, np.arange(len(starts) + 1, dtype=np.int64) << self.bits)
-            for k in range(len(starts)):
-                yield (key[cut[k] : cut[k + 1]] & ((1 << self.bits) - 1)).astype(np.int32), total[cut[k] : cut[k + 1]]
+            yield np.diff(cut), (key & ((1 << self.bits) - 1)).astype(np.int32), total.astype(np.float32)
+
+    def bags(self, data: np.ndarray, offsets: np.ndarray):
+        """Per document: ascending distinct rows and the sums of their shares of each kind's features."""
+        for sizes, rows, total in self.packed(data, offsets):
+            cut = np.r_[0, np.cumsum(sizes)]
+            for k in range(len(sizes)):
+                yield rows[cut[k] : cut[k + 1]], total[cut[k] : cut[k + 1]]
 
 
 @dataclass

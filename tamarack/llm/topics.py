@@ -16,68 +16,86 @@ NO_TOPIC = "(none)"
 
 #: Unit vectors are summed as whole numbers of this scale, so sums don't depend on the order of documents.
 SCALE = 1 << 24
-#: Cells that are worked on at once.
-CELLS = 1 << 18
+#: Cells (a document's distinct hashed words) of a run: documents are kept and worked on in runs of about so many.
+CELLS = 1 << 16
+PACKED = "keys binary, sizes binary, rows binary"
 
 
 def bags(docs: DataFrame, features: Features, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, rows, share), stored: the hashed words of every document that has one; key is a hash of its id and text."""
+    """(keys, sizes, rows, share), stored: runs of documents that have a word, with their hashed words one document behind the
+    other; a key is a hash of a document's id and text."""
+    kind = np.uint16 if features.bits <= 16 else np.int32
 
     def run(batches):
         for batch in batches:
-            found = list(features.bags(*utf8(batch.column(1))))
-            some = [i for i, (r, _) in enumerate(found) if len(r)]
-            parts = (pa.array([found[i][j].tobytes() for i in some], pa.binary()) for j in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), *parts], ["key", "rows", "share"])
+            data, offsets = utf8(batch.column(1))
+            keys, first = batch.column(0).to_numpy(zero_copy_only=False), 0
+            for sizes, rows, share in features.packed(data, offsets):
+                own = keys[first : first + len(sizes)][sizes > 0]
+                first += len(sizes)
+                cuts = np.r_[0, np.cumsum(sizes[sizes > 0])]
+                yield from _rows_of(own, cuts, rows.astype(kind), share, "share")
 
     rows = docs.select(F.xxhash64(F.lit("topic"), F.col(doc_id), text_or_empty(text)).alias("key"), text_or_empty(text).alias("body"))
-    return materialize(rows.mapInArrow(tidied(run), "key long, rows binary, share binary"), "bags")
+    return materialize(rows.mapInArrow(tidied(run), f"{PACKED}, share binary"), "bags")
+
+
+def _rows_of(keys: np.ndarray, cuts: np.ndarray, rows: np.ndarray, values: np.ndarray, name: str):
+    """A row for each run of about CELLS cells; a longer document is a run of its own."""
+    first = 0
+    while first < len(keys):
+        last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + CELLS, side="right")) - 1)
+        i, j = cuts[first], cuts[last]
+        parts = (keys[first:last], np.diff(cuts[first : last + 1]).astype(np.int32), rows[i:j], values[i:j])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["keys", "sizes", "rows", name])
+        first = last
 
 
 def units(batches):
-    """(keys, cuts, rows, values) of runs of about CELLS cells: documents between `cuts`, with their shares or whole numbers."""
+    """(keys, cuts, rows, values) of every run: documents between `cuts`, with their shares or whole numbers."""
     for batch in batches:
-        keys, rows, share = (batch.column(i) for i in range(3))
-        sizes = np.array([len(x) // 4 for x in rows.to_pylist()], np.int64)
-        kind = np.int32 if batch.schema.names[2] == "x" else np.float32
-        at, value = (np.frombuffer(b"".join(x.to_pylist()), t) for x, t in ((rows, np.int32), (share, kind)))
-        ends = np.cumsum(sizes)
-        first = 0
-        while first < len(sizes):
-            before = ends[first] - sizes[first]
-            last = max(first + 1, int(np.searchsorted(ends, before + CELLS, side="right")))
-            yield keys.to_numpy(zero_copy_only=False)[first:last], np.r_[0, ends[first:last] - before], at[before : ends[last - 1]], value[before : ends[last - 1]]
-            first = last
+        kind = np.int32 if batch.schema.names[3] == "x" else np.float32
+        for i in range(batch.num_rows):
+            keys, sizes, rows, values = (batch.column(c)[i].as_buffer() for c in range(4))
+            cuts = np.r_[0, np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64)]
+            yield np.frombuffer(keys, np.int64), cuts, np.frombuffer(rows, np.uint16 if rows.size == 2 * cuts[-1] else np.int32).astype(np.intp), np.frombuffer(values, kind)
 
 
 def scaled(held: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(key, rows, x), stored: every document as whole numbers of SCALE that make a vector of unit length."""
+    """(keys, sizes, rows, x), stored: every document as whole numbers of SCALE that make a vector of unit length."""
+    kind = np.uint16 if len(idf) <= 1 << 16 else np.int32
 
     def run(batches):
         for keys, cuts, rows, share in units(batches):
             v = share.astype(np.float64) * idf[rows]
             norm = np.sqrt(np.add.reduceat(v * v, cuts[:-1]))
             x = np.rint(v / np.repeat(np.maximum(norm, 1e-12), np.diff(cuts)) * SCALE).astype(np.int32)
-            parts = (pa.array([y[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for y in (rows, x))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *parts], ["key", "rows", "x"])
+            yield from _rows_of(keys, cuts, rows.astype(kind), x, "x")
 
-    return materialize(held.mapInArrow(tidied(run), "key long, rows binary, x binary"), "units")
+    return materialize(held.mapInArrow(tidied(run), f"{PACKED}, x binary"), "units")
 
 
 def products(cuts: np.ndarray, rows: np.ndarray, values: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """(documents, centres), for centres of (rows, centres)."""
-    return np.add.reduceat(centres[rows] * (values.astype(np.float32) * np.float32(1 / SCALE))[:, None], cuts[:-1], axis=0)
+    """(centres, documents), for centres of (centres, rows): a centre at a time, so that its look-ups stay in the cache."""
+    share = values.astype(np.float32) * np.float32(1 / SCALE)
+    out, one = np.empty((len(centres), len(cuts) - 1), np.float32), np.empty(len(rows), np.float32)
+    for k, centre in enumerate(centres):
+        np.take(centre, rows, out=one, mode="clip")
+        np.multiply(one, share, out=one)
+        np.add.reduceat(one, cuts[:-1], out=out[k])
+    return out
 
 
 def summed(held: DataFrame, centres: np.ndarray | None, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums (classes, size) over all documents of their vectors, by nearest centre, and documents a class. Without centres
     there is one class, without idf every row of a document counts one. Tasks send sums, at most classes x size numbers."""
     k = 1 if centres is None else centres.shape[1]
+    tables = None if centres is None else np.ascontiguousarray(centres.T, np.float32)
 
     def run(batches):
         total, n = np.zeros((k, size), np.int64), np.zeros(k, np.int64)
         for _, cuts, rows, values in units(batches):
-            near = np.zeros(len(cuts) - 1, np.int64) if centres is None else np.argmax(products(cuts, rows, values, centres), axis=1)
+            near = np.zeros(len(cuts) - 1, np.int64) if tables is None else np.argmax(products(cuts, rows, values, tables), axis=0)
             n += np.bincount(near, minlength=k)
             weight = values if values.dtype == np.int32 else None  # sums of a run are under 2**53: exact
             total += np.bincount(np.repeat(near * size, np.diff(cuts)) + rows, weight, k * size).reshape(k, size).astype(np.int64)
@@ -104,11 +122,12 @@ def picked(held: DataFrame, centres: np.ndarray, size: int, seed: int | None) ->
     """The vector of one document of all: the one nearest to the centre without a seed, else drawn with chances in proportion
     to the square of its gap to the nearest centre (the least of -log(u) / gap is such a draw). None where no gap is left.
     Each task sends its best."""
+    tables = np.ascontiguousarray(centres.T, np.float32)
 
     def run(batches):
         best = None
         for keys, cuts, rows, values in units(batches):
-            near = products(cuts, rows, values, centres).max(axis=1).astype(np.float64)
+            near = products(cuts, rows, values, tables).max(axis=0).astype(np.float64)
             if seed is None:
                 cost = -near
             else:

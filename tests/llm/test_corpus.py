@@ -354,6 +354,24 @@ def test_topics_are_learnt(spark):
     assert len({got[i] for i in range(3)}) == 3 and all(got[i] == got[i % 3] for i in got)
 
 
+def test_topic_passes_read_runs_of_documents(spark, monkeypatch):
+    """A pass reads a row for many documents; runs hold every document once, one longer than a run too."""
+    from tamarack.llm import topics
+
+    rows = [(i, f"one{i % 9} two{i % 5} three") for i in range(500)] + [(900, " ".join(f"w{i}" for i in range(3000))), (901, None), (902, " ")]
+    monkeypatch.setattr(topics, "CELLS", 400)
+    held = topics.bags(table(spark, rows).coalesce(1), topics.FEATURES)
+    assert 4 <= held.count() <= 8
+    size = 1 << topics.FEATURES.bits
+    unit = topics.scaled(held, np.ones(size)).toArrow()
+    found = list(topics.units(unit.to_batches()))
+    assert sum(len(k) for k, *_ in found) == 501 and max(len(r) for _, _, r, _ in found) > 2000
+    centres = np.random.default_rng(1).random((3, size)).astype(np.float32)
+    for _, cuts, at, x in found:
+        want = [[(x[i:j] / topics.SCALE) @ c[at[i:j]] for i, j in zip(cuts, cuts[1:])] for c in centres]
+        assert topics.products(cuts, at, x, centres) == pytest.approx(np.array(want), rel=1e-4)
+
+
 def test_topics_are_learnt_from_every_document(spark):
     """A subject that four documents in six thousand have is counted: the words' weights come from all rows, repeated ones too."""
     from tamarack.llm import topics
