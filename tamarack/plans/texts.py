@@ -60,8 +60,8 @@ df as (select term, count(*) as df from tf group by 1), n as (select count(*) as
 r as (select doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join df using (term), n), l as (select doc_id, sqrt(sum(w * w)) as l from r group by 1), w as (select doc_id, term, w / l as w from r join l using (doc_id))"""
 
 
-def _weights(spark, sf_dir):
-    return terms.tfidf(_docs(spark, sf_dir), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]{2,}"), F.lit(0)))
+def _weights(spark, sf_dir, heaviest=None):
+    return terms.tfidf(_docs(spark, sf_dir), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]{2,}"), F.lit(0)), heaviest)
 
 
 @plan(_TFIDF + " select term, round(sum(w), 4) as score from w group by 1 order by score desc, term limit 25")
@@ -71,7 +71,7 @@ def tfidf_top25(spark, sf_dir):
 
 @plan(_TFIDF + " select doc_id, term, round(w, 6) as w, row_number() over (partition by doc_id order by round(w, 6) desc, term)::int as rank from w qualify rank <= 10")
 def tfidf_per_doc_top10(spark, sf_dir):
-    return terms.document_top(_weights(spark, sf_dir).withColumn("w", F.round("w", 6)), "doc_id")
+    return terms.document_top(_weights(spark, sf_dir, heaviest=10), "doc_id")
 
 
 @plan(f"""with t as (select doc_id, unnest({_W}) as term, generate_subscripts({_W}, 1) as pos from documents), d as (select term, count(distinct doc_id)::bigint as df from t group by 1)
