@@ -48,7 +48,8 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Two sampled segmentations of every document, the likelier draw first: their ids, log-probabilities and inclusion
     scores, and whether both decode to the text. A null text has nulls; a text with one segmentation has it alone. Rows that repeat id
     and text have the same segmentations."""
-    out = sentencepiece_ops.sample_encode(docs, sentencepiece_ops.Vocabulary.load(), k=2)
+    # fewer lattices are kept than in the operator itself: executors still hold what the stages before have taken
+    out = sentencepiece_ops.sample_encode(docs, sentencepiece_ops.Vocabulary.load(), k=2, most_nodes=300_000)
     sizes = F.transform("ids", lambda x: F.size(x).cast("long"))
     return out.select("doc_id", "ids", sizes.alias("n_pieces"), "log_p", "log_inclusion", "round_trip")
 

@@ -297,9 +297,9 @@ class Sampler:
     of their common mass, which is taken apart exactly if it is ever the best (deep regions have almost no mass).
     """
 
-    def __init__(self, vocab: Vocabulary, k: int = 3, seed: int = 11, near: int = 24):
+    def __init__(self, vocab: Vocabulary, k: int = 3, seed: int = 11, near: int = 24, most_nodes: int = 1_000_000):
         self.vocab, self.k, self.seed, self.near = vocab, k, np.uint64(seed), near
-        self.lattice = Lattices(vocab)
+        self.lattice = Lattices(vocab, most_nodes)
 
     def _walk(self, word: np.ndarray, node: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sample a path from `node` to the end of each word: how many edges each has, and the edges, words end to end."""
@@ -512,7 +512,7 @@ SAMPLES = "ids array<array<int>>, log_p array<double>, perturbed array<double>,
 NUMBERS = ("log_p", "perturbed", "inclusion", "log_inclusion")
 
 
-def sample_encode(docs: DataFrame, vocab: Vocabulary, k: int = 3, seed: int = 11, doc_id: str = "doc_id", text: str = "text", run_chars: int = 150_000) -> DataFrame:
+def sample_encode(docs: DataFrame, vocab: Vocabulary, k: int = 3, seed: int = 11, doc_id: str = "doc_id", text: str = "text", run_chars: int = 150_000, most_nodes: int = 1_000_000) -> DataFrame:
     """One row per input row: doc_id, and k distinct sampled segmentations in descending perturbed order.
 
     ids, log_p (of the segmentation given the text), perturbed, inclusion (the probability of being among the k, given
@@ -520,9 +520,10 @@ def sample_encode(docs: DataFrame, vocab: Vocabulary, k: int = 3, seed: int = 11
     (doc_id; null has a key of its own) and the place in the text, so they are the same at any partitioning; rows that
     repeat key and text get the same samples. The empty text has the empty segmentation alone; a null text gives null in
     every column but doc_id. Whole texts are read, in runs of about `run_chars` characters (a longer text is a run of its
-    own, and its lattice is held whole); other columns aren't. An empty table gives an empty result.
+    own, and its lattice is held whole); other columns aren't. Words' lattices are
+    kept for later runs until they have `most_nodes` nodes, which bounds a worker's memory and changes no result. An empty table gives an empty result.
     """
-    sampler, decode = Sampler(vocab, k, seed), decoder(vocab.pieces, vocab.byte_ids)
+    sampler, decode = Sampler(vocab, k, seed, most_nodes=most_nodes), decoder(vocab.pieces, vocab.byte_ids)
 
     def run(batches):
         for batch in batches:

@@ -520,3 +520,13 @@ def test_the_count_of_removed_lines_has_a_free_name(spark):
         line_dedup.line_dedup(df)
     out = line_dedup.line_dedup(df, count="gone")
     assert out.columns == [*df.columns, "gone"] and {r["n_lines_removed"] for r in out.collect()} == {1}
+
+
+def test_kept_lattices_change_no_sample(spark):
+    """However few lattices a worker keeps for later runs, samples are the same."""
+    from tamarack.llm import sentencepiece_ops
+
+    rows = [(i, f"some words {i * 37} and unusual{i}ness again") for i in range(60)]
+    vocab = sentencepiece_ops.Vocabulary.load()
+    many, few = (sorted(map(repr, sentencepiece_ops.sample_encode(table(spark, rows).coalesce(1), vocab, k=2, run_chars=200, most_nodes=n).collect())) for n in (1_000_000, 50))
+    assert many == few
