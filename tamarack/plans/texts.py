@@ -60,8 +60,12 @@ df as (select term, count(*) as df from tf group by 1), n as (select count(*) as
 r as (select doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join df using (term), n), l as (select doc_id, sqrt(sum(w * w)) as l from r group by 1), w as (select doc_id, term, w / l as w from r join l using (doc_id))"""
 
 
+def _longer():
+    return F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]{2,}"), F.lit(0))
+
+
 def _weights(spark, sf_dir, heaviest=None):
-    return terms.tfidf(_docs(spark, sf_dir), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]{2,}"), F.lit(0)), heaviest)
+    return terms.tfidf(_docs(spark, sf_dir), "doc_id", _longer(), heaviest)
 
 
 @plan(_TFIDF + " select term, round(sum(w), 4) as score from w group by 1 order by score desc, term limit 25")
@@ -181,7 +185,7 @@ def lda_topics(spark, sf_dir):
 @plan()
 def nmf_topics(spark, sf_dir):
     """Ten heaviest terms of five non-negative topics of the TF-IDF table, every term kept, both factors as tables."""
-    return factors.top_terms(factors.factorise(_weights(spark, sf_dir), rounds=8), 5).withColumn("weight", F.round("weight", 5))
+    return factors.top_terms(factors.factorise_blocks(terms.tfidf_blocks(_docs(spark, sf_dir), "doc_id", _longer()), rounds=8), 5).withColumn("weight", F.round("weight", 5))
 
 
 @plan()

@@ -83,3 +83,19 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "id long, text string")
     w = text.words(F.col("text"))
     assert [r["vector"] for r in paragraphs.infer(df, "id", w, paragraphs.fit(df, w, dims=4, epochs=1, rows=16)).collect()] == [None, None]
+
+
+def test_blocks_have_the_factors_of_rows(spark):
+    """Blocks of tf-idf have the factors of its rows, words without an id left out; no bucketed table stays in the catalogue."""
+    from tamarack.operators import terms
+
+    rng = random.Random(2)
+    rows = [(i, [f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 40))]) for i in range(60)] + [(60, []), (61, None), (None, ["w1", "only"]), (5, ["w2", "w2"])]
+    docs = spark.createDataFrame(rows, "doc_id long, t array<string>").repartition(3)
+    plain = factors.factorise(terms.tfidf(docs, "doc_id", F.col("t")), topics=3, rounds=4)
+    got = factors.factorise_blocks(terms.tfidf_blocks(docs, "doc_id", F.col("t")), topics=3, rounds=4)
+    assert got.losses == pytest.approx(plain.losses) and len(got.losses) == 4
+    for a, b, key in ((got.docs, plain.docs, "doc"), (got.terms, plain.terms, "term")):
+        x, y = (sorted(tuple(r) for r in f.collect()) for f in (a, b))
+        assert [r[0] for r in x] == [r[0] for r in y] and np.array([r[1:] for r in x]) == pytest.approx(np.array([r[1:] for r in y])), key
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("factors_")]
