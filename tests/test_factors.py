@@ -99,3 +99,42 @@ def test_blocks_have_the_factors_of_rows(spark):
         x, y = (sorted(tuple(r) for r in f.collect()) for f in (a, b))
         assert [r[0] for r in x] == [r[0] for r in y] and np.array([r[1:] for r in x]) == pytest.approx(np.array([r[1:] for r in y])), key
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("factors_")]
+
+
+def test_vectors_that_step_together_are_those_of_single_documents():
+    """Lots of documents have the vectors that a plain loop gives them, words of a step that come again move by the sum, and draws are
+    those of a search."""
+    rng = np.random.default_rng(3)
+    odds = np.cumsum(np.r_[rng.random(50), np.full(20_000, 1e-9), rng.random(14)])
+    odds /= odds[-1]
+    u = np.r_[rng.random(20_000), odds[:-1], 0.0]
+    assert (paragraphs.Draws(odds)(u) == np.searchsorted(odds, u, "right").clip(0, len(odds) - 1)).all()
+    odds = np.linspace(1 / 64, 1, 64)
+    docs = [rng.integers(0, 64, n) for n in (1, 5, 32, 33, 70, 3, 200) + (40,) * 20]
+    words = rng.random((64, 6), dtype=np.float32) - 0.5
+
+    def plain(ids, table, moving, passes=3, negative=2, rate=0.1):
+        g, d = paragraphs._begun(ids, 6, 9)
+        for p in range(passes):
+            pace = rate * (1 - p / passes)
+            order = ids[g.permutation(len(ids))]
+            drawn = np.searchsorted(odds, g.random((len(ids), negative)), "right").clip(0, 63)
+            for at in range(0, len(ids), paragraphs.STEP):
+                rows = np.c_[order, drawn][at : at + paragraphs.STEP].ravel()
+                label = np.tile([1.0] + [0.0] * negative, len(rows) // (1 + negative))
+                push = (label - 1 / (1 + np.exp(-table[rows] @ d))) * pace
+                near = table[rows].copy()
+                if moving:
+                    for r, x in zip(rows, push):
+                        table[r] += x * d
+                d = d + push @ near
+        return d
+
+    draws = paragraphs.Draws(odds)
+    got = paragraphs.vectors(docs + docs[3:4], words, draws, 2, 0.1, 3, 9)
+    assert got == pytest.approx(np.array([plain(x, words.astype(float), False) for x in docs + docs[3:4]]), abs=1e-5)
+    assert (got[-1] == got[3]).all()
+    own, table = words.copy(), words.astype(float)
+    for x in docs:
+        assert paragraphs.learn(x, own, draws, 2, 0.1, 3, 9, np.empty(64)) == pytest.approx(plain(x, table, True), abs=1e-4)
+    assert own == pytest.approx(table, abs=1e-4)
