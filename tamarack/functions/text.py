@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,14 +129,31 @@ def search_phrase(name: Column, manager: Column) -> Column:
     return F.format_string('"%s" %s malicious package', name, manager)
 
 
+def followed(docs: DataFrame, tokens: str) -> DataFrame:
+    """(a, b, n): how often b follows a in the documents of a batch; after a document's last token b is null. A pair comes once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(0).value_lengths().fill_null(0).to_numpy()
+            coded = batch.column(0).flatten().dictionary_encode(null_encoding="encode")
+            a, end = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+            b = np.r_[a[1:], end][: len(a)]
+            b[np.cumsum(sizes)[sizes > 0] - 1] = end
+            pairs, n = np.unique(a * (end + 1) + b, return_counts=True)
+            for at in range(0, len(pairs), 1 << 16):
+                a, b = np.divmod(pairs[at : at + (1 << 16)], end + 1)
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(a)), coded.dictionary.take(pa.array(b, mask=b == end)), pa.array(n[at : at + (1 << 16)])], ["a", "b", "n"])
+
+    return docs.select(tokens).mapInArrow(run, "a string, b string, n long")
+
+
 def bigrams(docs: DataFrame, tokens: str, min_count: int = 1, threshold: float = 2.0) -> DataFrame:
     """(a, b, n_ab, score) of collocations: (n_ab - min_count) * vocabulary / (n_a * n_b) over the threshold (0 or more).
 
-    Tokens are read once, each with its follower; words are summed from the written pairs, and only pairs that occur more
-    than `min_count` times, the others' score being 0 at most, meet the words' counts.
+    Tokens are read once, each with its follower, and counted a batch of documents at a time; words are summed from the written
+    pairs, and only pairs that occur more than `min_count` times, the others' score being 0 at most, meet the words' counts.
     """
-    follow = F.explode(F.expr(f"transform({tokens}, (x, i) -> struct(x as a, get({tokens}, i + 1) as b))"))
-    two = stored(docs.select(follow.alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n_ab")), "pairs")
+    two = stored(followed(docs, tokens).groupBy("a", "b").agg(F.sum("n").alias("n_ab")), "pairs")
     one = stored(two.groupBy(F.col("a").alias("w")).agg(F.sum("n_ab").alias("n")), "words")
     two = two.filter(F.col("b").isNotNull() & (F.col("n_ab") > min_count))
     size = one.agg(F.count(F.lit(1)).alias("v"))

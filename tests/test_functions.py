@@ -131,3 +131,13 @@ def test_advisories_and_versions(spark):
     assert tuple(value(spark, text.name_and_version(t), t=(" left-pad   1.0 more", "string"))) == ("left-pad", "1.0")
     assert value(spark, text.sentence_runs(t, 2), t=("A b. C d! E?", "string")) == ["A b. C d!", "C d! E?"]
     assert value(spark, text.sentence_runs(t, 2), t=("", "string")) == []
+
+
+def test_followed_counts_pairs_a_batch_at_a_time(spark):
+    """Pairs never run over a document's end, nor into null, empty or one-word documents; each comes once a batch, not once a place."""
+    rows = [(["a", "b", "a", "b"],), (None,), ([],), (["b"],), (["a", None, "b"],), (["a", "b"],), (["ü", "ü", "ü"],)]
+    got = text.followed(spark.createDataFrame(rows, "w array<string>").coalesce(1), "w").collect()
+    assert sorted(tuple(r) for r in got if r["a"] and r["b"]) == [("a", "b", 3), ("b", "a", 1), ("ü", "ü", 2)]
+    assert sorted((r["a"] or "", r["n"]) for r in got if not r["b"]) == [("a", 1), ("b", 4), ("ü", 1)]
+    assert [r["n"] for r in got if r["a"] is None] == [1] and len(got) == 7
+    assert text.followed(spark.createDataFrame([], "w array<string>"), "w").count() == 0
