@@ -18,6 +18,8 @@ NO_TOPIC = "(none)"
 SCALE = 1 << 24
 #: Cells (a document's distinct hashed words) of a run: documents are kept and worked on in runs of about so many.
 CELLS = 1 << 16
+#: Moves of centres (of length 1) up to this let a round's documents be narrowed.
+CALM = 0.1
 PACKED = "keys binary, sizes binary, rows binary"
 
 
@@ -118,6 +120,27 @@ def summed(held: DataFrame, centres: np.ndarray | None, size: int) -> tuple[np.n
     return total, n
 
 
+def narrowed(held: DataFrame, centres: np.ndarray, room: np.ndarray) -> DataFrame:
+    """The documents of `held`, stored, whose nearest centre may be another one once each centre has moved from `centres` by no
+    more than its `room`: a unit vector's product changes by no more than that. All others keep theirs."""
+    tables = np.ascontiguousarray(centres.T, np.float32)
+    slack = len(centres) * 2.0**-21  # over the rounding of four sums of so many numbers of 24 bits
+
+    def run(batches):
+        for keys, cuts, rows, values in units(batches):
+            near = products(cuts, rows, values, tables).astype(np.float64)
+            own, at = np.argmax(near, axis=0), np.arange(len(keys))
+            least = near[own, at] - room[own]
+            most = near + room[:, None]
+            most[own, at] = -np.inf
+            loose = most.max(axis=0) >= least - slack
+            cells = np.repeat(loose, np.diff(cuts))
+            kind = np.uint16 if len(centres) <= 1 << 16 else np.int32
+            yield from _rows_of(keys[loose], np.r_[0, np.cumsum(np.diff(cuts)[loose])], rows[cells].astype(kind), values[cells], "x")
+
+    return materialize(held.mapInArrow(tidied(run), f"{PACKED}, x binary"), "loose")
+
+
 def picked(held: DataFrame, centres: np.ndarray, size: int, seed: int | None) -> np.ndarray | None:
     """The vector of one document of all: the one nearest to the centre without a seed, else drawn with chances in proportion
     to the square of its gap to the nearest centre (the least of -log(u) / gap is such a draw). None where no gap is left.
@@ -152,7 +175,8 @@ def fit(docs: DataFrame, topics: int = 8, features: Features = FEATURES, rounds:
 
     All rows with a word are counted, drawn from and clustered, each as often as it comes: frequencies and centres are sums
     over tasks, of topics x 2**bits numbers. The first centre is the document nearest to the mean, each further one is drawn
-    far from those before. Rounds end when no sum changes. Clusters are named in order of size. A document's topic
+    far from those before. Rounds end when no sum changes. Once centres move little, rounds read only the documents that may
+    still change (`narrowed`) and add the fixed sums of the others: the same sums. Clusters are named in order of size. A document's topic
     is the centre with the greatest dot product: linear in its words, so every text is classed whole at a look-up a word.
     """
     size = 1 << features.bits
@@ -165,19 +189,29 @@ def fit(docs: DataFrame, topics: int = 8, features: Features = FEATURES, rounds:
     held = scaled(held, idf)
     unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
     columns = lambda c: np.ascontiguousarray(np.array(c).T.astype(np.float32))
+    moved = lambda a, b: np.linalg.norm(np.array(a) - np.array(b), axis=1)
     centres = [picked(held, columns([unit(summed(held, None, size)[0][0].astype(float))]), size, None)]
     while len(centres) < min(topics, n[0]):
         more = picked(held, columns(centres), size, seed * 1000 + len(centres))
         if more is None:
             break
         centres.append(more)
-    last, count = None, np.zeros(len(centres), np.int64)
+    last, count, loose, kept = None, np.zeros(len(centres), np.int64), None, written()
     for _ in range(rounds):
-        total, count = summed(held, columns(centres), size)
+        if loose is not None and (moved(origin, centres) > room).any():
+            loose = None
+            discard(docs.sparkSession, kept)
+        total, count = summed(held if loose is None else loose, columns(centres), size)
+        if loose is not None:
+            total, count = total + fixed[0], count + fixed[1]
         if last is not None and np.array_equal(total, last):
             break
-        last = total
+        last, were = total, centres
         centres = [unit(t.astype(float)) if m else c for c, t, m in zip(centres, total, count)]
+        if loose is None and moved(were, centres).max() <= CALM:
+            origin, room = were, 2 * moved(were, centres) + CALM / 10
+            loose = narrowed(held, columns(origin), room)
+            fixed = [x - y for x, y in zip((total, count), summed(loose, columns(origin), size))]
     discard(docs.sparkSession, mark)
     order = np.argsort(-count, kind="stable")
     return Model(features, [f"topic{k}" for k in range(len(centres))], np.ascontiguousarray((np.array(centres)[order] * idf).T.astype(np.float32)), np.zeros(len(centres)))

@@ -372,6 +372,28 @@ def test_topic_passes_read_runs_of_documents(spark, monkeypatch):
         assert topics.products(cuts, at, x, centres) == pytest.approx(np.array(want), rel=1e-4)
 
 
+def test_topic_rounds_read_only_documents_that_may_change(spark, monkeypatch):
+    import numpy as np
+
+    from tamarack.llm import topics
+
+    rows = [(i, prose(i, 12) + f" own{i % 3}" * (i % 4)) for i in range(400)]
+    summed, read = topics.summed, []
+
+    def counted(held, centres, size):
+        total, n = summed(held, centres, size)
+        read.append(int(n.sum()))
+        return total, n
+
+    monkeypatch.setattr(topics, "summed", counted)
+    narrow = topics.fit(table(spark, rows), topics=4)
+    few, read[:] = list(read), []
+    monkeypatch.setattr(topics, "CALM", -1.0)
+    whole = topics.fit(table(spark, rows), topics=4)
+    assert narrow.classes == whole.classes and np.array_equal(narrow.weights, whole.weights)
+    assert set(read) == {400} and len(read) > 6 and min(few) < 200
+
+
 def test_topics_are_learnt_from_every_document(spark):
     """A subject that four documents in six thousand have is counted: the words' weights come from all rows, repeated ones too."""
     from tamarack.llm import topics
