@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.llm import topics
-from tamarack.llm.common import materialize
+from tamarack.llm.common import materialize, small_batches
 
 #: The most cells (combinations of the marginals' values) that are held in numpy: 2**17 rows of a few numbers. More are
 #: raked as tables, by the same steps and the same stopping rule.
@@ -186,8 +186,9 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     language. Draws depend on seed and doc_id only: repeated rows share their fate, and so do all rows with a null
     doc_id of one cell. Other columns aren't read. An empty table gives an empty result.
     """
-    model = None if topic_column else model or topics.fit(docs, doc_id=doc_id, text=text)
-    rows = materialize(features(docs, [F.col(doc_id).alias("doc_id")], model, text, source, lang, topic_column), "mixed")
+    with small_batches(docs.sparkSession):
+        model = None if topic_column else model or topics.fit(docs, doc_id=doc_id, text=text)
+        rows = materialize(features(docs, [F.col(doc_id).alias("doc_id")], model, text, source, lang, topic_column), "mixed")
     out = rows.join(_weighed(rows, targets, budget, power), list(NAMES))
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "weight", "prob", taken(F.col("doc_id"), F.col("prob"), seed).alias("kept"), "marginal_error")
 
@@ -197,9 +198,10 @@ def mixed_rows(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | Non
 
     The rows with their topics and tokens are a written table, so every text is classed once.
     """
-    model = model or topics.fit(docs, doc_id=doc_id, text=text)
     own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = dict(zip(docs.columns, own.columns))
-    rows = materialize(features(own, [F.col(c) for c in own.columns], model, at[text], at["source"], at["lang"]), "mixed")
+    with small_batches(docs.sparkSession):
+        model = model or topics.fit(docs, doc_id=doc_id, text=text)
+        rows = materialize(features(own, [F.col(c) for c in own.columns], model, at[text], at["source"], at["lang"]), "mixed")
     out = rows.join(_weighed(rows, targets, budget, power), list(NAMES)).filter(taken(F.col(at[doc_id]), F.col("prob"), seed))
     return out.select(*own.columns).toDF(*docs.columns)

@@ -394,6 +394,18 @@ def test_topic_rounds_read_only_documents_that_may_change(spark, monkeypatch):
     assert set(read) == {400} and len(read) > 6 and min(few) < 200
 
 
+def test_mixing_sends_small_batches(spark, monkeypatch):
+    from tamarack.llm import common, mixing, topics
+
+    name, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    for module, step in ((topics, "summed"), (mixing, "features")):
+        monkeypatch.setattr(module, step, lambda *a, f=getattr(module, step), **b: sizes.append(spark.conf.get(name)) or f(*a, **b))
+    rows = [(i, prose(i, 30)) for i in range(20)]
+    assert mixing.mix(table(spark, rows)).count() == 20 and mixing.mixed_rows(table(spark, rows)).count() > 0
+    assert set(sizes) == {str(common.BATCH_BYTES)} and spark.conf.get(name) == before
+
+
 def test_topics_are_learnt_from_every_document(spark):
     """A subject that four documents in six thousand have is counted: the words' weights come from all rows, repeated ones too."""
     from tamarack.llm import topics
