@@ -48,16 +48,26 @@ def best(table: DataFrame, queries: DataFrame, dims: int, k: int, digits: int, a
                 match, x = part.column(0).to_numpy(zero_copy_only=False), unit_rows(part.column(1), dims)
                 order = np.argsort(match, kind="stable")
                 match, x = match[order], x[order]
-                tops = []
+                fresh = keep is None
+                if fresh:
+                    keep = np.full((len(q), k), -np.inf), np.full((len(q), k), match[0], match.dtype)
                 for first in range(0, len(q), QUERIES):
-                    s = np.round(q[first : first + QUERIES] @ x.T, digits)
-                    if not itself:
-                        s[names[first : first + QUERIES, None] == match[None, :]] = -np.inf
+                    last = min(first + QUERIES, len(q))
+                    s, held, names_ = q[first:last] @ x.T, (keep[0][first:last], keep[1][first:last]), names[first:last]
                     if mask is not None:
-                        s[~mask(x, first, min(first + QUERIES, len(q)))] = -np.inf
-                    tops.append(_top(s, np.broadcast_to(match, s.shape), k))
-                s, m = (np.concatenate(c) for c in zip(*tops))
-                keep = (s, m) if keep is None else _top(np.c_[keep[0], s], np.c_[keep[1], m], k)
+                        s[~mask(x, first, last)] = -np.inf
+                    if fresh:
+                        s = np.round(s, digits)
+                        if not itself:
+                            s[names_[:, None] == match[None, :]] = -np.inf
+                        top = _top(s, np.broadcast_to(match, s.shape), k)
+                        held[0][:, : top[0].shape[1]], held[1][:, : top[0].shape[1]] = top
+                    else:  # what is under a query's k-th best even when rounded is passed over; no cosine is under -2
+                        row, col = np.divmod(np.flatnonzero(s >= np.maximum(held[0][:, -1:] - 10.0**-digits, -2)), len(x))
+                        if not itself:
+                            other = names_[row] != match[col]
+                            row, col = row[other], col[other]
+                        _merge(*held, row, match[col], np.round(s[row, col], digits))
         if keep is not None:
             i, j = np.nonzero(np.isfinite(keep[0]))
             yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(keep[1][i, j]), pa.array(keep[0][i, j])], ["query", "match", "similarity"])
@@ -66,6 +76,20 @@ def best(table: DataFrame, queries: DataFrame, dims: int, k: int, digits: int, a
     return table.select("match", "v").mapInArrow(run, f"query {kind['query']}, match {kind['match']}, similarity double")
 
 
+def _merge(best: np.ndarray, match: np.ndarray, row: np.ndarray, found: np.ndarray, s: np.ndarray) -> None:
+    """Put what was `found` for some rows (in order of the row, a row's by match) among their k best, in place."""
+    if not len(row):
+        return
+    n = np.bincount(row, minlength=len(best))
+    some, place = np.flatnonzero(n), np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    at = (np.cumsum(n > 0) - 1)[row], place
+    more, other = np.full((len(some), n.max()), -np.inf), np.full((len(some), n.max()), found[0], found.dtype)
+    more[at], other[at] = s, found
+    if n.max() > 4 * best.shape[1]:
+        more, other = _top(more, other, best.shape[1])
+    best[some], match[some] = _top(np.c_[best[some], more], np.c_[match[some], other], best.shape[1])
+
+
 def _top(s: np.ndarray, match: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest of every row; of equal ones those with the smaller match."""
     if s.shape[1] > 4 * k:

@@ -34,8 +34,8 @@ def typed(triples: DataFrame, kinds: DataFrame, name: str = "name", kind: str =
 def neighbours(queries: DataFrame, table: DataFrame, key: str, vector: str, k: int = 5, digits: int = 6, block: int = 1 << 16) -> DataFrame:
     """(query, match, similarity, rank): the k most similar rows of `table` for each query, by cosine; exact.
 
-    A stated set of queries is compared with all rows, a block of about `block` queries at a time, by products in numpy
-    (operators/blocks.py): a task passes on k candidates a query, not all pairs. Vectors of another size than the largest,
+    The queries (a stated set, or every row) are compared with all rows, a block of about `block` queries at a time, by products in
+    numpy (operators/blocks.py): a task passes on k candidates a query, not all pairs. Vectors of another size than the largest,
     with a null or non-finite component, or without a length meet the others through a plain join; there are few of them.
     """
     unit = lambda v: F.transform(v, lambda x: x.cast("double"))
@@ -44,10 +44,11 @@ def neighbours(queries: DataFrame, table: DataFrame, key: str, vector: str, k: i
     dims = t.agg(F.max(F.size("v"))).first()[0] or 0
     good_q, good_t = blocks.sound("q", dims) & F.col("query").isNotNull(), blocks.sound("v", dims) & F.col("match").isNotNull()
     n = -(-q.filter(good_q).count() // block)
-    found = None
+    found, whole = None, t.filter(good_t).repartition(table.sparkSession.sparkContext.defaultParallelism)  # few files are few tasks
+    whole = stored(whole, "vectors") if n > 1 else whole
     for i in range(n):
         some = q.filter(good_q & (F.pmod(F.xxhash64("query"), F.lit(n)) == i))
-        one = blocks.best(t.filter(good_t), some, dims, k, digits)
+        one = blocks.best(whole, some, dims, k, digits)
         one = stored(one, "near") if n > 1 else one  # a block's queries leave the driver with it
         found = one if found is None else found.unionByName(one)
     rest = [(q, t.filter(~good_t)), (q.filter(~good_q), t.filter(good_t))]

@@ -75,7 +75,7 @@ def close_neighbours(queries: DataFrame, table: DataFrame, key: str, vector: str
     few = Window.partitionBy("v").orderBy("match")
     same = rows.withColumn("_n", F.row_number().over(few)).filter(F.col("_n") <= k + 1)  # a group limit: each task passes on k + 1
     entries = same.groupBy("v").agg(F.array_sort(F.collect_list("match")).alias("members"))
-    entries = stored(entries.withColumn("entry", F.col("members")[0]), "entries")
+    entries = stored(entries.withColumn("entry", F.col("members")[0]).repartition(table.sparkSession.sparkContext.defaultParallelism), "entries")
     asked = stored(queries.filter(sound & F.col(key).isNotNull()).select(F.col(key).alias("query"), F.transform(vector, lambda v: v.cast("double")).alias("q")), "asked")
     n, found = -(-asked.count() // block), None
     for i in range(max(n, 1)):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tamarack import plans
-from tamarack.operators import graph, similar
+from tamarack.operators import blocks, graph, similar
 
 
 def test_recall_against_the_exact_join(spark, sf_dir):
@@ -79,3 +79,28 @@ def test_no_pair_of_a_bucket_is_a_row(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
     plan = similar.close_neighbours(df.filter("i < 9"), df, "i", "v", dims=8)._jdf.queryExecution().executedPlan().toString()
     assert "code" not in plan
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_later_rows_of_a_task_are_passed_over_by_bounds(spark, monkeypatch, kind):
+    """Every row of a table is asked for; a task that meets its rows in many parts keeps the best of plain loops, ties by the smaller key."""
+    monkeypatch.setattr(blocks, "ROWS", 7)
+    monkeypatch.setattr(blocks, "QUERIES", 16)
+    rng = np.random.default_rng(5)
+    x = np.r_[np.round(rng.standard_normal((90, 3))), np.tile([[1.0, 2.0, 0.0]], (12, 1))]
+    x = x[np.abs(x).sum(1) > 0][rng.permutation(int((np.abs(x).sum(1) > 0).sum()))]
+    name = (lambda i: i) if kind == "long" else (lambda i: "n" * (i % 9) + str(i))
+    df = spark.createDataFrame([(name(i), v.tolist()) for i, v in enumerate(x)], f"i {kind}, v array<double>").coalesce(2)
+    run = blocks.best(df.selectExpr("i as match", "v"), df.selectExpr("i as query", "v as q"), 3, 4, 6).collect()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(unit @ unit.T, 6)
+    for i in range(len(x)):
+        got = sorted({(-r["similarity"], r["match"]) for r in run if r["query"] == name(i)})[:4]
+        want = sorted((-s[i, j], name(j)) for j in range(len(x)) if j != i)[:4]
+        assert [m for _, m in got] == [m for _, m in want] and [v for v, _ in got] == pytest.approx([v for v, _ in want])
+
+
+def test_every_vector_is_a_query(spark, sf_dir):
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()}
+    for name in ("cosine_top5", "cosine_top5_lsh"):
+        assert {r["query"] for r in plans.QUERIES[name](spark, sf_dir).collect()} == ids
