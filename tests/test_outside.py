@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,16 @@ def test_documents_are_bounded(spark):
     assert sinks.json_document(df, "id").first()["json"] == '[{"id":0},{"id":1},{"id":2},{"id":3},{"id":4}]'
     with pytest.raises(ValueError, match="more than 4"):
         sinks.json_document(df, "id", most=4)
+
+
+def test_counts_are_bytes_and_lots_hold_words_by_topic(spark):
+    """No cell is an element of a list that goes to a task; exp(digamma) without branches is that of digamma()."""
+    from tamarack.operators import topics
+
+    docs = spark.createDataFrame([(1, [5, 3, 5]), (2, []), (3, None), (4, [70_000])], "d long, w array<int>").coalesce(1)
+    counts = topics.counted(docs, "d", F.col("w"))
+    assert dict(counts.dtypes) == {"d": "bigint", "at": "binary", "n": "binary"}
+    at, n, cuts = topics._cells(counts.orderBy("d").toArrow().combine_chunks().to_batches()[0], 1)
+    assert (at.tolist(), n.tolist(), cuts.tolist()) == ([3, 5, 70_000], [1, 2, 1], [0, 2, 2, 2, 3])
+    x = np.geomspace(0.02, 1e7, 5000)
+    assert topics.grown(x) == pytest.approx(np.exp(topics.digamma(x)), rel=1e-7)
