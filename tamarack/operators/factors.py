@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.session import scratch, stored
+from tamarack.session import delete, scratch, stored
 
 LEAST = 1e-12
 #: Columns of a block (see blocks_of()).
@@ -75,15 +75,25 @@ def a_block(block: int, docs: pa.Array, cuts: np.ndarray, codes: np.ndarray, w:
 
 
 class _Bucketed:
-    """Tables with a row a block, written in buckets by block: they join each other without an exchange, so cells stay where they are."""
+    """Tables written in buckets, by block or by term: those of one kind join each other without an exchange, so what is in them stays
+    where it is."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.names, self.buckets = spark, [], 4 * spark.sparkContext.defaultParallelism
+        self.spark, self.names, self.buckets = spark, {}, 4 * spark.sparkContext.defaultParallelism
 
-    def stored(self, df: DataFrame) -> DataFrame:
-        self.names.append(f"factors_{uuid.uuid4().hex}")
-        df.write.bucketBy(self.buckets, "block").option("path", scratch(self.spark, "factors")).saveAsTable(self.names[-1])
-        return self.spark.table(self.names[-1])
+    def stored(self, df: DataFrame, by: str = "block") -> DataFrame:
+        name, path = f"factors_{uuid.uuid4().hex}", scratch(self.spark, "factors")
+        df.write.bucketBy(self.buckets, by).option("path", path).saveAsTable(name)
+        self.names[name] = path
+        return self.spark.table(name)
+
+    def last(self) -> str:
+        return next(reversed(self.names))
+
+    def dropped(self, name: str) -> None:
+        """A table that nothing reads any more, with its files."""
+        self.spark.sql(f"drop table {name}")
+        delete(self.spark, self.names.pop(name))
 
     def forget(self) -> None:
         """The names go; the files stay until discard()."""
@@ -145,34 +155,45 @@ def factorise(weights: DataFrame, doc: str = "doc_id", term: str = "term", w: st
 def factorise_blocks(blocks: DataFrame, topics: int = 5, rounds: int = 10, seed: int = 17) -> Factors:
     """As factorise(), of blocks (see blocks_of(); a document is in one block only).
 
-    Cells are written once, in buckets, and never sent again. In a round a block sends a sum for each of its terms and asks for the
-    new factor of each, whatever the number of its documents that have it. Each round's factors are written tables.
+    Cells are written once, in buckets, and never sent again. In a round a block sends a sum for each of its terms and is sent the
+    new factor of each, whatever the number of its documents that have it: these are all that is exchanged, as terms and the blocks that
+    have them lie in buckets by term. Each round's factors are written tables; those before go once they are read.
     """
     spark = blocks.sparkSession
     tables = _Bucketed(spark)
     held = tables.stored(blocks)
-    asks = held.select("block", F.posexplode("terms").alias("at", "term"))
-    terms = stored(start(asks.select("term").distinct(), "term", topics, seed + 1), "terms")
+    asks = tables.stored(held.select("block", F.posexplode("terms").alias("at", "term")).repartition(tables.buckets, "term"), "term")
+    terms = tables.stored(start(asks.select("term").distinct(), "term", topics, seed + 1), "term")
+    terms_name = tables.last()
     cells = held.select("block", "sizes", "codes", "w", F.size("terms").alias("n_terms"))
     fs, ns = ([f"{c}{j}" for j in range(topics)] for c in "fn")
     drawn = lambda j: F.transform("docs", lambda d: _draw(d, j, seed)).alias(f"f{j}")
     first = held.select("block", "sizes", "codes", "w", F.size("terms").alias("n_terms"), *map(drawn, range(topics)))
     state = tables.stored(_pass(first, topics, None))
+    state_name = tables.last()
     gram, total = _own(state, topics)
-    out = Factors(terms, terms)
+    losses = []
     for _ in range(rounds if total is not None else 0):
         told = held.select("block", "terms").join(state.select("block", *ns), "block").select(F.explode(F.arrays_zip("terms", *ns)).alias("t"))
-        sums = told.groupBy(F.col("t.terms").alias("term")).agg(*(F.sum(f"t.{n}").alias(n) for n in ns))
+        sums = told.select(F.col("t.terms").alias("term"), *(F.col(f"t.{n}").alias(n) for n in ns)).repartition(tables.buckets, "term")
+        sums = sums.groupBy("term").agg(*(F.sum(n).alias(n) for n in ns))
         below = lambda j: sum((F.col(f"f{i}") * F.lit(float(gram[i, j])) for i in range(topics)), F.lit(0.0))  # noqa: E731, B023
-        terms = stored(terms.join(sums, "term").select("term", *((F.col(f"f{j}") * F.col(f"n{j}") / F.greatest(below(j), F.lit(LEAST))).alias(f"f{j}") for j in range(topics))), "terms")
+        moved = terms.join(sums, "term").select("term", *((F.col(f"f{j}") * F.col(f"n{j}") / F.greatest(below(j), F.lit(LEAST))).alias(f"f{j}") for j in range(topics)))
+        terms, old = tables.stored(moved, "term"), terms_name
+        tables.dropped(old)
+        terms_name = tables.last()
         other = _gram(terms, topics)
         answers = asks.join(terms, "term").select("block", F.struct("at", *fs).alias("a")).repartition(tables.buckets, "block").groupBy("block").agg(F.collect_list("a").alias("a"))
         answers = answers.select("block", "a.at", *(F.col(f"a.f{j}").alias(f"h{j}") for j in range(topics)))
-        state = tables.stored(_pass(cells.join(state.select("block", *fs), "block").join(answers, "block"), topics, other))
+        state, old = tables.stored(_pass(cells.join(state.select("block", *fs), "block").join(answers, "block"), topics, other)), state_name
+        tables.dropped(old)
+        state_name = tables.last()
         gram, cross = _own(state, topics)
-        out.losses.append(float(total - 2 * cross + (gram * other).sum()))
+        losses.append(float(total - 2 * cross + (gram * other).sum()))
+    terms = stored(terms, "terms")  # the bucketed tables' names go
+    out = Factors(terms, terms, losses)
     each = held.select("block", "docs").join(state.select("block", *fs), "block").select(F.explode(F.arrays_zip("docs", *fs)).alias("t"))
-    out.docs, out.terms = stored(each.select(F.col("t.docs").alias("doc"), *(F.col(f"t.{f}").alias(f) for f in fs)), "docs"), terms
+    out.docs = stored(each.select(F.col("t.docs").alias("doc"), *(F.col(f"t.{f}").alias(f) for f in fs)), "docs")
     tables.forget()
     return out
 

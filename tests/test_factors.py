@@ -1,5 +1,6 @@
 """Non-negative factors against numpy, and paragraph vectors by the neighbours of near copies."""
 
+import os
 import random
 
 import numpy as np
@@ -138,3 +139,27 @@ def test_vectors_that_step_together_are_those_of_single_documents():
     for x in docs:
         assert paragraphs.learn(x, own, draws, 2, 0.1, 3, 9, np.empty(64)) == pytest.approx(plain(x, table, True), abs=1e-4)
     assert own == pytest.approx(table, abs=1e-4)
+
+
+def test_rounds_leave_no_tables_behind(spark):
+    """Factors of rounds before are gone once read: as many tables are left after five rounds as after one."""
+    from tamarack import session
+
+    df = spark.createDataFrame(CELLS, "doc_id long, term string, w double").repartition(3)
+    left = []
+    for rounds in (1, 5):
+        mark = session.written()
+        factors.factorise(df, topics=2, rounds=rounds)
+        paths = [p.removeprefix("file:") for p in session._written[mark:]]
+        left.append(sum(os.path.exists(p) for p in paths))
+        assert len(paths) >= left[-1] + 2 * rounds
+    assert left[0] == left[1]
+    tables = factors._Bucketed(spark)
+    a = tables.stored(df.withColumnRenamed("w", "x").repartition(tables.buckets, "term"), "term")
+    b = tables.stored(df.select("term", "w").distinct().repartition(tables.buckets, "term"), "term")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in a.join(b, "term")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        tables.forget()
